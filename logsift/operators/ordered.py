@@ -3,7 +3,8 @@
 A window over one key is one task, however many rows the key has. The helpers here cut every key into
 blocks that follow the order (a time span, a stretch of a file), do the ordered work inside the blocks,
 and carry the result across block edges with a second window over one row per block. A key with a third
-of all rows then spreads over as many tasks as it has blocks. The results are exact.
+of all rows then spreads over as many tasks as it has blocks. The results are exact. Key and block
+columns must not be NULL.
 """
 
 from __future__ import annotations
@@ -53,11 +54,24 @@ def running(
     return joined.select(*out)
 
 
+def position_since(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], start: Column, name: str) -> DataFrame:
+    """Add ``name``: how many rows ago, under the same keys, ``start`` was last true (0 on such a row)."""
+    inside = W.partitionBy(*keys, block).orderBy(*order)
+    so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    local = df.withColumn("_n", F.row_number().over(inside).cast("bigint"))
+    local = local.withColumn("_s", F.max(F.when(start, F.col("_n"))).over(so_far))
+    totals = local.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_rows"), F.max("_s").alias("_last"))
+    totals = totals.withColumn("_ahead", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    totals = totals.withColumn("_open", F.max(F.col("_ahead") + F.col("_last")).over(before))
+    joined = _join_blocks(local, totals.drop("_rows", "_last"), [*keys, block])
+    since = F.col("_ahead") + F.col("_n") - F.greatest(F.col("_ahead") + F.col("_s"), F.col("_open"))
+    return joined.withColumn(name, since).drop("_n", "_s", "_ahead", "_open")
+
+
 def _join_blocks(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join rows to the single row of their block. NULL keys meet too."""
-    blocks = blocks.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[c for c in blocks.columns if c not in keys])
-    on = [rows[k].eqNullSafe(blocks[f"_b_{k}"]) for k in keys]
-    return rows.join(blocks, on, "left").drop(*[f"_b_{k}" for k in keys])
+    """Join rows to the one row of their block. The rows already sit where their window put them."""
+    return rows.join(blocks, list(keys), "left")
 
 
 def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str], salt: Column, how: str = "left", salts: int = 32) -> DataFrame:
@@ -69,3 +83,13 @@ def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str], salt: Colu
     left = many.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
     right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def checked_join(many: DataFrame, one: DataFrame, keys: Sequence[str], salt: Column, how: str = "left", most: int = 200_000) -> DataFrame:
+    """Broadcast the small side only after counting it; above ``most`` rows, use a salted join.
+
+    ``one`` is used twice, so hand in a table that is already written.
+    """
+    if one.limit(most + 1).count() <= most:
+        return many.join(F.broadcast(one), list(keys), how)
+    return salted_join(many, one, keys, salt, how)
