@@ -1,2 +1,2 @@
-from checks import text  # noqa: F401
+from checks import rules, tables, text  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logsift.functions.text import SPACE, UNICODE
+from logsift.functions.times import micros
 
 # The runtimes that are counted, and the spellings that stand for them.
 CLIENTS = ["codex", "claude", "gemini", "local"]
@@ -85,4 +86,4 @@ def range_key(path: Column, offset: Column, limit: Column) -> Column:
 
 def file_stamp(size: Column, modified: Column) -> Column:
     """``size:mtime`` in nanoseconds of a TIMESTAMP; NULL when either is unknown."""
-    return F.concat(size.cast("string"), F.lit(":"), (F.unix_micros(modified) * 1000).cast("string"))
+    return F.concat(size.cast("string"), F.lit(":"), (micros(modified) * 1000).cast("string"))

@@ -32,7 +32,7 @@ def capped(raw: Column, cap: int | None) -> Column:
         F.format_number(F.octet_length(raw) - keep, 0),
         F.lit(f" more bytes dropped at the {cap:,}-byte per-output cap]\n"),
     )
-    head = F.decode(F.substring(data, F.lit(1), keep), F.lit("UTF-8"))
+    head = F.decode(F.substring(data, F.lit(1), keep), "UTF-8")
     return F.when(F.octet_length(raw) <= cap, raw).otherwise(F.concat(head, marker))
 
 

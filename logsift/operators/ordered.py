@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logsift.functions.times import micros
+
 
 def time_block(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(ts) / seconds)
+    return F.floor(micros(ts) / (seconds * 1_000_000))
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], fields: Sequence[str], name: str = "prev") -> DataFrame:

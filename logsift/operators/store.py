@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.functions.payload import capped, digest, payload_bytes
+from logsift.functions.times import micros
 from logsift.options import DEFAULTS, Options
 
 
@@ -102,12 +103,12 @@ def keep_newest(store: DataFrame, weight: Column, cap: int | None) -> DataFrame:
     """
     if not cap or cap <= 0:
         return store
-    micros = F.unix_micros("ts")
+    at = micros("ts")
     tie = F.md5(F.col("id").cast("string"))
     levels = [
-        F.floor(micros / 86_400_000_000),
-        F.pmod(F.floor(micros / 1_000_000), F.lit(86_400)),
-        F.pmod(micros, F.lit(1_000_000)),
+        F.floor(at / 86_400_000_000),
+        F.pmod(F.floor(at / 1_000_000), F.lit(86_400)),
+        F.pmod(at, F.lit(1_000_000)),
         F.conv(F.left(tie, F.lit(3)), 16, 10).cast("bigint"),
     ]
     newer, here, budget = F.lit(False), F.lit(True), cap
