@@ -54,6 +54,10 @@ def lines_as_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf: str) -> DataFrame:
+    return noisy(documents(spark, sf))
+
+
+def noisy(docs: DataFrame) -> DataFrame:
     commands = f"array({', '.join(lit(c) for c, _ in COMMANDS)})"
     noises = f"array({', '.join(lit(n) for _, n in COMMANDS)})"
     body = f"""array_join(flatten(transform(split(text, '\\n', -1), (l, i) -> concat(
@@ -62,7 +66,7 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
         CASE WHEN i % 6 > 0 THEN transform(sequence(1, int(i % 6)), j ->
             concat('step ', string(doc_id * 10 + i * 100 + j), ' finished in ', string(j + 5), 'ms')) ELSE array() END
     ))), '\\n')"""
-    return documents(spark, sf).select(
+    return docs.select(
         F.col("doc_id").alias("id"),
         F.expr("timestamp_seconds(1704067200 + doc_id * 317)").alias("ts"),
         F.expr(f"element_at({commands}, {_PICK} + 1)").alias("command"),
