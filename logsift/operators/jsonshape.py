@@ -6,50 +6,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions.jsonview import json_view, looks_like_json
-from logsift.functions.text import tokens
+from logsift.functions.text import fn, let, tokens
 from logsift.options import DEFAULTS, Options
 
 
+def _kind(value: str) -> str:
+    def named(schema: str) -> str:
+        return (
+            f"CASE WHEN {schema} LIKE 'OBJECT%' THEN 'object' WHEN {schema} LIKE 'ARRAY%' THEN 'array' "
+            f"WHEN {schema} = 'STRING' THEN 'string' WHEN {schema} = 'BOOLEAN' THEN 'boolean' "
+            f"WHEN {schema} = 'VOID' THEN 'null' ELSE 'number' END"
+        )
+
+    return let(f"schema_of_variant({value})", named)
+
+
+def _node(path: str, value: str) -> str:
+    return f"named_struct('path', {path}, 'kind', {_kind(value)}, 'v', {value})"
+
+
+def _children(nodes: str) -> str:
+    """Nodes one level down, of all containers in ``nodes``; list items share a path."""
+
+    def of(n: str) -> str:
+        member = fn(lambda e: _node(f"concat({n}.path, '.', {e}.key)", f"{e}.value"))
+        item = fn(lambda x: _node(f"concat({n}.path, '[]')", x))
+        return (
+            f"CASE WHEN {n}.kind = 'object' THEN transform(map_entries(variant_get({n}.v, '$', 'map<string,variant>')), {member}) "
+            f"WHEN {n}.kind = 'array' THEN transform(variant_get({n}.v, '$', 'array<variant>'), {item}) "
+            "ELSE CAST(array() AS ARRAY<STRUCT<path STRING, kind STRING, v VARIANT>>) END"
+        )
+
+    return f"flatten(transform({nodes}, {fn(of)}))"
+
+
 def json_nodes(docs: DataFrame, text: str = "raw", id_column: str = "id", opts: Options = DEFAULTS) -> DataFrame:
     """``id, path, depth, kind, size``: every node down to the depth limit; list items share a path.
 
-    ``size`` is members of an object, items of a list, characters of a string, else NULL. One narrow
-    lateral explode per level; a document is walked where it was read.
+    ``size`` is members of an object, items of a list, characters of a string, else NULL. A document is
+    parsed once and walked level by level inside its row.
     """
-    spark = docs.sparkSession
-    level = docs.select(
-        F.col(id_column).alias("id"), F.lit("$").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(text).alias("v")
-    ).filter("v IS NOT NULL")
-    found = _described(level)
-    for depth in range(1, opts.json_max_depth + 1):
-        level = level.filter(F.col("v").isNotNull() & _kind().isin("object", "array"))
-        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        step = F.when(F.col("key").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), "key"))
-        level = inner.select("id", F.concat("path", step).alias("path"), F.lit(depth).alias("depth"), F.col("value").alias("v"))
-        found = found.unionByName(_described(level))
-    return found
-
-
-def _kind() -> Column:
-    schema = F.schema_of_variant("v")
-    return (
-        F.when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "VOID", "null")
-        .otherwise("number")
-    )
 
+    def described(depth: int, nodes: str) -> str:
+        def one(n: str) -> str:
+            size = (
+                f"CASE {n}.kind WHEN 'object' THEN size(map_keys(variant_get({n}.v, '$', 'map<string,variant>'))) "
+                f"WHEN 'array' THEN size(variant_get({n}.v, '$', 'array<variant>')) "
+                f"WHEN 'string' THEN length(variant_get({n}.v, '$', 'string')) END"
+            )
+            return f"named_struct('path', {n}.path, 'depth', {depth}, 'kind', {n}.kind, 'size', bigint({size}))"
 
-def _described(level: DataFrame) -> DataFrame:
-    kind, text = F.col("kind"), F.to_json("v")
-    size = (
-        F.when(kind == "object", F.size(F.json_object_keys(text)))
-        .when(kind == "array", F.json_array_length(text))
-        .when(kind == "string", F.length(F.variant_get("v", "$", "string")))
-    )
-    return level.withColumn("kind", F.coalesce(_kind(), F.lit("null"))).select("id", "path", "depth", "kind", size.cast("bigint").alias("size"))
+        return f"transform({nodes}, {fn(one)})"
+
+    levels = [f"CASE WHEN _v IS NULL THEN CAST(array() AS ARRAY<STRUCT<path STRING, kind STRING, v VARIANT>>) ELSE array({_node("'$'", '_v')}) END"]
+    work = docs.select(F.col(id_column).alias("id"), F.try_parse_json(text).alias("_v")).withColumn("_l0", F.expr(levels[0]))
+    for depth in range(1, opts.json_max_depth + 1):
+        work = work.withColumn(f"_l{depth}", F.expr(_children(f"_l{depth - 1}")))
+    found = ", ".join(described(d, f"_l{d}") for d in range(opts.json_max_depth + 1))
+    return work.select("id", F.expr(f"inline(concat({found}))"))
 
 
 def json_shape(nodes: DataFrame) -> DataFrame:

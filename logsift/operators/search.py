@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions.text import fn, let, lit
 from logsift.operators.folds import _run_starts, _runs
+from logsift.scratch import saved
 
 
 def _accents() -> tuple[str, str]:
@@ -50,18 +51,21 @@ def _counted(text: str) -> str:
     def runs(ws: str) -> str:
         starts = _run_starts(ws, lambda i: f"{ws}[{i}] = get({ws}, {i} - 1)")
         one = _runs(ws, starts, lambda s, n: f"array(named_struct('term', {ws}[{s}], 'tf', {n}))")
-        return f"CASE WHEN size({ws}) = 0 THEN array() ELSE {one} END"
+        empty = "CAST(array() AS ARRAY<STRUCT<term STRING, tf INT>>)"
+        return f"CASE WHEN size({ws}) = 0 THEN {empty} ELSE {one} END"
 
     return let(f"sort_array({terms(text)})", runs)
 
 
 def postings(store: DataFrame) -> DataFrame:
     """``term, id, field, tf, ts``: how often each word occurs in each field of each row. No shuffle."""
-    fields = [
-        store.select("id", "ts", F.lit(field).alias("field"), F.explode(F.expr(_counted(f"coalesce({field}, '')"))).alias("p"))
-        for field in ("command", "raw")
-    ]
-    return fields[0].unionByName(fields[1]).select("p.term", "id", "field", "p.tf", "ts")
+
+    def of(field: str) -> str:
+        one = fn(lambda p: f"named_struct('term', {p}.term, 'field', '{field}', 'tf', {p}.tf)")
+        return f"transform({_counted(f"coalesce({field}, '')")}, {one})"
+
+    words = store.select("id", "ts", F.explode(F.expr(f"concat({of('command')}, {of('raw')})")).alias("p"))
+    return words.select("p.term", "id", "p.field", "p.tf", "ts")
 
 
 def write_postings(index: DataFrame, path: str, slices: int = 8) -> None:
@@ -88,10 +92,14 @@ def matching(index: DataFrame, query: str) -> DataFrame:
     return hits.groupBy("id").agg(F.max("ts").alias("ts"), *found).filter(every).select("id", "ts")
 
 
+def newest_hits(index: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """Ids of the newest rows with all words of the query, at most ``limit``."""
+    return matching(index, query).orderBy(F.desc("ts"), "id").limit(limit).select("id")
+
+
 def search_terms(store: DataFrame, index: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Newest rows with all words of the query. The limit is taken on ids, so at most that many are joined."""
-    newest = matching(index, query).orderBy(F.desc("ts"), "id").limit(limit).select("id")
-    return store.join(F.broadcast(newest), "id").orderBy(F.desc("ts"), "id")
+    """Newest rows with all words of the query. Only ``limit`` ids are broadcast."""
+    return store.join(F.broadcast(newest_hits(index, query, limit)), "id").orderBy(F.desc("ts"), "id")
 
 
 def _ascii_lower(text: Column) -> Column:
@@ -114,6 +122,8 @@ def query_pattern(query: str) -> str:
 
 def search(store: DataFrame, index: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Word search; substring search when no row has all the words."""
-    if query_terms(query) and not matching(index, query).isEmpty():
-        return search_terms(store, index, query, limit)
+    if query_terms(query):
+        hits = saved(newest_hits(index, query, limit), "hits")
+        if not hits.isEmpty():
+            return store.join(F.broadcast(hits), "id").orderBy(F.desc("ts"), "id")
     return search_like(store, query, limit)

@@ -46,17 +46,18 @@ def with_handles(rows: DataFrame, name: str = "name", shortest: int = 6) -> Data
     Names that agree in 6 characters are neighbours in sorted order, so a row only has to differ from the
     two next to it. The groups are slices of a hash and cannot be skewed.
     """
-    around = W.partitionBy(F.left(name, F.lit(shortest))).orderBy(name)
+    around = W.partitionBy("_start").orderBy(name)
     lengths = F.sequence(F.lit(shortest), F.lit(64))
 
     def shared(other: Column) -> Column:
         same = F.filter(lengths, lambda n: F.left(other, n) == F.left(F.col(name), n))
         return F.when(other.isNull(), F.lit(shortest - 1)).otherwise(F.lit(shortest - 1) + F.size(same))
 
-    both = rows.withColumn("_before", F.lag(name).over(around)).withColumn("_after", F.lead(name).over(around))
+    started = rows.withColumn("_start", F.left(name, F.lit(shortest)))
+    both = started.select("*", F.lag(name).over(around).alias("_before"), F.lead(name).over(around).alias("_after"))
     return both.withColumn(
         "handle", F.left(name, F.greatest(shared(F.col("_before")), shared(F.col("_after"))) + 1)
-    ).drop("_before", "_after")
+    ).drop("_start", "_before", "_after")
 
 
 def recall(store: DataFrame, handle: str) -> DataFrame:

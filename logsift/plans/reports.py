@@ -165,11 +165,10 @@ COUNTERS = [
 
 def efficiency(parts: DataFrame) -> DataFrame:
     """The four runtimes with their counters and rates. Rates of a runtime without runs are unknown."""
-    spark = parts.sparkSession
-    clients = spark.createDataFrame([(c,) for c in CLIENTS], "client string")
-    total = parts.groupBy("client").agg(*[F.sum(c).alias(c) for c in COUNTERS], F.max("updated_at").alias("updated_at"))
-    # Four rows on the left and at most four on the right.
-    rows = clients.join(total, "client", "left")
+    none = parts.sparkSession.createDataFrame([(c,) for c in CLIENTS], "client string")
+    # A row without counters per runtime stands in for the missing ones.
+    all_parts = parts.unionByName(none, allowMissingColumns=True)
+    rows = all_parts.groupBy("client").agg(*[F.sum(c).alias(c) for c in COUNTERS], F.max("updated_at").alias("updated_at"))
     n = {c: _zero(F.col(c)) for c in COUNTERS}
     saved = n["raw_tokens"] - n["output_tokens"]
     return rows.select(
