@@ -20,10 +20,8 @@ def _entries(spark, sf):
     return A.entries(_lines(spark, sf))
 
 
-def _both(spark, sf):
-    lines = _lines(spark, sf)
-    files = saved(A.vendors(lines), "files")
-    return A.entries(lines, files), files
+def _parts(spark, sf):
+    return saved(A.session_parts(_entries(spark, sf)), "sessions")
 
 
 FILES = """paths AS (SELECT DISTINCT 'claude' AS runtime, path FROM turns UNION ALL SELECT DISTINCT 'codex', path FROM acts UNION ALL SELECT DISTINCT 'gemini', 'gemini/g' || (doc_id % 10) || '.jsonl' FROM documents)"""
@@ -64,12 +62,12 @@ def q_usage(spark, sf):
 @check("audit_totals", f"""WITH {USAGE} SELECT count(*) AS requests, count(*) FILTER (WHERE is_sidechain) AS subagent_requests, {', '.join(f'sum({k}) AS {k}' for k in A.TOKEN_KEYS)},
   {', '.join(f'coalesce(sum({k}) FILTER (WHERE is_sidechain), 0) AS subagent_{k}' for k in A.TOKEN_KEYS)}, (SELECT count(*) FROM sess) AS sessions FROM use""")
 def q_totals(spark, sf):
-    return A.totals(A.usage(_entries(spark, sf)))
+    return A.totals(_parts(spark, sf))
 
 
 @check("session_floors", f"WITH {USAGE} SELECT * FROM sess")
 def q_sessions(spark, sf):
-    return A.sessions(A.usage(_entries(spark, sf)))
+    return A.sessions(_parts(spark, sf))
 
 
 RUNTIMES = f"""{USAGE}, {FILES}, known AS (SELECT runtime, count(*) AS files FROM paths GROUP BY runtime),
@@ -81,18 +79,20 @@ rts AS (SELECT runtime, files, coalesce(requests, 0) AS requests, CASE WHEN runt
 
 @check("runtime_floors", f"WITH {RUNTIMES} SELECT * FROM rts")
 def q_runtimes(spark, sf):
-    return A.runtimes(*_both(spark, sf))
+    lines = _lines(spark, sf)
+    files = saved(A.vendors(lines), "files")
+    return A.runtimes(saved(A.session_parts(A.entries(lines, files)), "sessions"), files)
 
 
 @check("fixed_cost", f"WITH {RUNTIMES} SELECT (SELECT CAST(floor(median(floor)) AS BIGINT) FROM sess WHERE floor > 0) AS session_floor, sum(requests) FILTER (WHERE tokens_available) AS requests, sum(floor_cost) AS floor_cost FROM rts")
 def q_fixed_cost(spark, sf):
-    return A.fixed_cost(*_both(spark, sf))
+    return A.fixed_cost(_parts(spark, sf))
 
 
 @check("subagent_share", f"""WITH {USAGE}, s AS (SELECT sum(cache_read_input_tokens) AS context_read, sum(cache_read_input_tokens) FILTER (WHERE is_sidechain) AS subagent_context_read FROM use)
 SELECT *, round_even(subagent_context_read * 100.0 / context_read, 1) AS subagent_share_pct FROM s""")
 def q_share(spark, sf):
-    return A.subagent_share(A.usage(_entries(spark, sf)))
+    return A.subagent_share(_parts(spark, sf))
 
 
 @check("tool_calls", f"WITH {CALLS} SELECT runtime, tool, count(*) AS calls FROM calls GROUP BY GROUPING SETS ((runtime, tool), (tool))")
@@ -159,11 +159,16 @@ IDLE = f"""{SERVERS}, {CONFIG}, stems AS (SELECT *, lower(split_part(name, '@',
 idle AS (SELECT name, source FROM stems WHERE NOT EXISTS (SELECT 1 FROM used WHERE lower(label) = stem OR contains(replace(lower(label), '-', '_'), stem) OR contains(stem, lower(label))))"""
 
 
+def _surface(spark, sf):
+    used = saved(A.server_calls(_entries(spark, sf)), "servers")
+    return saved(configured_servers(_configs(spark, sf)), "configured"), used
+
+
 @check("idle_surface", f"WITH {IDLE} SELECT * FROM idle")
 def q_idle(spark, sf):
-    return A.idle_surface(configured_servers(_configs(spark, sf)), A.server_calls(_entries(spark, sf)))
+    return A.idle_surface(*_surface(spark, sf))
 
 
 @check("server_report", f"WITH {IDLE} SELECT label AS name, calls, coalesce(source, 'not in config') AS source, false AS idle FROM used LEFT JOIN configured ON label = name UNION ALL SELECT name, 0, source, true FROM idle")
 def q_server_report(spark, sf):
-    return A.server_report(configured_servers(_configs(spark, sf)), A.server_calls(_entries(spark, sf)))
+    return A.server_report(*_surface(spark, sf))

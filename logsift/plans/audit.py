@@ -1,19 +1,17 @@
 """Where agent transcripts say the tokens went.
 
-The steps: ``entries`` types every line of a recognised file, ``usage``, ``tool_calls`` and
-``tool_results`` are narrow projections of it, and the reports are plain aggregates of those.
+The steps: ``entries`` types every line of a recognised file, ``session_parts`` adds its requests up per
+session, ``tool_calls`` and ``tool_results`` list its tool use, and the reports are small aggregates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.functions.labels import canonical, namespace
-from logsift.functions.text import fn
+from logsift.functions.text import fn, lit
 from logsift.operators.ordered import checked_join, previous_row
 from logsift.scratch import saved
 
@@ -41,9 +39,13 @@ _ENTRY = """
 """
 
 
-def _line_vendor() -> Column:
-    kind = F.get_json_object("line", "$.type")
-    has = lambda key: F.array_contains("_keys", key)
+def objects(lines: DataFrame) -> DataFrame:
+    """Lines that hold one JSON object."""
+    return lines.filter(F.json_object_keys("line").isNotNull())
+
+
+def _line_vendor(kind: Column, keys: Column) -> Column:
+    has = lambda key: F.array_contains(keys, key)
     return (
         F.when(kind.isin(CODEX_TYPES), CODEX)
         .when(has("step_index") & has("created_at"), GEMINI)
@@ -51,22 +53,19 @@ def _line_vendor() -> Column:
     )
 
 
-def objects(lines: DataFrame) -> DataFrame:
-    """Lines that hold one JSON object, with the names of its members in ``_keys``."""
-    return lines.withColumn("_keys", F.json_object_keys("line")).filter(F.col("_keys").isNotNull())
-
-
 def vendors(lines: DataFrame) -> DataFrame:
     """``path, runtime``: the first recognisable object among a file's first 20 names the file's runtime.
 
     Spark keeps the first 20 rows per file in every task before the shuffle, so a file with most of the
-    lines sends 20 rows per task like any other. A file without such an object has a NULL runtime.
+    lines sends 20 rows per task like any other. Objects come before other lines, which only make sure
+    that a file without objects is listed. A file that is not recognised has a NULL runtime.
     """
-    first = W.partitionBy("path").orderBy("block", "pos")
-    seen = objects(lines).select("path", "block", "pos", _line_vendor().alias("vendor"))
+    keyed = lines.select("path", "block", "pos", F.json_object_keys("line").alias("_keys"), F.get_json_object("line", "$.type").alias("_type"))
+    seen = keyed.select("path", "block", "pos", F.col("_keys").isNull().alias("_other"), _line_vendor(F.col("_type"), F.col("_keys")).alias("vendor"))
+    first = W.partitionBy("path").orderBy("_other", "block", "pos")
     head = seen.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SNIFFED_OBJECTS)
-    named = head.filter("vendor IS NOT NULL").groupBy("path").agg(F.min_by("vendor", "_n").alias("runtime"))
-    return lines.select("path").distinct().join(named, "path", "left")
+    named = F.when(~F.col("_other") & F.col("vendor").isNotNull(), F.col("_n"))
+    return head.groupBy("path").agg(F.min_by("vendor", named).alias("runtime"))
 
 
 def file_quality(files: DataFrame, listed: DataFrame | None = None) -> DataFrame:
@@ -103,8 +102,8 @@ def _text(c: Column, default: str = "") -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit(default)).otherwise(c)
 
 
-def usage(ents: DataFrame) -> DataFrame:
-    """One row per billed request: four counters and the size of the whole prompt."""
+def _billing(ents: DataFrame) -> DataFrame:
+    """One row per billed request, and one per step of a runtime without counters."""
     used, last = F.col("e.message.usage"), F.col("e.payload.info.last_token_usage")
     prompt, cached = _int(last["input_tokens"]), _int(last["cached_input_tokens"])
     output = _int(last["output_tokens"])
@@ -117,62 +116,96 @@ def usage(ents: DataFrame) -> DataFrame:
     )
     is_claude = (F.col("runtime") == CLAUDE) & (F.col("e.type") == "assistant")
     is_codex = (F.col("runtime") == CODEX) & (F.col("e.payload.type") == "token_count") & ((prompt != 0) | (output != 0))
+    any_used = F.lit(False)
+    for k in TOKEN_KEYS:
+        any_used = any_used | (_int(used[k]) != 0)
+    session = F.when(_text(F.col("e.sessionId")) != "", F.col("e.sessionId")).otherwise(F.left(_text(F.col("e.uuid"), "unknown"), F.lit(8)))
+    u = F.col("u")
     rows = ents.select(
         "runtime", "path", "block", "pos",
-        F.when(is_claude, claude).when(is_codex, codex).alias("u"),
-        F.when(is_claude, _text(F.col("e.sessionId"), "") ).alias("sid"),
-        F.left(_text(F.col("e.uuid"), "unknown"), F.lit(8)).alias("uid"),
+        (F.col("runtime") == GEMINI).alias("is_step"),
+        F.when(is_claude & any_used, claude).when(is_codex, codex).alias("u"),
+        F.when(F.col("runtime") == CLAUDE, session).otherwise(F.col("path")).alias("session"),
         F.coalesce(is_claude & F.col("e.isSidechain"), F.lit(False)).alias("is_sidechain"),
-        prompt.alias("prompt"),
-        _text(F.col("e.timestamp")).alias("timestamp"),
-    ).filter("u IS NOT NULL")
-    claude_prompt = F.col("u")[TOKEN_KEYS[0]] + F.col("u")[TOKEN_KEYS[2]] + F.col("u")[TOKEN_KEYS[3]]
-    any_used = (F.col("u")[TOKEN_KEYS[0]] != 0) | (F.col("u")[TOKEN_KEYS[1]] != 0) | (F.col("u")[TOKEN_KEYS[2]] != 0) | (F.col("u")[TOKEN_KEYS[3]] != 0)
-    return rows.filter((F.col("runtime") == CODEX) | any_used).select(
-        "runtime", "path", "block", "pos",
-        F.when(F.col("runtime") == CODEX, F.col("path")).when(F.col("sid") != "", F.col("sid")).otherwise(F.col("uid")).alias("session"),
-        "is_sidechain",
-        *[F.col("u")[k].alias(k) for k in TOKEN_KEYS],
-        F.when(F.col("runtime") == CODEX, F.col("prompt")).otherwise(claude_prompt).alias("prompt_total"),
-        F.left("timestamp", F.lit(10)).alias("date"),
+        prompt.alias("_prompt"),
+        F.left(_text(F.col("e.timestamp")), F.lit(10)).alias("date"),
+    ).filter(F.col("is_step") | u.isNotNull())
+    whole = u[TOKEN_KEYS[0]] + u[TOKEN_KEYS[2]] + u[TOKEN_KEYS[3]]
+    return rows.select(
+        "runtime", "path", "block", "pos", "is_step", "session", "is_sidechain",
+        *[u[k].alias(k) for k in TOKEN_KEYS],
+        F.when(F.col("runtime") == CODEX, F.col("_prompt")).otherwise(whole).alias("prompt_total"),
+        "date",
     )
 
 
-def tool_calls(ents: DataFrame) -> DataFrame:
-    """``runtime, path, block, pos, i, tool, id``: one row per tool call, those of subagents too."""
-    is_claude = (F.col("runtime") == CLAUDE) & (F.col("e.type") == "assistant")
-    is_codex = (F.col("runtime") == CODEX) & F.col("e.payload.type").isin(CODEX_CALLS)
-    none = F.array().cast("array<struct<i int, tool string, id string>>")
-
-    def from_blocks(blocks: str, names: Sequence[str], only: str | None) -> Column:
-        pick = ", ".join(f"nullif(try_variant_get(b, '$.{n}', 'string'), '')" for n in names)
-        wanted = f"try_variant_get(b, '$.type', 'string') = '{only}'" if only else "schema_of_variant(b) LIKE 'OBJECT%'"
-        return F.expr(
-            f"filter(transform({blocks}, (b, i) -> CASE WHEN {wanted} THEN named_struct('i', i, 'tool', coalesce({pick}, '?'), "
-            f"'id', coalesce(try_variant_get(b, '$.id', 'string'), '')) END), c -> c IS NOT NULL)"
-        )
-
-    listed = "coalesce(try_variant_get({0}, '$', 'array<variant>'), CAST(array() AS ARRAY<VARIANT>))"
-    claude = from_blocks(listed.format("e.message.content"), ["name"], "tool_use")
-    gemini = from_blocks(listed.format("e.tool_calls"), ["tool_name", "name"], None)
-    name = F.coalesce(F.nullif(F.col("e.payload.name"), F.lit("")), F.nullif(F.col("e.payload.tool_name"), F.lit("")), F.lit("?"))
-    codex = F.array(F.struct(F.lit(0).alias("i"), name.alias("tool"), F.lit("").alias("id")))
-    found = F.when(is_claude, claude).when(is_codex, codex).when(F.col("runtime") == GEMINI, gemini).otherwise(none)
-    return ents.select("runtime", "path", "block", "pos", F.explode(found).alias("c")).select(
-        "runtime", "path", "block", "pos", "c.i", "c.tool", "c.id"
+def usage(ents: DataFrame) -> DataFrame:
+    """One row per billed request: four counters and the size of the whole prompt."""
+    return _billing(ents).filter(~F.col("is_step")).drop("is_step")
+
+
+def session_parts(ents: DataFrame) -> DataFrame:
+    """One row per session: own requests, subagent requests and steps. All reports below add these up.
+
+    The transcripts are read once for all of them; the sums leave every task as one row per session, so a
+    session with most of the requests is no skew. Subagent requests have a floor of their own and are not
+    part of the session's.
+    """
+    rows, side, step = _billing(ents), F.col("is_sidechain"), F.col("is_step")
+    own = ~side & ~step
+    prompt = F.when(own, F.col("prompt_total"))
+    dated = F.when(own & (F.col("date") != ""), F.struct("path", "block", "pos"))
+    total = lambda when, k: F.coalesce(F.sum(F.when(when, F.col(k))), F.lit(0))
+    return rows.groupBy("runtime", "session").agg(
+        F.count_if(own).alias("requests"),
+        F.count_if(side).alias("subagent_requests"),
+        F.count_if(step).alias("steps"),
+        F.coalesce(F.max_by("date", dated), F.lit("")).alias("date"),
+        F.coalesce(F.min(F.when(prompt > 0, prompt)), F.lit(0)).alias("floor"),
+        F.coalesce(F.max(prompt), F.lit(0)).alias("peak"),
+        *[total(own, k).alias(k) for k in TOKEN_KEYS],
+        *[total(side, k).alias(f"subagent_{k}") for k in TOKEN_KEYS],
     )
 
 
-def _size(value: str) -> Column:
+_LISTED = "coalesce(try_variant_get({0}, '$', 'array<variant>'), CAST(array() AS ARRAY<VARIANT>))"
+
+
+def _field(block: str, *names: str) -> str:
+    """First of some text members that is there and not empty."""
+    return f"coalesce({', '.join(f"nullif(try_variant_get({block}, '$.{n}', 'string'), '')" for n in names)}, '')"
+
+
+def _calls() -> str:
+    """``array<struct<i, tool, id>>``: the tool calls of one entry, those of subagents too."""
+
+    def called(blocks: str, names: tuple[str, ...], wanted: str) -> str:
+        one = f"named_struct('i', i, 'tool', coalesce(nullif({_field('b', *names)}, ''), '?'), 'id', {_field('b', 'id')})"
+        return f"filter(transform({blocks}, (b, i) -> CASE WHEN {wanted} THEN {one} END), c -> c IS NOT NULL)"
+
+    claude = called(_LISTED.format("e.message.content"), ("name",), "try_variant_get(b, '$.type', 'string') = 'tool_use'")
+    gemini = called(_LISTED.format("e.tool_calls"), ("tool_name", "name"), "schema_of_variant(b) LIKE 'OBJECT%'")
+    codex = "array(named_struct('i', 0, 'tool', coalesce(nullif(e.payload.name, ''), nullif(e.payload.tool_name, ''), '?'), 'id', ''))"
+    kinds = ", ".join(f"'{k}'" for k in CODEX_CALLS)
+    return f"""CASE WHEN runtime = '{CLAUDE}' AND e.type = 'assistant' THEN {claude}
+        WHEN runtime = '{CODEX}' AND e.payload.type IN ({kinds}) THEN {codex}
+        WHEN runtime = '{GEMINI}' THEN {gemini} END"""
+
+
+def tool_calls(ents: DataFrame) -> DataFrame:
+    """``runtime, path, block, pos, i, tool, id``: one row per tool call."""
+    return ents.select("runtime", "path", "block", "pos", F.expr(f"inline({_calls()})"))
+
+
+def _size(value: str) -> str:
     """Characters of a string; of any other value, those of its JSON text with a space after , and :."""
     compact = f"to_json({value})"
-    bare = f"regexp_replace({compact}, '\"(?:[^\"\\\\\\\\]|\\\\\\\\.)*\"', '')"
-    text = f"try_variant_get({value}, '$', 'string')"
-    return F.expr(
-        f"CASE WHEN {value} IS NULL OR schema_of_variant({value}) = 'VOID' THEN 0 "
-        f"WHEN schema_of_variant({value}) = 'STRING' THEN length({text}) "
-        f"ELSE length({compact}) + length({bare}) - length(translate({bare}, ',:', '')) END"
-    ).cast("bigint")
+    bare = f"regexp_replace({compact}, {lit(r'"(?:[^"\\]|\\.)*"')}, '')"
+    return (
+        f"CASE WHEN {value} IS NULL OR schema_of_variant({value}) = 'VOID' THEN 0L "
+        f"WHEN schema_of_variant({value}) = 'STRING' THEN bigint(length(variant_get({value}, '$', 'string'))) "
+        f"ELSE bigint(length({compact}) + length({bare}) - length(translate({bare}, ',:', ''))) END"
+    )
 
 
 def tool_results(ents: DataFrame) -> DataFrame:
@@ -181,35 +214,29 @@ def tool_results(ents: DataFrame) -> DataFrame:
     A result takes the name of the call with its id, and the first result uses the id up. So a result
     counts when the row before it with the same id is a call.
     """
-    blocks = "coalesce(try_variant_get(e.message.content, '$', 'array<variant>'), CAST(array() AS ARRAY<VARIANT>))"
-    first = f"get(filter({blocks}, b -> try_variant_get(b, '$.type', 'string') = 'tool_result'), 0)"
-    answers = ents.filter((F.col("runtime") == CLAUDE) & (F.col("e.type") == "user")).select(
-        "path", "block", "pos", F.lit(0).alias("i"),
-        F.expr(f"coalesce(try_variant_get({first}, '$.tool_use_id', 'string'), '')").alias("id"),
-        F.lit(None).cast("string").alias("tool"), _size("e.toolUseResult").alias("size"),
+    first = f"get(filter({_LISTED.format('e.message.content')}, b -> try_variant_get(b, '$.type', 'string') = 'tool_result'), 0)"
+    answer = (
+        f"array(named_struct('i', 0, 'tool', CAST(NULL AS STRING), 'id', {_field(first, 'tool_use_id')}, "
+        f"'size', {_size('e.toolUseResult')}))"
     )
-    calls = tool_calls(ents.filter(F.col("runtime") == CLAUDE)).select("path", "block", "pos", "i", "id", "tool", F.lit(None).cast("bigint").alias("size"))
-    both = calls.unionByName(answers).filter(F.col("id") != "").withColumn("_stretch", F.struct("path", "block"))
+    asked = f"transform({_calls()}, c -> named_struct('i', c.i, 'tool', c.tool, 'id', c.id, 'size', CAST(NULL AS BIGINT)))"
+    both = ents.filter(F.col("runtime") == CLAUDE).select(
+        "path", "block", "pos", F.expr(f"inline(CASE WHEN e.type = 'user' THEN {answer} ELSE {asked} END)")
+    )
+    both = both.filter(F.col("id") != "").withColumn("_stretch", F.struct("path", "block"))
     linked = previous_row(both, ["id"], "_stretch", ["path", "block", "pos", "i"], ["tool"], "_call")
     claude = linked.filter(F.col("tool").isNull() & F.col("_call.tool").isNotNull()).select(F.col("_call.tool").alias("tool"), "size")
     codex = ents.filter(
         (F.col("runtime") == CODEX) & F.col("e.payload.type").isin(CODEX_OUTPUTS)
         & (F.expr("schema_of_variant(e.payload.output)") == "STRING")
-    ).select(F.lit(CODEX_OUTPUT_LABEL).alias("tool"), _size("e.payload.output").alias("size"))
+    ).select(F.lit(CODEX_OUTPUT_LABEL).alias("tool"), F.expr(_size("e.payload.output")).alias("size"))
     return claude.filter(F.col("size") > 0).unionByName(codex)
 
 
-def sessions(use: DataFrame) -> DataFrame:
-    """Requests, date, floor and peak per session. Subagent requests have a floor of their own: left out."""
-    prompt = F.col("prompt_total")
-    dated = F.when(F.col("date") != "", F.struct("path", "block", "pos"))
-    return use.filter(~F.col("is_sidechain")).groupBy("runtime", "session").agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.coalesce(F.max_by("date", dated), F.lit("")).alias("date"),
-        F.coalesce(F.min(F.when(prompt > 0, prompt)), F.lit(0)).alias("floor"),
-        F.coalesce(F.max(prompt), F.lit(0)).alias("peak"),
-        *[F.sum(k).alias(k) for k in TOKEN_KEYS],
-    )
+def sessions(parts: DataFrame) -> DataFrame:
+    """Requests, date, floor and peak per session that has requests of its own."""
+    own = parts.filter(F.col("requests") > 0)
+    return own.select("runtime", "session", "requests", "date", "floor", "peak", *TOKEN_KEYS)
 
 
 def _median_floor(rollup: DataFrame, *by: str) -> DataFrame:
@@ -222,14 +249,22 @@ def _median_floor(rollup: DataFrame, *by: str) -> DataFrame:
     return counted.groupBy(*by).agg(F.expr("CAST(percentile(floor, 0.5D, n) AS BIGINT)").alias("floor"))
 
 
-def runtimes(ents: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per runtime found. Tokens of a runtime without counters are unknown, not 0."""
-    use = usage(ents)
-    requests = use.groupBy("runtime").agg(F.count(F.lit(1)).alias("requests"), *[F.sum(k).alias(k) for k in TOKEN_KEYS])
-    steps = ents.filter(F.col("runtime") == GEMINI).groupBy("runtime").agg(F.count(F.lit(1)).alias("steps"))
+def _all_tokens(k: str) -> Column:
+    return F.sum(F.col(k) + F.col(f"subagent_{k}"))
+
+
+def runtimes(parts: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per runtime found. Tokens of a runtime without counters are unknown, not 0.
+
+    The joined frames have one row per runtime.
+    """
+    sums = parts.groupBy("runtime").agg(
+        F.sum(F.col("requests") + F.col("subagent_requests")).alias("requests"),
+        F.sum("steps").alias("steps"),
+        *[_all_tokens(k).alias(k) for k in TOKEN_KEYS],
+    )
     counts = files.filter("runtime IS NOT NULL").groupBy("runtime").agg(F.count(F.lit(1)).alias("files"))
-    rows = counts.join(requests, "runtime", "left").join(steps, "runtime", "left")
-    rows = rows.join(_median_floor(sessions(use), "runtime"), "runtime", "left")
+    rows = counts.join(sums, "runtime", "left").join(_median_floor(parts, "runtime"), "runtime", "left")
     known = F.col("runtime") != GEMINI
     n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
     only = lambda c: F.when(known, c)
@@ -246,38 +281,37 @@ def runtimes(ents: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def fixed_cost(ents: DataFrame, files: DataFrame) -> DataFrame:
+def fixed_cost(parts: DataFrame) -> DataFrame:
     """Tokens spent on re-reading the floor: summed per runtime where known, else median times requests."""
-    use = usage(ents)
-    blended = _median_floor(sessions(use)).select(F.col("floor").alias("session_floor"))
-    per_runtime = runtimes(ents, files).agg(F.sum("floor_cost").alias("_sum"), F.sum(F.when(F.col("tokens_available"), F.col("requests"))).alias("requests"))
-    # Both sides are global aggregates: one row each.
-    one = per_runtime.withColumn("_one", F.lit(1)).join(blended.withColumn("_one", F.lit(1)), "_one", "left")
-    floor = F.coalesce("session_floor", F.lit(0))
+    every = F.sum(F.col("requests") + F.col("subagent_requests")).alias("requests")
+    sums = parts.filter(F.col("runtime") != GEMINI).groupBy("runtime").agg(every)
+    known = sums.join(_median_floor(parts, "runtime"), "runtime", "left").select(
+        "requests", (F.coalesce("floor", F.lit(0)) * F.col("requests")).alias("cost"), F.lit(None).cast("bigint").alias("floor")
+    )
+    blended = _median_floor(parts).select(F.lit(None).cast("bigint").alias("requests"), F.lit(None).cast("bigint").alias("cost"), "floor")
+    one = known.unionByName(blended).agg(F.sum("requests").alias("requests"), F.sum("cost").alias("cost"), F.max("floor").alias("floor"))
+    floor, requests = F.coalesce("floor", F.lit(0)), F.coalesce("requests", F.lit(0))
     return one.select(
-        floor.alias("session_floor"),
-        F.coalesce("requests", F.lit(0)).alias("requests"),
-        F.coalesce(F.col("_sum"), floor * F.coalesce("requests", F.lit(0))).alias("floor_cost"),
+        floor.alias("session_floor"), requests.alias("requests"), F.coalesce(F.col("cost"), floor * requests).alias("floor_cost")
     )
 
 
-def totals(use: DataFrame) -> DataFrame:
-    """Sessions, requests and tokens, and the part of subagents. One aggregate of partial sums."""
-    side = F.col("is_sidechain")
-    sums = use.agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(side).alias("subagent_requests"),
-        *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in TOKEN_KEYS],
-        *[F.coalesce(F.sum(F.when(side, F.col(k))), F.lit(0)).alias(f"subagent_{k}") for k in TOKEN_KEYS],
+def totals(parts: DataFrame) -> DataFrame:
+    """Sessions, requests and tokens, and the part of subagents."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return parts.agg(
+        F.count_if(F.col("requests") > 0).alias("sessions"),
+        zero(F.sum(F.col("requests") + F.col("subagent_requests"))).alias("requests"),
+        zero(F.sum("subagent_requests")).alias("subagent_requests"),
+        *[zero(_all_tokens(k)).alias(k) for k in TOKEN_KEYS],
+        *[zero(F.sum(f"subagent_{k}")).alias(f"subagent_{k}") for k in TOKEN_KEYS],
     )
-    count = sessions(use).agg(F.count(F.lit(1)).alias("sessions"))
-    return sums.withColumn("_one", F.lit(1)).join(count.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def subagent_share(use: DataFrame) -> DataFrame:
+def subagent_share(parts: DataFrame) -> DataFrame:
     """Share of all context read again that subagents read, in percent."""
-    read = F.col(TOKEN_KEYS[3])
-    sums = use.agg(F.coalesce(F.sum(read), F.lit(0)).alias("context_read"), F.coalesce(F.sum(F.when(F.col("is_sidechain"), read)), F.lit(0)).alias("subagent_context_read"))
+    read, side = F.col(TOKEN_KEYS[3]), F.col(f"subagent_{TOKEN_KEYS[3]}")
+    sums = parts.agg(F.coalesce(F.sum(read + side), F.lit(0)).alias("context_read"), F.coalesce(F.sum(side), F.lit(0)).alias("subagent_context_read"))
     share = F.when(F.col("context_read") > 0, F.col("subagent_context_read") * 100.0 / F.col("context_read")).otherwise(0.0)
     return sums.withColumn("subagent_share_pct", F.bround(share, 1))
 
@@ -302,17 +336,18 @@ def server_calls(ents: DataFrame) -> DataFrame:
 
     A call can carry an attribution and a name with a namespace; both are counted, and also kept apart.
     """
-    named = ents.filter(
-        (F.col("runtime") == CLAUDE) & (F.col("e.type") == "assistant") & (_text(F.col("e.attributionMcpServer")) != "")
-    ).groupBy(F.col("e.attributionMcpServer").alias("name")).agg(
-        F.count(F.lit(1)).alias("attributed"), F.lit(0).cast("bigint").alias("namespaced"), F.min(F.struct("path", "block", "pos", F.lit(0).alias("i"))).alias("first")
-    ).withColumn("rank", F.lit(0))
-    spaced = tool_calls(ents).withColumn("name", namespace(F.col("tool"))).filter(F.col("name") != "").groupBy("name").agg(
-        F.lit(0).cast("bigint").alias("attributed"), F.count(F.lit(1)).alias("namespaced"), F.min(F.struct("path", "block", "pos", "i")).alias("first")
-    ).withColumn("rank", F.lit(1))
-    spellings = named.unionByName(spaced).groupBy("name").agg(
-        F.sum("attributed").alias("attributed"), F.sum("namespaced").alias("namespaced"),
-        F.min(F.struct("rank", "first")).alias("seen"),
+    spoken = F.expr(f"""concat(
+        CASE WHEN runtime = '{CLAUDE}' AND e.type = 'assistant' AND e.attributionMcpServer != ''
+            THEN array(named_struct('rank', 0, 'i', 0, 'name', e.attributionMcpServer))
+            ELSE CAST(array() AS ARRAY<STRUCT<rank INT, i INT, name STRING>>) END,
+        coalesce(transform({_calls()}, c -> named_struct('rank', 1, 'i', c.i, 'name', c.tool)), array()))""")
+    rows = ents.select("path", "block", "pos", F.explode(spoken).alias("s")).select(
+        "path", "block", "pos", "s.rank", "s.i", F.when(F.col("s.rank") == 0, F.col("s.name")).otherwise(namespace(F.col("s.name"))).alias("name")
+    )
+    spellings = rows.filter(F.col("name") != "").groupBy("name").agg(
+        F.count_if(F.col("rank") == 0).alias("attributed"),
+        F.count_if(F.col("rank") == 1).alias("namespaced"),
+        F.min(F.struct("rank", "path", "block", "pos", "i")).alias("seen"),
     )
     calls = F.col("attributed") + F.col("namespaced")
     return spellings.groupBy(canonical(F.col("name")).alias("server")).agg(
@@ -345,7 +380,10 @@ def idle_surface(configured: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def server_report(configured: DataFrame, used: DataFrame) -> DataFrame:
-    """Called servers with where they are configured, and the idle ones with 0 calls."""
+    """Called servers with where they are configured, and the idle ones with 0 calls.
+
+    Both inputs are reports of one row per name; they are used several times, so hand in written tables.
+    """
     called = used.select(F.col("label").alias("name"), "calls").join(configured, "name", "left")
     called = called.select("name", "calls", F.coalesce("source", F.lit("not in config")).alias("source"), F.lit(False).alias("idle"))
     idle = idle_surface(configured, used).select("name", F.lit(0).cast("bigint").alias("calls"), "source", F.lit(True).alias("idle"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.operators.ordered import salted_join
+from logsift.operators.ordered import checked_join
+from logsift.scratch import saved
 
 
 def read_transcripts(spark: SparkSession, roots: list[str], days: int | None = None) -> DataFrame:
@@ -40,15 +41,15 @@ def _parent(path) -> F.Column:
     return F.regexp_replace(path, "[^/]*$", "")
 
 
-def drop_twins(lines: DataFrame) -> DataFrame:
+def drop_twins(lines: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """Leave out ``transcript.jsonl`` where ``transcript_full.jsonl`` lies next to it.
 
-    The choice is made on paths, one row per file, and brought back to the lines with a salted join,
-    since one file may hold most of the lines.
+    ``paths`` is the list of files (:func:`list_transcripts` gives it without reading them); by default it
+    is taken from the lines. The choice is made per file and written, then brought back to the lines.
     """
-    paths = lines.select("path").distinct()
+    paths = (lines if paths is None else paths).select("path").distinct()
     name = F.substring_index("path", "/", -1)
     full = paths.filter(name == "transcript_full.jsonl").select(_parent(F.col("path")).alias("parent"))
     short = paths.filter(name == "transcript.jsonl").withColumn("parent", _parent(F.col("path")))
-    twins = short.join(full, "parent", "left_semi").select("path", F.lit(True).alias("_twin"))
-    return salted_join(lines, twins, ["path"], F.col("pos")).filter(F.col("_twin").isNull()).drop("_twin")
+    twins = saved(short.join(full, "parent", "left_semi").select("path", F.lit(True).alias("_twin")), "twins")
+    return checked_join(lines, twins, ["path"], F.col("pos")).filter(F.col("_twin").isNull()).drop("_twin")
