@@ -1,3 +1,3 @@
 from checks import rules, tables, text  # noqa: F401, I001
-from checks import audit, streams  # noqa: F401
+from checks import audit, linetables, streams  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401
