@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def read_outputs(spark: SparkSession, path: str, command: str = "") -> DataFrame:
-    """One output per file, all under one command label; ``id`` is the file."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    """One output per file, all under one command label; ``id`` is the file.
+
+    For files that do not fit a row use ``operators.lines.read_lines`` and the folds on line tables.
+    """
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(
         F.col("_metadata.file_path").alias("id"),
         F.col("_metadata.file_modification_time").alias("ts"),

@@ -28,7 +28,7 @@ def read_transcripts(spark: SparkSession, roots: list[str], days: int | None = N
 
 
 def list_transcripts(spark: SparkSession, roots: list[str], days: int | None = None) -> DataFrame:
-    """Paths of the transcript files, empty ones too; no content is read."""
+    """Path and size of the transcript files; no content is read. Spark does not list empty files."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(roots)
     )
