@@ -43,6 +43,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "events"), "event_id")
+
+
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     columns = columns or ("doc_id", "text", "source")
     return spread(table(spark, sf, "documents").select(*columns), "doc_id")
@@ -98,7 +102,7 @@ LINES = f"""{OUTPUTS}, lines AS MATERIALIZED (
 
 
 def metric_events(spark: SparkSession, sf: str) -> DataFrame:
-    return metric_columns(table(spark, sf, "events"))
+    return metric_columns(events(spark, sf))
 
 
 def metric_columns(events: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ METRICS = """metrics AS (
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return request_columns(table(spark, sf, "events"))
+    return request_columns(events(spark, sf))
 
 
 def request_columns(events: DataFrame) -> DataFrame:
@@ -182,7 +186,7 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id",
     )
     twins = claude.filter("conv_id % 9 = 0").withColumn("path", F.expr("replace(path, '_full', '')"))
-    happened = table(spark, sf, "events").withColumn("k", F.expr("int(get_json_object(props, '$.k'))"))
+    happened = events(spark, sf).withColumn("k", F.expr("int(get_json_object(props, '$.k'))"))
     codex = happened.select(
         F.expr("concat('codex/u', string(user_id % 20), '.jsonl')").alias("path"),
         F.expr("event_id div 4096").alias("block"),

@@ -18,6 +18,8 @@ from collections.abc import Callable
 UNICODE = "(?dU)"
 ANY_CASE = "(?dUi)"
 SPACE = r"[\s\x1c-\x1f]"
+# Every white space character, by Unicode's own rule.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # What counts as volatile in a line, most specific first, and its stand-in.
 VOLATILE = [
@@ -95,15 +97,33 @@ def strip_ansi(text: str) -> str:
 
 
 def strip(text: str) -> str:
-    """Drop all Unicode white space at both ends (``trim`` drops spaces only)."""
-    return substitute(text, f"{UNICODE}^{SPACE}+|{SPACE}+$", "")
+    """Drop white space at both ends: all of Unicode's, where ``trim`` alone drops spaces."""
+    return f"trim(BOTH {lit(WHITE)} FROM {text})"
 
 
 def fingerprint(line: str) -> str:
-    """The line with its volatile parts replaced, so near-identical lines compare equal."""
-    stable = line
-    for pattern, stand_in in VOLATILE:
-        stable = substitute(stable, UNICODE + pattern, stand_in)
+    """The line with its volatile parts replaced, so near-identical lines compare equal.
+
+    The patterns run in order, but a cheap test skips each group of them that cannot match: most lines
+    of prose need none and most lines of a log two.
+    """
+
+    def replaced(text: str, patterns: list[tuple[str, str]]) -> str:
+        for pattern, stand_in in patterns:
+            text = substitute(text, UNICODE + pattern, stand_in)
+        return text
+
+    def step(text: str, possible: str, patterns: list[tuple[str, str]]) -> str:
+        return f"CASE WHEN {possible} THEN {replaced(text, patterns)} ELSE {text} END"
+
+    hexes, times, address, numbers = VOLATILE[:4], VOLATILE[4:6], VOLATILE[6:7], VOLATILE[7:]
+    stable = let(
+        step(line, search(line, "[0-9a-fA-F]{7}"), hexes),
+        lambda a: let(
+            step(a, f"contains({a}, ':')", times),
+            lambda b: replaced(step(b, f"contains({b}, '0x') OR contains({b}, '0X')", address), numbers),
+        ),
+    )
     return strip(f"CASE WHEN {search(line, UNICODE + MAYBE_VOLATILE)} THEN {stable} ELSE {line} END")
 
 

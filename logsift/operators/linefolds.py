@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.functions.text import fingerprint, hit_file
-from logsift.operators.ordered import position_since, previous_row
 
 COLUMNS = ["id", "block", "n", "line"]
 
@@ -21,18 +20,55 @@ def _marker(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _runs(lines: DataFrame) -> DataFrame:
+    """Add ``at`` and ``length``: where in its run of equal fingerprints a line stands, and how long the run is.
+
+    Runs are found inside blocks. One row per block says how its first and last run look; a window over
+    those tells each block how many lines of its first run lie before it and of its last run after it.
+    """
+    inside = W.partitionBy("id", "block").orderBy("n")
+    printed = lines.select(*COLUMNS, F.expr(fingerprint("line")).alias("fp"))
+    starts = ~F.coalesce((F.col("fp") != "") & (F.col("fp") == F.lag("fp").over(inside)), F.lit(False))
+    local = printed.withColumn("_start", starts.cast("int"))
+    local = local.withColumn("_run", F.sum("_start").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    run = W.partitionBy("id", "block", "_run")
+    local = local.select(
+        "*", F.row_number().over(run.orderBy("n")).alias("_nth"), F.count(F.lit(1)).over(run).alias("_len"),
+        (F.max("_run").over(W.partitionBy("id", "block")) == F.col("_run")).alias("_is_last"),
+    )
+
+    edges = local.groupBy("id", "block").agg(
+        F.count(F.lit(1)).alias("_rows"), (F.max("_run") == 1).alias("_single"),
+        F.min_by(F.struct("fp", "_len"), "n").alias("_head"), F.max_by(F.struct("fp", "_len"), "n").alias("_tail"),
+    )
+    order = W.partitionBy("id").orderBy("block")
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    ahead = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    joined_on = (F.col("_head.fp") != "") & (F.col("_head.fp") == F.lag("_tail.fp").over(order))
+    edges = edges.select("*", ahead.alias("_ahead"), F.coalesce(joined_on, F.lit(False)).alias("_on"), F.sum("_rows").over(W.partitionBy("id")).alias("_all"))
+    # Ranks of the last and the first line in the block that begin a run; none in the middle of a long run.
+    last_start = F.when(~(F.col("_single") & F.col("_on")), F.col("_ahead") + F.col("_rows") - F.col("_tail._len") + 1)
+    first_start = F.when(~F.col("_on"), F.col("_ahead") + 1).when(~F.col("_single"), F.col("_ahead") + F.col("_head._len") + 1)
+    edges = edges.select(
+        "id", "block",
+        F.when(F.col("_on"), F.col("_ahead") - F.max(last_start).over(before) + 1).otherwise(0).alias("_in"),
+        F.when(
+            F.coalesce(F.lead("_on").over(order), F.lit(False)),
+            F.coalesce(F.min(first_start).over(after), F.col("_all") + 1) - F.col("_ahead") - F.col("_rows") - 1,
+        ).otherwise(0).alias("_out"),
+    )
+    rows = local.join(edges, ["id", "block"])
+    inn = F.when(F.col("_run") == 1, F.col("_in")).otherwise(0)
+    out = F.when(F.col("_is_last"), F.col("_out")).otherwise(0)
+    return rows.select(*COLUMNS, (F.col("_nth") - 1 + inn).alias("at"), (F.col("_len") + inn + out).alias("length"))
+
+
 def collapse_repeats(lines: DataFrame, threshold: int = 3) -> DataFrame:
     """Neighbouring lines with one non-empty fingerprint: the first stays, a marker counts the run."""
-    printed = lines.select(*COLUMNS, F.expr(fingerprint("line")).alias("fp"))
-    near = previous_row(printed, ["id"], "block", ["block", "n"], ["fp"])
-    start = ~F.coalesce((F.col("fp") != "") & (F.col("prev.fp") == F.col("fp")), F.lit(False))
-    placed = position_since(near.withColumn("_start", start), ["id"], "block", ["block", "n"], F.col("_start"), "at", "run")
-    lengths = placed.groupBy("id", "run").agg(F.count(F.lit(1)).alias("length")).filter(F.col("length") >= threshold)
-    # A row that far into its run is gone in any case; the others are at most `threshold` rows per run.
-    head = placed.filter(F.col("at") < threshold).join(lengths, ["id", "run"], "left")
-    folded = F.col("length").isNotNull()
+    runs = _runs(lines)
+    folded = F.col("length") >= threshold
     text = F.when(folded & (F.col("at") == 1), _marker("    … ⟨×", F.col("length"), " similar lines⟩")).otherwise(F.col("line"))
-    return head.filter(~folded | (F.col("at") <= 1)).select("id", "block", "n", text.alias("line"))
+    return runs.filter(~folded | (F.col("at") <= 1)).select("id", "block", "n", text.alias("line"))
 
 
 def _cap(lines: DataFrame, key: Column, keep: int, marker) -> DataFrame:

@@ -56,31 +56,6 @@ def running(
     return joined.select(*out)
 
 
-def position_since(
-    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], start: Column, name: str, mark: str
-) -> DataFrame:
-    """Add ``name``: how many rows ago, under the same keys, ``start`` was last true (0 on such a row).
-
-    ``mark`` names a column with the order columns of that row, as a struct. ``start`` has to be true on
-    the first row of every key.
-    """
-    inside = W.partitionBy(*keys, block).orderBy(*order)
-    so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    local = df.withColumn("_n", F.row_number().over(inside).cast("bigint"))
-    begun = F.when(start, F.struct(F.col("_n").alias("n"), F.struct(*order).alias("at")))
-    local = local.withColumn("_s", F.max(begun).over(so_far))
-    totals = local.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_rows"), F.max("_s").alias("_last"))
-    totals = totals.withColumn("_ahead", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    shifted = F.when(F.col("_last").isNotNull(), F.struct((F.col("_ahead") + F.col("_last.n")).alias("n"), F.col("_last.at").alias("at")))
-    totals = totals.withColumn("_open", F.max(shifted).over(before))
-    joined = _join_blocks(local, totals.drop("_rows", "_last"), [*keys, block])
-    here = F.when(F.col("_s").isNotNull(), F.struct((F.col("_ahead") + F.col("_s.n")).alias("n"), F.col("_s.at").alias("at")))
-    joined = joined.withColumn("_last", F.coalesce(here, F.col("_open")))
-    since = F.col("_ahead") + F.col("_n") - F.col("_last.n")
-    return joined.select(*df.columns, since.alias(name), F.col("_last.at").alias(mark))
-
-
 def _join_blocks(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join rows to the one row of their block. The rows already sit where their window put them."""
     return rows.join(blocks, list(keys), "left")
