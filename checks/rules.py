@@ -13,6 +13,7 @@ from logsift.plans import reports
 from logsift.plans.filters import BUILTIN_FILTERS, apply_filter, filter_name
 from logsift.plans.pipeline import compress, footer, render
 from logsift.plans.rules import BUILTIN_RULES, Rule, matches, rule
+from logsift.scratch import new_path, saved
 
 
 def _q(text: str) -> str:
@@ -285,8 +286,8 @@ def q_top_labels(spark, sf):
 @check("recall_rows", RESULTS + f"SELECT CAST(id AS VARCHAR) AS id, ts, command, cwd, exit_code, md5(raw) AS raw, raw_tokens, comp_tokens, label AS filt, CAST(ts AS DATE) AS day, {HANDLE} AS handle FROM results WHERE NOT passthrough")
 def q_recall_rows(spark, sf):
     """Rows the recall table takes, with handles; the digests of a small table differ within 6 characters."""
-    rows = S.with_handles(S.store_rows(results(spark, sf)))
-    return rows.select("id", "ts", "command", "cwd", "exit_code", F.md5("raw").alias("raw"), "raw_tokens", "comp_tokens", "filt", "day", "handle")
+    rows = S.store_rows(results(spark, sf)).withColumn("raw", F.md5("raw"))
+    return S.with_handles(rows).drop("name")
 
 
 @check("run_efficiency", RESULTS.rstrip() + f""", shown AS (SELECT *, CASE WHEN passthrough THEN body ELSE body || chr(10) || {FOOTER} END AS s FROM results),
@@ -346,3 +347,26 @@ def q_store_totals(spark, sf):
 @check("gain_history", f"WITH {STORE} SELECT id, round_even((raw_tokens - comp_tokens) * 100 / raw_tokens, 0) AS saved_pct, raw_tokens, comp_tokens, filt, left(command, 40) AS command FROM store ORDER BY ts DESC, id LIMIT 10")
 def q_history(spark, sf):
     return reports.history(store(spark, sf), 10)
+
+
+@check("store_by_day", RESULTS + "SELECT CAST(ts AS DATE) AS day, count(*) AS outputs, sum(raw_tokens) AS raw_tokens, sum(strlen(raw)) AS bytes FROM results WHERE NOT passthrough GROUP BY ALL")
+def q_store_by_day(spark, sf):
+    """The recall table written by day and read back."""
+    path = new_path(spark, "store")
+    S.write_store(S.store_rows(results(spark, sf)), path)
+    held = S.read_store(spark, path).groupBy("day")
+    return held.agg(F.count(F.lit(1)).alias("outputs"), F.sum("raw_tokens").alias("raw_tokens"), F.sum(F.octet_length("raw")).alias("bytes"))
+
+
+@check("gain_report", RESULTS + """SELECT 'lifetime' AS section, NULL AS label, count(*) AS outputs, sum(raw_tokens - comp_tokens) AS tokens_saved FROM results
+UNION ALL SELECT * FROM (SELECT 'label', label, count(*), sum(raw_tokens - comp_tokens) AS s FROM results WHERE NOT passthrough GROUP BY label ORDER BY s DESC, label LIMIT 6)
+UNION ALL SELECT 'store', NULL, count(*), sum(raw_tokens - comp_tokens) FROM results WHERE NOT passthrough""")
+def q_gain(spark, sf):
+    """Lifetime, labels and store side by side, from one written table of results."""
+    done = saved(results(spark, sf).select("id", "ts", "command", "raw_tokens", "comp_tokens", "label", "passthrough", F.col("label").alias("filt")), "results")
+    parts = reports.gain_report(done, done.filter(~F.col("passthrough")))
+    none = F.lit(None).cast("string").alias("label")
+    life = parts["lifetime"].select(F.lit("lifetime").alias("section"), none, F.col("outputs_seen").alias("outputs"), "tokens_saved")
+    labels = parts["by_label"].select(F.lit("label").alias("section"), "label", "outputs", "tokens_saved")
+    held = parts["store"].select(F.lit("store").alias("section"), none, F.col("outputs_held").alias("outputs"), "tokens_saved")
+    return life.unionByName(labels).unionByName(held)

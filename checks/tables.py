@@ -147,8 +147,8 @@ def q_handles(spark, sf):
 
 @check("recall_handle", f"WITH {_NAMED} SELECT o.id, o.raw FROM outputs AS o JOIN named USING (id) WHERE name LIKE (SELECT left(name, 6) FROM named WHERE id = 42) || '%'")
 def q_recall(spark, sf):
-    named = outputs(spark, sf).withColumn("name", P.digest(F.col("id"), F.col("raw"))).withColumn("handle", F.left("name", F.lit(6)))
-    handle = named.filter("id = 42").first().handle
+    named = outputs(spark, sf).withColumn("name", P.digest(F.col("id"), F.col("raw")))
+    handle = named.filter("id = 42").first().name[:6]
     return S.recall(named, handle).select("id", "raw")
 
 

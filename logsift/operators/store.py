@@ -44,7 +44,8 @@ def with_handles(rows: DataFrame, name: str = "name", shortest: int = 6) -> Data
     """Add ``handle``: the shortest prefix of ``name`` (6 or more characters) no other row shares.
 
     Names that agree in 6 characters are neighbours in sorted order, so a row only has to differ from the
-    two next to it. The groups are slices of a hash and cannot be skewed.
+    two next to it. The groups are slices of a hash and cannot be skewed. For listings: hand in the few
+    columns to show, not the payloads. Recall needs no handle column, it matches a prefix of the name.
     """
     around = W.partitionBy("_start").orderBy(name)
     lengths = F.sequence(F.lit(shortest), F.lit(64))
@@ -61,7 +62,8 @@ def with_handles(rows: DataFrame, name: str = "name", shortest: int = 6) -> Data
 
 
 def recall(store: DataFrame, handle: str) -> DataFrame:
-    return store.filter(F.col("handle") == handle)
+    """The row whose name starts with the handle; the filter reaches the Parquet statistics."""
+    return store.filter(F.col("name").startswith(handle))
 
 
 def recent(store: DataFrame, limit: int = 20) -> DataFrame:
