@@ -57,7 +57,9 @@ def json_view(text: Column, opts: Options = DEFAULTS) -> Column:
             parsed = json.loads(doc.strip())
         except (ValueError, RecursionError):
             return None
-        return json.dumps(_shorten(parsed, opts, opts.json_max_depth), indent=2, ensure_ascii=False)
+        shown = json.dumps(_shorten(parsed, opts, opts.json_max_depth), indent=2, ensure_ascii=False)
+        # An escaped half of a surrogate pair is valid JSON but no valid text.
+        return shown.encode("utf-8", "replace").decode("utf-8")
 
     @F.pandas_udf("string")
     def views(docs: pd.Series) -> pd.Series:

@@ -81,7 +81,7 @@ def elapsed(seconds: Column) -> Column:
 def range_key(path: Column, offset: Column, limit: Column) -> Column:
     """One requested range of one file; no offset means line 1 and no limit means 0."""
     start = F.coalesce(F.nullif(offset.cast("bigint"), F.lit(0).cast("bigint")), F.lit(1).cast("bigint"))
-    return F.concat_ws("|", path, start.cast("string"), F.coalesce(limit.cast("bigint"), F.lit(0).cast("bigint")).cast("string"))
+    return F.concat_ws("|", F.coalesce(path, F.lit("")), start.cast("string"), F.coalesce(limit.cast("bigint"), F.lit(0).cast("bigint")).cast("string"))
 
 
 def file_stamp(size: Column, modified: Column) -> Column:

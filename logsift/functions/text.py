@@ -132,7 +132,7 @@ def clip(line: str, width: int) -> str:
 
     def cut(earlier: str) -> str:
         body = f"CASE WHEN {earlier} = '' THEN {line} ELSE {substitute(line, UNICODE + CLIPPED, '')} END"
-        already = f"CASE WHEN {earlier} = '' THEN 0L ELSE bigint({earlier}) END"
+        already = f"coalesce(try_cast({earlier} AS DECIMAL(30, 0)), 0)"
         return let(
             body,
             lambda b: f"CASE WHEN length({b}) <= {width} THEN {line} ELSE "

@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from logsift.functions.times import micros
 
 
+_NO_TIME = -(1 << 61)
+
+
 def time_block(ts: Column, seconds: int) -> Column:
-    return F.floor(micros(ts) / (seconds * 1_000_000))
+    """Number of the time span; rows without a time share one."""
+    return F.coalesce(F.floor(micros(ts) / (seconds * 1_000_000)), F.lit(_NO_TIME).cast("bigint"))
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], fields: Sequence[str], name: str = "prev") -> DataFrame:

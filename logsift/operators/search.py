@@ -40,7 +40,10 @@ def terms(text: str) -> str:
 
 
 def query_terms(query: str) -> list[str]:
-    """The same words of a query; all of them have to occur."""
+    """The same words of a query; all of them have to occur. None for anything but plain words."""
+    parts = query.split()
+    if not all(re.fullmatch(r"\w+", part) for part in parts) or {"AND", "OR", "NOT"} & set(parts):
+        return []
     plain = query.lower().translate(str.maketrans(_MARKED, _PLAIN))
     return sorted(set(re.findall(r"[^\W_]+", plain)))
 

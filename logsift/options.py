@@ -33,7 +33,7 @@ class Options:
     json_max_str: int = 200
     json_max_depth: int = 8
     # ordered work on one key is cut into time blocks of this many seconds, so no key is one task
-    block_seconds: int = 60
+    block_seconds: int = 600
 
 
 DEFAULTS = Options()

@@ -73,16 +73,16 @@ def compress(
 
     def judged(done: str, before: str, after: str) -> str:
         through = (
-            f"{before} < {opts.min_tokens} OR {done} = {raw} OR ({before} - {after}) / {before} < {opts.min_saving}D"
+            f"{before} < {opts.min_tokens} OR {done} = {raw} OR ({before} - {after}) / nullif({before}, 0) < {opts.min_saving}D"
         )
         return let(
-            through,
+            f"coalesce({through}, false)",
             lambda t: f"""named_struct(
                 'body', CASE WHEN {t} THEN {raw} ELSE {done} END,
                 'raw_tokens', {before},
                 'comp_tokens', CASE WHEN {t} THEN {before} ELSE {after} END,
                 'saved', CASE WHEN {t} THEN 0L ELSE {before} - {after} END,
-                'pct', CASE WHEN {t} THEN 0.0D ELSE ({before} - {after}) / {before} * 100 END,
+                'pct', CASE WHEN {t} OR {before} = 0 THEN 0.0D ELSE ({before} - {after}) / {before} * 100 END,
                 'label', CASE WHEN {t} THEN 'passthrough' WHEN {js} IS NOT NULL THEN 'json'
                               WHEN size(_state.names) = 0 THEN 'none' ELSE array_join(_state.names, '+') END,
                 'passthrough', {t})""",

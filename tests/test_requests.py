@@ -71,6 +71,13 @@ def test_what_makes_a_read_new(spark):
     assert decide(df.withColumn("offset", F.col("seq")))[1] == "suppress"  # no offset and line 1 are one range
 
 
+def test_no_read_is_lost(spark):
+    """Rows without session, path, time or stamp are served, each as often as it is asked for."""
+    rows = [(None, 0, START, "/f", "1"), (None, 1, START + timedelta(seconds=5), "/f", "1"), ("s", 2, None, "/f", "1"), ("s", 3, START, None, "1"), ("s", 4, START + timedelta(seconds=9), None, "1"), ("s", 5, START, "/f", None)]
+    df = spark.createDataFrame([(*r[:4], None, None, r[4], None if r[1] % 2 else False, 10) for r in rows], SCHEMA)
+    assert decide(df) == {i: "serve" for i in range(6)}
+
+
 def random_log(seed, n):
     rng = random.Random(seed)
     t, rows = 0.0, []
