@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import LINES, METRICS, STORE, outputs, store, tokens_sql
 from checks.registry import check
-from checks.text import _with, fp_sql
+from checks.text import fp_sql
 from logsift.functions import text as T
 from logsift.operators import store as S
 from logsift.plans import reports

@@ -9,7 +9,6 @@ from checks.registry import check
 from logsift.functions import labels
 from logsift.functions import payload as P
 from logsift.functions.jsonview import is_json, json_view
-from logsift.functions.text import strip
 from logsift.operators import jsonshape, packs, search
 from logsift.operators import requests as R
 from logsift.operators import selection

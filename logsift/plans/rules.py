@@ -165,9 +165,23 @@ def readable(pattern: Any) -> bool:
     return True
 
 
+def replaceable(arg: Any) -> bool:
+    """A pair of a pattern and a template that only refers to the pattern's groups."""
+    try:
+        re.sub(arg[0], arg[1], "")
+    except (re.error, TypeError, IndexError, KeyError):
+        return False
+    return _is_pair(arg)
+
+
+def _group(name: str) -> str:
+    return name.replace("_", "U95")
+
+
 def java_pattern(pattern: str) -> str:
     """Python's named groups and end-of-text anchor in Java's spelling."""
-    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")).replace(r"\Z", r"\z")
+    named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{_group(m[1])}>", pattern)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{_group(m[1])}>", named).replace(r"\Z", r"\z")
 
 
 def java_replacement(template: str) -> str:
@@ -175,7 +189,7 @@ def java_replacement(template: str) -> str:
     out = []
     for part in re.split(r"(\\g<\w+>|\\\d{1,2}|\\.)", template):
         if group := re.fullmatch(r"\\g<(\w+)>", part):
-            out.append(f"${group[1]}" if group[1].isdigit() else f"${{{group[1]}}}")
+            out.append(f"${group[1]}" if group[1].isdigit() else f"${{{_group(group[1])}}}")
         elif re.fullmatch(r"\\\d{1,2}", part):
             out.append("$" + part[1:])
         else:
@@ -226,7 +240,7 @@ def _step(kind: str, arg: Any, items: str, lines: folds.Lines, opts: Options) ->
         pattern = UNICODE + java_pattern(arg)
         wanted = (lambda l: f"NOT {search(l, pattern)}") if kind == "drop_lines" else (lambda l: search(l, pattern))
         return folds.at_least_one(folds.keep_where(items, lines, wanted), lines)
-    if kind == "replace" and _is_pair(arg) and readable(arg[0]):
+    if kind == "replace" and replaceable(arg):
         # The pattern may span lines, so this one works on the whole text.
         whole = T.substitute(_whole_text(items, lines), UNICODE + java_pattern(arg[0]), java_replacement(arg[1]))
         new = T.split_lines(whole)
@@ -265,7 +279,7 @@ def _dropped(kind: str, arg: Any, before: str, after: str, lines: folds.Lines) -
 
 
 def _replaced(kind: str, arg: Any, before: str, lines: folds.Lines) -> str:
-    if kind == "replace" and _is_pair(arg) and readable(arg[0]):
+    if kind == "replace" and replaceable(arg):
         return f"regexp_count({_whole_text(before, lines)}, {lit(UNICODE + java_pattern(arg[0]))})"
     return "0"
 
