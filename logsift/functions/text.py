@@ -45,6 +45,8 @@ _names = itertools.count()
 def lit(value: str) -> str:
     """SQL literal of a string."""
     escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
+    # Spark fills in ${...} before it reads the text.
+    escaped = escaped.replace("${", "\\u0024{")
     return f"'{escaped}'"
 
 

@@ -163,3 +163,8 @@ def test_bom_ansi_snippet(spark):
     assert one(spark, T.strip_bom("t"), t="﻿﻿a﻿") == "a﻿"
     assert one(spark, T.strip_ansi("t"), t="\x1b[1;31mred\x1b[0m \x1b[2Kx") == "red x"
     assert one(spark, T.snippet("t", 5), t=" a \t\n b c  d") == "a b c"
+
+
+@pytest.mark.parametrize("value", ["", "it's", "a\\b\\", "${spark.app.name}", "$1", "\n\r\t", "⟨é🙂⟩", "\\u0041", "%_", '"q"'])
+def test_literals(spark, value):
+    assert one(spark, T.lit(value)) == value
