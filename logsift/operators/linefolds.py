@@ -2,7 +2,8 @@
 
 Here one output may hold most of the lines of a corpus, so nothing is partitioned by output alone:
 neighbours are compared inside blocks and carried over block edges, "first few per key" leaves every task
-as a few rows per key, and counts are added up before the shuffle. Lines keep their ``block`` and ``n``.
+as a few rows per key, and counts are added up before the shuffle. Lines keep their ``block`` and ``n``;
+none of ``id``, ``block`` and ``n`` may be NULL.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def _runs(lines: DataFrame) -> DataFrame:
             F.coalesce(F.min(first_start).over(after), F.col("_all") + 1) - F.col("_ahead") - F.col("_rows") - 1,
         ).otherwise(0).alias("_out"),
     )
-    rows = local.join(edges, ["id", "block"])
+    rows = local.join(edges, ["id", "block"], "left")
     inn = F.when(F.col("_run") == 1, F.col("_in")).otherwise(0)
     out = F.when(F.col("_is_last"), F.col("_out")).otherwise(0)
     return rows.select(*COLUMNS, (F.col("_nth") - 1 + inn).alias("at"), (F.col("_len") + inn + out).alias("length"))
