@@ -62,7 +62,7 @@ def running(
 
 def _join_blocks(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join rows to the one row of their block. The rows already sit where their window put them."""
-    return rows.join(blocks, list(keys), "left")
+    return rows.join(blocks, list(keys))
 
 
 def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str], salt: Column, how: str = "left", salts: int = 32) -> DataFrame:
