@@ -11,7 +11,7 @@ from logsift.functions import text as T
 from logsift.operators import store as S
 from logsift.plans import reports
 from logsift.plans.filters import BUILTIN_FILTERS, apply_filter, filter_name
-from logsift.plans.pipeline import compress, footer, render
+from logsift.plans.compression import compress, footer, render
 from logsift.plans.rules import BUILTIN_RULES, Rule, matches, rule
 from logsift.scratch import new_path, saved
 

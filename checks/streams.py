@@ -14,8 +14,11 @@ from logsift.streaming.ledger import start_ledger
 
 
 def _stream(spark, sf, name):
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table as a stream of its files, on all cores if they are few (as ``spread`` does for tables)."""
+    table = spark.read.parquet(f"{sf}/{name}.parquet")
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    cores = spark.sparkContext.defaultParallelism
+    return stream if table.rdd.getNumPartitions() >= cores else stream.repartition(cores, table.columns[0])
 
 
 def _run(spark, start, *args, **options) -> str:

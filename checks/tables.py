@@ -51,7 +51,7 @@ v AS (SELECT *, raw_tokens < 40 OR length(view) >= length(raw) OR (raw_tokens -
 SELECT id, raw_tokens, CASE WHEN through THEN raw_tokens ELSE after END AS comp_tokens, CASE WHEN through THEN 'passthrough' ELSE 'json' END AS label, md5(CASE WHEN through THEN raw ELSE view END) AS body FROM v WHERE length(view) < length(raw)""")
 def q_json_compress(spark, sf):
     """JSON outputs through the pipeline; where the view is no shorter they are line work, left out here."""
-    from logsift.plans.pipeline import compress
+    from logsift.plans.compression import compress
 
     docs = json_docs(spark, sf).withColumn("command", F.lit("curl")).withColumn("_shorter", F.length(json_view(F.col("raw"))) < F.length("raw"))
     done = compress(docs).filter("_shorter")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logsift.functions.labels import CLIENTS, client_label
 from logsift.functions.text import tokens
 from logsift.operators import store as S
-from logsift.plans.pipeline import render
+from logsift.plans.compression import render
 
 
 def _zero(c: Column) -> Column:

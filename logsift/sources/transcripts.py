@@ -47,9 +47,12 @@ def drop_twins(lines: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     ``paths`` is the list of files (:func:`list_transcripts` gives it without reading them); by default it
     is taken from the lines. The choice is made per file and written, then brought back to the lines.
     """
-    paths = (lines if paths is None else paths).select("path").distinct()
     name = F.substring_index("path", "/", -1)
-    full = paths.filter(name == "transcript_full.jsonl").select(_parent(F.col("path")).alias("parent"))
-    short = paths.filter(name == "transcript.jsonl").withColumn("parent", _parent(F.col("path")))
-    twins = saved(short.join(full, "parent", "left_semi").select("path", F.lit(True).alias("_twin")), "twins")
+    kept = lambda wanted: F.max(F.when(name == wanted, F.col("path")))
+    pairs = (lines if paths is None else paths).filter(name.isin("transcript.jsonl", "transcript_full.jsonl"))
+    pairs = pairs.groupBy(_parent(F.col("path")).alias("parent")).agg(
+        kept("transcript.jsonl").alias("path"), kept("transcript_full.jsonl").alias("full")
+    )
+    twins = pairs.filter("path IS NOT NULL AND full IS NOT NULL").select("path", F.lit(True).alias("_twin"))
+    twins = saved(twins, "twins")
     return checked_join(lines, twins, ["path"], F.col("pos")).filter(F.col("_twin").isNull()).drop("_twin")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from logsift.plans.pipeline import compress
+from logsift.plans.compression import compress
 
 
 def start_compress(outputs: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **options):

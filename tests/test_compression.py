@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logsift.options import Options
 from logsift.plans.filters import Filter
-from logsift.plans.pipeline import compress, footer, render
+from logsift.plans.compression import compress, footer, render
 from logsift.plans.rules import BUILTIN_RULES, java_replacement, rule, rule_from_dict
 from logsift.sources.rulepacks import load_rules, rule_table
 
