@@ -71,11 +71,11 @@ def postings(store: DataFrame) -> DataFrame:
     return words.select("p.term", "id", "p.field", "p.tf", "ts")
 
 
-def write_postings(index: DataFrame, path: str, slices: int = 8) -> None:
-    """Partition by term bucket. Each bucket is written in slices, so a word in every row is no hot task."""
+def write_postings(index: DataFrame, path: str) -> None:
+    """Partition by term bucket. Rebalancing splits a bucket that is large, so a common word is no hot task."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")
-    laid_out = index.select("*", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(slices)))
-    laid_out.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    laid_out = index.select("*", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+    laid_out.write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
 def matching(index: DataFrame, query: str) -> DataFrame:

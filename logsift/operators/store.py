@@ -32,7 +32,12 @@ def store_rows(results: DataFrame, opts: Options = DEFAULTS, store_all: bool = F
     )
 
 
-def write_store(rows: DataFrame, path: str, mode: str = "append") -> None:
+def write_store(rows: DataFrame, path: str, mode: str = "append", by_time: bool = False) -> None:
+    """Write by day. Rebalancing gives every day files of a good size and splits a day that is large.
+
+    ``by_time=True`` skips that shuffle for rows that already lie in order of time.
+    """
+    rows = rows if by_time else rows.hint("rebalance", "day")
     rows.write.partitionBy("day").mode(mode).parquet(path)
 
 

@@ -20,12 +20,16 @@ def start_ledger(requests: DataFrame, path: str, checkpoint: str, opts: Options
         spark = batch.sparkSession
         old = spark.read.parquet(f"{path}/ledger-{(number - 1) % 2}") if number else None
         written = f"{path}/decisions/batch={number}"
-        repeat_reads(batch, opts, old).write.mode("overwrite").parquet(written)
-        now = ledger_after(spark.read.parquet(written), batch, opts, old)
-        newest = batch.agg({"ts": "max"}).first()[0]
-        if newest is not None:
-            now = expire(now, newest, opts)
-        now.write.mode("overwrite").parquet(f"{path}/ledger-{number % 2}")
+        batch.persist()
+        try:
+            repeat_reads(batch, opts, old).write.mode("overwrite").parquet(written)
+            now = ledger_after(spark.read.parquet(written), batch, opts, old)
+            newest = batch.agg({"ts": "max"}).first()[0]
+            if newest is not None:
+                now = expire(now, newest, opts)
+            now.write.mode("overwrite").parquet(f"{path}/ledger-{number % 2}")
+        finally:
+            batch.unpersist()
 
     writer = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
