@@ -20,35 +20,35 @@ def is_json(text: Column) -> Column:
     return looks_like_json(text) & F.try_parse_json(text).isNotNull()
 
 
-def _counted(n: int, word: str) -> str:
-    return f"{n} {word}" if n == 1 else f"{n} {word}s"
-
-
-def _shorten(node, opts: Options, levels: int):
-    if levels <= 0:
-        if isinstance(node, dict):
-            return f"⟨object with {_counted(len(node), 'key')} elided at depth limit⟩"
-        if isinstance(node, list):
-            return f"⟨array of {_counted(len(node), 'item')} elided at depth limit⟩"
-        return node
-    if isinstance(node, dict):
-        return {key: _shorten(child, opts, levels - 1) for key, child in node.items()}
-    if isinstance(node, list):
-        shown = [_shorten(child, opts, levels - 1) for child in node[: opts.json_max_array]]
-        hidden = len(node) - len(shown)
-        return shown + [f"… ⟨{hidden} more of {len(node)} items⟩"] if hidden else shown
-    if isinstance(node, str) and len(node) > opts.json_max_str:
-        return node[: opts.json_max_str] + f"… ⟨+{len(node) - opts.json_max_str} chars⟩"
-    return node
-
-
 def json_view(text: Column, opts: Options = DEFAULTS) -> Column:
     """Indented view with long arrays, long strings and deep nesting cut; NULL if not JSON.
 
     This is the one Python step of the library. A document without a schema has to be walked with its
     key order and number spelling kept, and VARIANT keeps neither. Rows that do not start like JSON
-    reach Python as NULL.
+    reach Python as NULL. The helpers are local and use plain numbers, so they travel with the function
+    and the workers need no copy of this package.
     """
+    most_items, most_chars, depth = opts.json_max_array, opts.json_max_str, opts.json_max_depth
+
+    def counted(n, word):
+        return f"{n} {word}" if n == 1 else f"{n} {word}s"
+
+    def shorten(node, levels):
+        if levels <= 0:
+            if isinstance(node, dict):
+                return f"⟨object with {counted(len(node), 'key')} elided at depth limit⟩"
+            if isinstance(node, list):
+                return f"⟨array of {counted(len(node), 'item')} elided at depth limit⟩"
+            return node
+        if isinstance(node, dict):
+            return {key: shorten(child, levels - 1) for key, child in node.items()}
+        if isinstance(node, list):
+            shown = [shorten(child, levels - 1) for child in node[:most_items]]
+            hidden = len(node) - len(shown)
+            return shown + [f"… ⟨{hidden} more of {len(node)} items⟩"] if hidden else shown
+        if isinstance(node, str) and len(node) > most_chars:
+            return node[:most_chars] + f"… ⟨+{len(node) - most_chars} chars⟩"
+        return node
 
     def view(doc):
         if doc is None:
@@ -57,7 +57,7 @@ def json_view(text: Column, opts: Options = DEFAULTS) -> Column:
             parsed = json.loads(doc.strip())
         except (ValueError, RecursionError):
             return None
-        shown = json.dumps(_shorten(parsed, opts, opts.json_max_depth), indent=2, ensure_ascii=False)
+        shown = json.dumps(shorten(parsed, depth), indent=2, ensure_ascii=False)
         # An escaped half of a surrogate pair is valid JSON but no valid text.
         return shown.encode("utf-8", "replace").decode("utf-8")
 

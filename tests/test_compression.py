@@ -100,6 +100,30 @@ def test_json_is_exclusive(run):
     assert run("rg x", "[broken\n" + "step 1\n" * 100).label == "fold-repeats"
 
 
+def test_the_python_step_needs_no_package_on_the_workers():
+    """Unpickled where this library cannot be imported, as on an executor."""
+    import base64
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    from pyspark.sql import functions as functions_module
+
+    caught = []
+    original = functions_module.pandas_udf
+    functions_module.pandas_udf = lambda kind: lambda f: caught.append(f) or (lambda column: column)
+    try:
+        from logsift.functions.jsonview import json_view
+
+        json_view(F.lit("[1]"))
+    finally:
+        functions_module.pandas_udf = original
+    code = base64.b64encode(cloudpickle.dumps(caught[0])).decode()
+    script = f"import base64, pickle, pandas as pd; print(pickle.loads(base64.b64decode('{code}'))(pd.Series(['[1]', None])).tolist())"
+    done = subprocess.run([sys.executable, "-c", script], cwd="/", env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
+    assert "[\\n  1\\n]" in done.stdout, done.stderr
+
+
 def test_user_rules_and_stop(run):
     rules = [
         *BUILTIN_RULES,
