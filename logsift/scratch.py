@@ -1,4 +1,4 @@
-"""Where intermediate tables go: the cluster's shared folder, a temporary one only where none is set."""
+"""Where intermediate tables go: the cluster's shared folder, a temporary one only in local mode."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Unset, a local session gets a temporary one; a cluster has to name a shared one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="logsift-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared
