@@ -77,7 +77,7 @@ def links(fps: DataFrame) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     grid = F.array(*(F.struct(F.lit(k).alias("pair"), F.col("point").bitwiseAND(F.lit(m)).alias("at")) for k, m in enumerate(signed)))
     cells = fps.select("fp", point("fp").alias("point")).select("fp", "point", F.explode(grid).alias("cell")).select("fp", "point", "cell.pair", "cell.at")
-    shared = cells.groupBy("pair", "at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = saved(cells.groupBy("pair", "at").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-cells")
     members = saved(cells.join(shared, ["pair", "at"]), "cells")
 
     few = members.where(F.col("n") <= CROWD)
@@ -105,7 +105,9 @@ def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
     rows = saved(fingerprints(docs, words), "fingerprints")
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     joined = components(links(fps))
+    # Tables of their own, so that joins on a hot component or fingerprint have an exchange on either side and can be split.
     labelled = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    labelled = saved(labelled, "labelled")
+    named = saved(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "named")
     of_fp = labelled.select("fp", "component").join(named, "component").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
