@@ -9,7 +9,9 @@ from logsift.llm.common import table
 from logsift.llm.linededup import dedup_lines
 from logsift.llm.packing import pack
 from logsift.llm.simhash import near_groups
+from logsift.llm.topk import top_k
 from logsift.llm.tokenids import read_token_ids, write_token_ids
+from logsift.llm.warc import assemble, page_captures, read_warc, write_warc
 from logsift.scratch import new_path
 
 WORDS_49K = "word_bpe_49k.json"
@@ -55,6 +57,31 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    captures = page_captures(assemble(read_warc(spark, path, payloads=False)))
+    return captures.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+TOP_K_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS score
+  FROM usable a JOIN usable b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 5
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), words=3)
 
@@ -63,6 +90,8 @@ QUERIES = {
     "op3_token_ids": op3_token_ids,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op8_warc": op8_warc,
+    "op9_top_k": op9_top_k,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op4_line_dedup": LINE_DEDUP_SQL}
+ORACLES = {"op4_line_dedup": LINE_DEDUP_SQL, "op9_top_k": TOP_K_SQL}
