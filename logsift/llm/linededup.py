@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.llm.common import WHITE, ascii_lower
+from logsift.scratch import saved
 
 
 def line_key(line: Column) -> Column:
@@ -42,8 +43,10 @@ def dedup_lines(docs: DataFrame, min_length: int = 10, min_docs: int = 2) -> Dat
     else:
         once = held.select("h1", "h2", "id").distinct()
         shared = once.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    # A table of its own, so that the join below has an exchange on either side and its hot lines can be split.
+    shared = saved(shared.select("h1", "h2", "first"), "shared-lines")
     dropped = (
-        held.join(shared.select("h1", "h2", "first"), ["h1", "h2"])
+        held.join(shared, ["h1", "h2"])
         .where(F.col("id") > F.col("first"))
         .groupBy("id", "version")
         .agg(F.array_sort(F.collect_set("at")).alias("drop"))

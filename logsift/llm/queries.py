@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm.common import table
+from logsift.llm import langid, quality, toxicity
+from logsift.llm.common import fold, table
 from logsift.llm.linededup import dedup_lines
 from logsift.llm.packing import pack
 from logsift.llm.simhash import near_groups
@@ -23,6 +24,14 @@ def tokenizer(name: str = WORDS_49K) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(doc_id: str, parts: int, part: int) -> Column:
+    return fold(doc_id, parts) == part
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.learn_and_identify(table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-ids")
     write_token_ids(table(spark, sf_dir, "documents"), path, tokenizer(), end_id=2)
@@ -57,6 +66,22 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, part: int) -> DataFrame:
+    """Texts with a label, of the rows that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part)).select("doc_id", label)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents"), quality.fit(labelled(spark, sf_dir, "quality", 3, 1)))
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), toxicity.learn(labelled(spark, sf_dir, "toxic", 4, 2)))
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -87,9 +112,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
     "op3_token_ids": op3_token_ids,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
     "op10_simhash": op10_simhash,
