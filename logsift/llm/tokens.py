@@ -69,7 +69,7 @@ class Encoder:
             layout = json.load(file)
         steps = [x.get("type") for x in (layout.get("normalizer") or {}).get("normalizers", [])]
         cuts = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        apart = steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("invert") and SEPARATE in str(cuts[0].get("pattern"))
+        apart = steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("invert") and str(cuts[0]["pattern"].get("Regex")).endswith(SEPARATE)
         self.words = WordIds(self.tokenizer, self.kind) if apart else None
 
     def encode(self, text: bytes) -> bytes:

@@ -16,6 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_word_cache_gives_the_ids_of_whole_texts(small):
     encode = Encoder(TOKENIZER)
+    assert encode.words is not None
     texts = [t for _, t in ODD] + [r.text for r in small("documents").select("text").collect()] + [r.html for r in small("pages").select("html").collect()]
     for text in texts:
         assert np.array_equal(np.frombuffer(encode.encode((text or "").encode()), encode.kind), token_ids(text)), (text or "")[:80]
