@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logsift.llm import langid, quality, toxicity
 from logsift.llm.common import fold, table
+from logsift.llm.decontaminate import contaminated
 from logsift.llm.linededup import dedup_lines
 from logsift.llm.packing import pack
 from logsift.llm.simhash import near_groups
@@ -24,6 +25,10 @@ def tokenizer(name: str = WORDS_49K) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def held_out(doc_id: str, parts: int, part: int) -> Column:
     return fold(doc_id, parts) == part
 
@@ -112,6 +117,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_language": op2_language,
     "op3_token_ids": op3_token_ids,
     "op4_line_dedup": op4_line_dedup,

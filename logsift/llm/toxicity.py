@@ -144,9 +144,9 @@ def hits(text: str | None, matcher: Matcher) -> tuple[int, int]:
     plain = quoted = 0
     for k, m in enumerate(spans):
         if m[0] in found:
-            before = lower[spans[max(0, k - WINDOW)].start() : m.start()]
-            after = lower[m.end() : spans[min(len(spans) - 1, k + WINDOW)].end()]
-            inside = any(before.count(q) % 2 for q in '"') and '"' in after or any(q in before for q in "“„«‹") and any(q in after for q in "”“»›")
+            before = lower[spans[k - WINDOW - 1].end() if k > WINDOW else 0 : m.start()]
+            after = lower[m.end() : spans[k + WINDOW + 1].start() if k + WINDOW + 1 < len(spans) else len(lower)]
+            inside = before.count('"') % 2 == 1 and '"' in after or any(q in before for q in "“„«‹") and any(q in after for q in "”“»›")
             reported = not REPORTING.isdisjoint(w[0] for w in spans[max(0, k - WINDOW) : k])
             quoted, plain = (quoted + 1, plain) if inside or reported else (quoted, plain + 1)
     return plain, quoted
