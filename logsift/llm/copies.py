@@ -1,0 +1,114 @@
+"""Groups of similar texts, found by SimHash and verified by the shingles themselves.
+
+The SimHash of a whole text moves by some ten bits when a fifth of its five-word shingles change, which no grid can search. So a text has
+``VIEWS`` fingerprints, each the SimHash of the ``SAMPLE`` shingles whose hashes are smallest in an order of that view's own. Two texts
+of similarity s share a whole sample in one view with probability s^3, in one of twelve views with 99.98 % at 0.8. Samples meet in the
+grid of the SimHash operator, view by view. Every text is then compared with the smallest id of its component in a view: the Jaccard
+similarity of their sets of shingles, exactly. Only texts that share a sample with another text are read again for that.
+
+Exact copies are grouped by a 128-bit hash first, and one of them is searched. No step gathers a group in one place.
+
+Defined results: null, empty and blank texts are copies of one another. Fewer words than a shingle: the whole sequence is one. Words are
+split at ASCII white space, A-Z lower-cased. Rows without an id are groups of their own and are not searched. Rows with one id are one
+text in the search if they are equal, and members of one group always. An empty table stays empty; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from logsift.llm.common import slices, texts_of
+from logsift.llm.components import components
+from logsift.llm.simhash import links
+from logsift.scratch import saved
+
+VIEWS, SAMPLE = 12, 3
+VIEWED = "doc_id bigint, h1 bigint, h2 bigint, views array<bigint>"
+ORDERS = [0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(1, VIEWS + 1)]
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Different hashes of a text's shingles: runs of ``words`` word hashes mixed one after the other."""
+    from xxhash import xxh64_intdigest
+
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, dtype=np.uint64)
+    own = {w: xxh64_intdigest(w) for w in set(found)}
+    hashes = np.fromiter(map(own.__getitem__, found), dtype=np.uint64, count=len(found))
+    n = min(words, len(found))
+    runs = np.full(len(found) - n + 1, n, dtype=np.uint64)
+    for k in range(n):
+        runs = (runs ^ hashes[k : len(found) - n + 1 + k]) * np.uint64(0xD6E8FEB86659FD93)
+        runs ^= runs >> np.uint64(32)
+    return np.unique(runs)
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Another hash of hashes, without any order of theirs left in it."""
+    hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return hashes ^ (hashes >> np.uint64(31))
+
+
+def view_fingerprints(hashes: np.ndarray) -> list[int]:
+    """For each view the bitwise majority of its smallest hashes, as a signed long."""
+    out = []
+    for order in ORDERS:
+        ordered = mixed(hashes ^ np.uint64(order))
+        sample = np.partition(ordered, SAMPLE - 1)[:SAMPLE] if len(ordered) > SAMPLE else ordered
+        # Hashed again, as small numbers have few high bits; the order keeps the views apart.
+        bits = np.unpackbits(mixed(sample ^ np.uint64(order)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+        out.append(int(np.packbits(2 * bits > len(sample)).view(">i8")[0]))
+    return out
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, group_id`` for every row of ``doc_id, text`` with an id: the smallest id that links of enough similarity reach."""
+
+    def viewed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh128_digest
+
+        for batch in slices(batches, 256):
+            texts = texts_of(batch, "text")
+            copies = np.array([np.frombuffer(xxh128_digest(b" ".join(x.lower().split())), dtype="<i8") for x in texts]).reshape(-1, 2)
+            views = [view_fingerprints(h) if len(h := shingle_hashes(x, words)) else [] for x in texts]
+            arrays = [batch.column("doc_id"), pa.array(copies[:, 0]), pa.array(copies[:, 1]), pa.array(views, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h1", "h2", "views"])
+
+    def hashed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches, 256):
+            found = [np.sort(shingle_hashes(x, words).view(np.int64)) for x in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    all_views = saved(rows.mapInArrow(viewed, VIEWED), "views")
+    texts = saved(all_views.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("views").alias("views")), "texts")
+
+    # One text may be the smallest id of two versions of a row: they are one group through that id.
+    prints = saved(texts.select("node", F.explode("views").alias("fp")), "view-fingerprints")
+    smallest = prints.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    shared = saved(smallest, "shared-views")
+    joined = components(links(shared.select("fp")))
+    placed = saved(shared.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("view"), "least", "most"), "placed-views")
+    heads = placed.groupBy("view").agg(F.min("least").alias("head"), F.max("most").alias("most")).where("head < most").select("view", "head")
+    head_of = saved(placed.select("fp", "view").join(saved(heads, "heads"), "view").select("fp", "head"), "heads-of-views")
+    pairs = saved(prints.join(head_of, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
+
+    members = saved(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "members")
+    sets = saved(rows.join(members, "doc_id", "left_semi").mapInArrow(hashed, "doc_id bigint, shingles array<bigint>"), "shingle-sets")
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    near = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+    copies = all_views.join(saved(texts.select("h1", "h2", "node"), "nodes"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    groups = components(saved(near.union(copies.where("a <> b")), "near"))
+    ids = all_views.select("doc_id").distinct()
+    return ids.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))

@@ -61,7 +61,7 @@ class Hasher:
         if len(self.kept) >= KEPT_WORDS:
             self.kept.clear()
         kept = self.kept
-        for word in set(words) - kept.keys():
+        for word in [w for w in set(words) if w not in kept]:
             kept[word] = xxh64_intdigest(word.encode())
         hashes = np.fromiter(map(kept.__getitem__, words), dtype=np.uint64, count=len(words))
         n = min(WORDS, len(words))

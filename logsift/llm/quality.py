@@ -60,7 +60,7 @@ class Counter:
         if len(self.kept) >= KEPT_WORDS:
             self.kept.clear()
         kept = self.kept
-        for word in set(words) - kept.keys():
+        for word in [w for w in set(words) if w not in kept]:
             kept[word] = terms_of(word)
         found = np.bincount(np.array([kept[w] for w in words]).ravel(), minlength=TERMS).astype(np.float32)
         # Repetitions: a word after itself, words used again, lines used again; each as a share of its own bucket.
@@ -143,7 +143,18 @@ def fit(labelled: DataFrame, fit_rows: int = 3_000) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every row of ``doc_id, text``, from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model, "score").drop("text")
+
+
+def score_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``docs`` and ``quality_score``."""
+    return _scored(docs.drop("quality_score"), model, "quality_score")
+
+
+def _scored(rows: DataFrame, model: Model, name: str) -> DataFrame:
+    from pyspark.sql import types as T
+
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -151,7 +162,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         counter, model = Counter(), shared.value
         for batch in slices(batches, 256):
             counts = np.stack([counter.counts(x) for x in texts_of(batch, "text")])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(counts).astype(np.float64))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(counts).astype(np.float64))], [*batch.schema.names, name])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(scored, "doc_id bigint, score double")
+    return rows.mapInArrow(scored, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
