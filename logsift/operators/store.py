@@ -12,7 +12,7 @@ from logsift.options import DEFAULTS, Options
 
 
 def store_rows(results: DataFrame, opts: Options = DEFAULTS, store_all: bool = False) -> DataFrame:
-    """Rows to remember: compressed outputs (or all), the payload cut at the byte cap.
+    """Rows to remember: compressed outputs (or all), the payload cut at the byte cap if one is set.
 
     Needs the columns of ``compress`` plus ``id, ts, cwd, exit_code``. Token counts are of the full text.
     """
@@ -91,12 +91,12 @@ def totals(store: DataFrame) -> DataFrame:
     )
 
 
-def cap_rows(store: DataFrame, cap: int | None = DEFAULTS.max_store_rows) -> DataFrame:
+def cap_rows(store: DataFrame, cap: int | None) -> DataFrame:
     """The newest ``cap`` rows."""
     return keep_newest(store, F.lit(1).cast("bigint"), cap)
 
 
-def cap_bytes(store: DataFrame, cap: int | None = DEFAULTS.max_store_bytes) -> DataFrame:
+def cap_bytes(store: DataFrame, cap: int | None) -> DataFrame:
     """The newest rows whose payloads fit ``cap`` bytes together; oldest go first."""
     return keep_newest(store, payload_bytes(F.col("raw")).cast("bigint"), cap)
 
@@ -107,16 +107,18 @@ def keep_newest(store: DataFrame, weight: Column, cap: int | None) -> DataFrame:
     There is no window over the whole table. Weights are summed per day, and only the day in which the
     cap is reached is looked at by the second, then by the microsecond, then by slices of a hash for rows
     of one instant. Each look brings one boundary value back; the windows see at most a day's seconds, a
-    second's microseconds or 4,096 slices. Rows of one instant are ordered by the MD5 of their id.
+    second's microseconds or 4,096 slices. Rows of one instant are ordered by the MD5 of their id. Rows
+    without a time are older than all others.
     """
     if not cap or cap <= 0:
         return store
     at = micros("ts")
     tie = F.md5(F.col("id").cast("string"))
+    timeless = F.lit(-(1 << 62))
     levels = [
-        F.floor(at / 86_400_000_000),
-        F.pmod(F.floor(at / 1_000_000), F.lit(86_400)),
-        F.pmod(at, F.lit(1_000_000)),
+        F.coalesce(F.floor(at / 86_400_000_000), timeless),
+        F.coalesce(F.pmod(F.floor(at / 1_000_000), F.lit(86_400)), timeless),
+        F.coalesce(F.pmod(at, F.lit(1_000_000)), timeless),
         F.conv(F.left(tie, F.lit(3)), 16, 10).cast("bigint"),
     ]
     newer, here, budget = F.lit(False), F.lit(True), cap

@@ -13,10 +13,10 @@ class Options:
     collapse_threshold: int = 3
     keep_head: int = 40
     keep_tail: int = 20
-    # recall table
-    max_store_rows: int = 5_000
-    max_store_bytes: int = 268_435_456
-    max_row_bytes: int = 4_194_304
+    # recall table; nothing is cut unless a cap is set
+    max_store_rows: int = 0
+    max_store_bytes: int = 0
+    max_row_bytes: int = 0
     # request clamps
     grep_head_limit_content: int = 80
     grep_head_limit_paths: int = 200

@@ -23,7 +23,6 @@ TOKEN_KEYS = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "c
 CODEX_CALLS = ["function_call", "custom_tool_call"]
 CODEX_OUTPUTS = ["function_call_output", "custom_tool_call_output"]
 CODEX_OUTPUT_LABEL = "codex tool output"
-SNIFFED_OBJECTS = 20
 
 _ENTRY = """
     type string, sessionId string, uuid string, timestamp string, isSidechain boolean, attributionMcpServer string,
@@ -54,18 +53,14 @@ def _line_vendor(kind: Column, keys: Column) -> Column:
 
 
 def vendors(lines: DataFrame) -> DataFrame:
-    """``path, runtime``: the first recognisable object among a file's first 20 names the file's runtime.
+    """``path, runtime``: the first recognisable object of a file names its runtime, however late it comes.
 
-    Spark keeps the first 20 rows per file in every task before the shuffle, so a file with most of the
-    lines sends 20 rows per task like any other. Objects come before other lines, which only make sure
-    that a file without objects is listed. A file that is not recognised has a NULL runtime.
+    One value per file and task is kept before the shuffle. A file that is not recognised has a NULL runtime.
     """
     keyed = lines.select("path", "block", "pos", F.json_object_keys("line").alias("_keys"), F.get_json_object("line", "$.type").alias("_type"))
-    seen = keyed.select("path", "block", "pos", F.col("_keys").isNull().alias("_other"), _line_vendor(F.col("_type"), F.col("_keys")).alias("vendor"))
-    first = W.partitionBy("path").orderBy("_other", "block", "pos")
-    head = seen.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SNIFFED_OBJECTS)
-    named = F.when(~F.col("_other") & F.col("vendor").isNotNull(), F.col("_n"))
-    return head.groupBy("path").agg(F.min_by("vendor", named).alias("runtime"))
+    seen = keyed.select("path", "block", "pos", F.when(F.col("_keys").isNotNull(), _line_vendor(F.col("_type"), F.col("_keys"))).alias("vendor"))
+    place = F.when(F.col("vendor").isNotNull(), F.struct("block", "pos"))
+    return seen.groupBy("path").agg(F.min_by("vendor", place).alias("runtime"))
 
 
 def file_quality(files: DataFrame, listed: DataFrame | None = None) -> DataFrame:

@@ -130,13 +130,13 @@ def test_files(spark, write):
     write("note.txt", [assistant(session="txt")])
     _, files, parts = load(spark, write)
     names = {r.path.rsplit("/logs/", 1)[1]: r.runtime for r in files.collect()}
-    assert names == {"old.jsonl": "claude", "brain/transcript_full.jsonl": "gemini", "alone/transcript.jsonl": "gemini", "late.jsonl": "claude", "too_late.jsonl": None, "mixed.jsonl": "claude", "foreign.jsonl": None}
-    assert {r.session for r in A.sessions(parts).collect()} == {"old", "late", "m"}
-    assert {r.session for r in A.sessions(load(spark, write, days=30)[2]).collect()} == {"late", "m"}
+    assert names == {"old.jsonl": "claude", "brain/transcript_full.jsonl": "gemini", "alone/transcript.jsonl": "gemini", "late.jsonl": "claude", "too_late.jsonl": "claude", "mixed.jsonl": "claude", "foreign.jsonl": None}
+    assert {r.session for r in A.sessions(parts).collect()} == {"old", "late", "too late", "m"}
+    assert {r.session for r in A.sessions(load(spark, write, days=30)[2]).collect()} == {"late", "too late", "m"}
     listed = list_transcripts(spark, [write.root])
     kept = listed.filter("path NOT LIKE '%brain/transcript.jsonl'")
     # Spark lists no empty files, so empty.jsonl is not counted.
-    assert tuple(A.file_quality(files, kept).first()) == (5, 2, 0)
+    assert tuple(A.file_quality(files, kept).first()) == (6, 1, 0)
     lost = files.filter("path NOT LIKE '%old.jsonl'")
     assert tuple(A.file_quality(lost, kept).first()) == (4, 2, 1)
 

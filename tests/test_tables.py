@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import json
 import random
 from datetime import datetime, timedelta
@@ -168,3 +170,12 @@ def test_reference_packs(spark):
     assert got["t2"].avoided_tokens == 0 and "report" not in got["t2"].prompt
     assert [got[t].error for t in ("t3", "t4", "t5")] == ["task is empty", "no such file: /gone", "report words must not be negative"]
     assert got["t4"].prompt is None and got["t6"].referenced_tokens == 0 and "120 words" in got["t6"].prompt
+
+
+def test_caps_with_rows_without_a_time(spark):
+    rows = [(k, dt.datetime(2024, 1, 1 + k, tzinfo=dt.timezone.utc), "x" * 10) for k in range(5)] + [(10 + k, None, "x" * 100) for k in range(3)]
+    table = spark.createDataFrame(rows, "id long, ts timestamp, raw string")
+    for cap, n in ((30, 3), (60, 5), (120, 5), (150, 6), (350, 8)):
+        assert S.cap_bytes(table, cap).count() == n
+    assert S.cap_bytes(table, 120).where("ts is null").count() == 0
+    assert S.cap_rows(table, 6).where("ts is not null").count() == 5 and S.cap_rows(table, 6).count() == 6
