@@ -138,7 +138,7 @@ def test_files(spark, write):
     # Spark lists no empty files, so empty.jsonl is not counted.
     assert tuple(A.file_quality(files, kept).first()) == (6, 1, 0)
     lost = files.filter("path NOT LIKE '%old.jsonl'")
-    assert tuple(A.file_quality(lost, kept).first()) == (4, 2, 1)
+    assert tuple(A.file_quality(lost, kept).first()) == (5, 1, 1)
 
 
 def test_servers(spark, write):
