@@ -30,7 +30,7 @@ from logsift.scratch import saved
 
 UNKNOWN = "und"
 LONGEST_GRAM = 4
-LONGEST_WORD = 40  # longer runs of letters are read as n-grams of their first and last 20
+LONGEST_WORD = 40  # longer runs of letters are no words of the model; they are scored by their n-grams like any unknown word
 KEPT_WORDS = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -41,10 +41,6 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[k : k + n] for k in range(len(marked) - n + 1)]
 
 
-def plain(word: str) -> str:
-    return word if len(word) <= LONGEST_WORD else word[:20] + word[-20:]
-
-
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
@@ -74,9 +70,11 @@ class Scorer:
     def word(self, word: str) -> np.ndarray:
         found = self.kept.get(word)
         if found is None:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            found = self.kept[word] = np.array(self.model.evidence(plain(word)))
+            found = np.array(self.model.evidence(word))
+            if len(word) <= LONGEST_WORD:  # long runs seldom return, and would fill the memory
+                if len(self.kept) >= KEPT_WORDS:
+                    self.kept.clear()
+                self.kept[word] = found
         return found
 
     def score(self, text: str | None) -> tuple[str, float]:

@@ -31,7 +31,7 @@ from logsift.scratch import saved
 FUZZY = 5  # shortest term that one edit may have changed
 STEM = (4, 8)  # letters of a stem
 STEM_WORDS = 5  # different words that make a stem
-LONGEST = 40  # longer runs of letters are no words of a lexicon
+LONGEST = 40  # longer runs of letters do not become terms; they are matched like any other word
 WINDOW = 8
 KEPT_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -110,8 +110,6 @@ class Matcher:
 
     def edits(self, word: str) -> int:
         """0 for a term or a stem's continuation, 1 for a misspelled term, -1 for any other word."""
-        if len(word) > LONGEST:
-            return -1
         state = self.first
         for letter in word:
             state = self.step(state, letter)
@@ -125,10 +123,12 @@ class Matcher:
     def hit(self, word: str) -> bool:
         found = self.kept.get(word)
         if found is None:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
             edits = self.edits(word)
-            found = self.kept[word] = int(edits == 0 or edits == 1 and word not in self.spared)
+            found = int(edits == 0 or edits == 1 and word not in self.spared)
+            if len(word) <= LONGEST:  # long runs seldom return, and would fill the memory
+                if len(self.kept) >= KEPT_WORDS:
+                    self.kept.clear()
+                self.kept[word] = found
         return bool(found)
 
 

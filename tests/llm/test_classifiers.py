@@ -36,6 +36,7 @@ def test_language_of_odd_rows(spark, odd, none):
     assert scorer.score("catzz doggg")[0] == "en"  # unknown words: n-grams
     assert scorer.score("12 ² — !")[0] == "und" and scorer.score("世界")[0] in model.languages
     assert scorer.score("the " * 100_000)[0] == "en"
+    assert scorer.score("zz" * 50 + "katze" + "zz" * 50)[0] == "de"  # the middle of a long run counts
     assert langid.identify(none, model).count() == 0
     nothing = langid.fit(training.limit(0))
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
