@@ -9,6 +9,7 @@ from checks.registry import check
 from checks.text import fp_sql
 from logsift.functions import text as T
 from logsift.operators import store as S
+from logsift.options import Options
 from logsift.plans import reports
 from logsift.plans.filters import BUILTIN_FILTERS, apply_filter, filter_name
 from logsift.plans.compression import compress, footer, render
@@ -243,7 +244,25 @@ def q_user_rules(spark, sf):
     return done.select("id", "label", "raw_tokens", "comp_tokens", F.md5("body").alias("body"))
 
 
-HANDLE = "left(sha256(id || chr(10) || raw), 6)"
+PATTERN_RULES = [
+    rule("odd-classes", "^[[a-d]", ("drop_lines", "^[[]"), ("drop_lines", "^#x{,3}[0-9]"), ("replace", ["[a&&b]{2,}", "<>"])),
+    rule("only-python", "(?P<a>x)?(?(a)y|.)", ("keep_lines", "^nothing$")),
+    rule("half", "^g", ("keep_lines", "(?P<a>x)?(?(a)y|.)"), ("replace", ["(?P<n_1>t)(?P=n_1)", r"\g<n_1>{"]), ("drop_lines", "}{,2}$x")),
+]
+
+
+@check("user_patterns", f"""WITH {LINES}, l0 AS (SELECT id, n, CASE WHEN n = 0 THEN ltrim(line, chr(65279)) ELSE line END AS line,
+  regexp_matches(command, '^[a-d\\[]') AS odd, command ILIKE 'g%' AS half FROM lines),
+kept AS (SELECT id, n, CASE WHEN odd THEN regexp_replace(line, '[ab&][ab&]+', '<>', 'g') WHEN half THEN replace(line, 'tt', 't{{') ELSE line END AS line
+  FROM l0 WHERE NOT (odd AND (line LIKE '[%' OR regexp_matches(line, '^#(|x|xx|xxx)[0-9]'))))
+SELECT id, md5(coalesce(string_agg(line, chr(10) ORDER BY n), '')) AS body FROM (SELECT DISTINCT id FROM l0) AS ids LEFT JOIN kept USING (id) GROUP BY id""")
+def q_user_patterns(spark, sf):
+    """Patterns that are valid in Python's dialect and mean something else, or nothing, in Java's."""
+    done = compress(outputs(spark, sf), Options(min_tokens=0, min_saving=-100), rules=PATTERN_RULES, filters=[], json=False)
+    return done.select("id", F.md5("body").alias("body"))
+
+
+HANDLE = "left(sha256(id || chr(10) || raw), 24)"
 FOOTER = f"""CASE WHEN passthrough THEN '⟨sifted: passthrough (' || raw_tokens || ' tok)⟩' ELSE '⟨sifted ' || label || ': ' || raw_tokens || '→' || comp_tokens ||
   ' tok, saved ' || CAST(round_even((raw_tokens - comp_tokens) / raw_tokens * 100, 0) AS BIGINT) || '% · full: lg recall ' || {HANDLE} || '⟩' END"""
 
@@ -285,9 +304,9 @@ def q_top_labels(spark, sf):
 
 @check("recall_rows", RESULTS + f"SELECT CAST(id AS VARCHAR) AS id, ts, command, cwd, exit_code, md5(raw) AS raw, raw_tokens, comp_tokens, label AS filt, CAST(ts AS DATE) AS day, {HANDLE} AS handle FROM results WHERE NOT passthrough")
 def q_recall_rows(spark, sf):
-    """Rows the recall table takes, with handles; the digests of a small table differ within 6 characters."""
+    """Rows the recall table takes, with handles of the length that footers show."""
     rows = S.store_rows(results(spark, sf)).withColumn("raw", F.md5("raw"))
-    return S.with_handles(rows).drop("name")
+    return S.with_handles(rows, shortest=24).drop("name")
 
 
 @check("run_efficiency", RESULTS.rstrip() + f""", shown AS (SELECT *, CASE WHEN passthrough THEN body ELSE body || chr(10) || {FOOTER} END AS s FROM results),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HANDLE = "^[0-9a-f]{6}$"
+HANDLE = "^[0-9a-f]{6,64}$"
 
 
 def payload_bytes(text: Column) -> Column:

@@ -17,6 +17,7 @@ from logsift.plans.rules import BUILTIN_RULES, Rule, apply_rules, state_struct
 
 FOOTER_TAG = "sifted"
 RECALL_HINT = "lg recall"
+HANDLE_LENGTH = 24  # 96 bits: no two of many billions of outputs share a handle
 
 
 def compress_lines(
@@ -94,7 +95,7 @@ def compress(
     # projection together with a second copy of the whole chain.
     work = work.select(*outputs.columns, F.expr(f"inline(array({result}))"))
     name = digest(F.col(id_column) if id_column in outputs.columns else F.lit(""), F.expr(raw))
-    return work.withColumn("handle", F.when(~F.col("passthrough"), F.left(name, F.lit(6))))
+    return work.withColumn("handle", F.when(~F.col("passthrough"), F.left(name, F.lit(HANDLE_LENGTH))))
 
 
 def footer(results: DataFrame) -> Column:

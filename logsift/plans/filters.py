@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from logsift.functions.patterns import java_pattern, readable
 from logsift.functions.text import ANY_CASE, UNICODE, fn, let, lit, search, strip
 from logsift.operators import folds
 from logsift.options import DEFAULTS, Options
@@ -82,9 +83,10 @@ BUILTIN_FILTERS = [
 
 def filter_name(command: str, filters: Sequence[Filter] = BUILTIN_FILTERS) -> str:
     """Name of the first filter whose pattern occurs in the command, NULL for none."""
+    filters = [f for f in filters if readable(f.match)]
     if not filters:
         return "CAST(NULL AS STRING)"
-    cases = " ".join(f"WHEN {search(command, ANY_CASE + f.match)} THEN {lit(f.name)}" for f in filters)
+    cases = " ".join(f"WHEN {search(command, ANY_CASE + java_pattern(f.match))} THEN {lit(f.name)}" for f in filters)
     return f"CASE {cases} END"
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions import text as T
+from logsift.functions.patterns import group_name, java_pattern, readable
 from logsift.functions.text import ANY_CASE, UNICODE, fn, let, lit, search
 from logsift.operators import folds
 from logsift.options import DEFAULTS, Options
@@ -157,31 +158,15 @@ def rule_from_dict(entry: dict) -> Rule:
     return Rule(str(entry.get("name", "unnamed")), str(entry.get("match") or ""), tuple(actions), bool(entry.get("stop")))
 
 
-def readable(pattern: Any) -> bool:
-    try:
-        re.compile(pattern)
-    except (re.error, TypeError):
-        return False
-    return True
-
-
 def replaceable(arg: Any) -> bool:
     """A pair of a pattern and a template that only refers to the pattern's groups."""
+    if not _is_pair(arg) or not readable(arg[0]):
+        return False
     try:
         re.sub(arg[0], arg[1], "")
     except (re.error, TypeError, IndexError, KeyError):
         return False
-    return _is_pair(arg)
-
-
-def _group(name: str) -> str:
-    return name.replace("_", "U95")
-
-
-def java_pattern(pattern: str) -> str:
-    """Python's named groups and end-of-text anchor in Java's spelling."""
-    named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{_group(m[1])}>", pattern)
-    return re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{_group(m[1])}>", named).replace(r"\Z", r"\z")
+    return True
 
 
 def java_replacement(template: str) -> str:
@@ -189,7 +174,7 @@ def java_replacement(template: str) -> str:
     out = []
     for part in re.split(r"(\\g<\w+>|\\\d{1,2}|\\.)", template):
         if group := re.fullmatch(r"\\g<(\w+)>", part):
-            out.append(f"${group[1]}" if group[1].isdigit() else f"${{{_group(group[1])}}}")
+            out.append(f"${group[1]}" if group[1].isdigit() else f"${{{group_name(group[1])}}}")
         elif re.fullmatch(r"\\\d{1,2}", part):
             out.append("$" + part[1:])
         else:
