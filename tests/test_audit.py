@@ -56,28 +56,28 @@ def load(spark, write, days=None):
 
 def test_floors_and_subagents(spark, write):
     write("p/a.jsonl", [
-        assistant(), assistant(prompt=(5, 1, 50_000, 0)), "not json", "[]", '{"broken', {"type": "user", "sessionId": "s1", "message": {"content": "plain text"}},
-        assistant(prompt=(5, 1, 0, 70_000), at="2026-07-03T10:00:00Z"), assistant(prompt=(1, 0, 0, 9_000), side=True), assistant(prompt=(0, 0, 0, 0)),
+        assistant(prompt=(12, 5, 30_000, 4_000)), assistant(prompt=(7, 1, 33_000, 0)), "not json", "[]", '{"broken', {"type": "user", "sessionId": "s1", "message": {"content": "plain text"}},
+        assistant(prompt=(7, 1, 0, 46_500), at="2026-07-03T10:00:00Z"), assistant(prompt=(2, 0, 0, 6_200), side=True), assistant(prompt=(0, 0, 0, 0)),
     ])
     ents, files, parts = load(spark, write)
     got = A.sessions(parts).first()
-    assert (got.session, got.requests, got.floor, got.peak, got.date) == ("s1", 3, 50_005, 70_005, "2026-07-03")
+    assert (got.session, got.requests, got.floor, got.peak, got.date) == ("s1", 3, 33_007, 46_507, "2026-07-03")
     rt = A.runtimes(parts, files).first()
-    assert (rt.runtime, rt.requests, rt.session_floor, rt.floor_cost, rt.files) == ("claude", 4, 50_005, 200_020, 1)
+    assert (rt.runtime, rt.requests, rt.session_floor, rt.floor_cost, rt.files) == ("claude", 4, 33_007, 132_028, 1)
     total = A.totals(parts).first()
-    assert (total.sessions, total.requests, total.subagent_requests, total.subagent_cache_read_input_tokens) == (1, 4, 1, 9_000)
-    assert A.subagent_share(parts).first().subagent_share_pct == round(9_000 * 100 / 89_000, 1)
+    assert (total.sessions, total.requests, total.subagent_requests, total.subagent_cache_read_input_tokens) == (1, 4, 1, 6_200)
+    assert A.subagent_share(parts).first().subagent_share_pct == round(6_200 * 100 / 56_700, 1)
 
 
 def test_cost_is_summed_per_runtime(spark, write):
-    write("a.jsonl", [assistant(prompt=(10, 0, 60_000, 0)), assistant(prompt=(10, 0, 60_000, 0))])
-    write("b.jsonl", [{"type": "session_meta"}, token_count(10_000, 9_000, 3, 2), token_count(0, 0, 0, 0), {"type": "event_msg", "payload": {"type": "token_count", "info": None}}])
+    write("a.jsonl", [assistant(prompt=(21, 0, 48_000, 0)), assistant(prompt=(21, 0, 48_000, 0))])
+    write("b.jsonl", [{"type": "session_meta"}, token_count(7_700, 6_100, 3, 2), token_count(0, 0, 0, 0), {"type": "event_msg", "payload": {"type": "token_count", "info": None}}])
     write("c.jsonl", [step(0), step(1), {"odd": 1}])
     ents, files, parts = load(spark, write)
-    assert A.fixed_cost(parts).first().floor_cost == 60_010 * 2 + 10_000
+    assert A.fixed_cost(parts).first().floor_cost == 48_021 * 2 + 7_700
     by = {r.runtime: r for r in A.runtimes(parts, files).collect()}
     codex = by["codex"]
-    assert (codex.requests, codex.input_tokens, codex.output_tokens, codex.cache_read_input_tokens, codex.session_floor) == (1, 1000, 5, 9000, 10_000)
+    assert (codex.requests, codex.input_tokens, codex.output_tokens, codex.cache_read_input_tokens, codex.session_floor) == (1, 1600, 5, 6100, 7_700)
     gemini = by["gemini"]
     assert (gemini.steps, gemini.tokens_available, gemini.input_tokens, gemini.floor_cost, gemini.requests) == (3, False, None, None, 0)
     assert {r.session for r in A.sessions(parts).filter("runtime = 'codex'").collect()} == {next(iter(files.filter("runtime = 'codex'").collect())).path}
