@@ -3,8 +3,10 @@
 The SimHash of a whole text moves by some ten bits when a fifth of its five-word shingles change, which no grid can search. So a text has
 ``VIEWS`` fingerprints, each the SimHash of the ``SAMPLE`` shingles whose hashes are smallest in an order of that view's own. Two texts
 of similarity s share a whole sample in one view with probability s^3, in one of twelve views with 99.98 % at 0.8. Samples meet in the
-grid of the SimHash operator, view by view. Every text is then compared with the smallest id of its component in a view: the Jaccard
-similarity of their sets of shingles, exactly. Only texts that share a sample with another text are read again for that.
+grid of the SimHash operator, view by view. Every text is then compared with the head of its component in a view: the Jaccard
+similarity of their sets of shingles, exactly. The head is the text that meets most others in all views together, so that of an original
+and its copies it is the original. In views of up to ``CROWD`` texts all others that are not in one group by then are compared, too.
+Only texts that share a sample with another text are read again for that.
 
 Exact copies are grouped by a 128-bit hash first, and one of them is searched. No step gathers a group in one place.
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from logsift.llm.common import slices, texts_of
 from logsift.llm.components import components
-from logsift.llm.simhash import links
+from logsift.llm.simhash import CROWD, links
 from logsift.scratch import saved
 
 VIEWS, SAMPLE = 12, 3
@@ -94,21 +96,45 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     # One text may be the smallest id of two versions of a row: they are one group through that id.
     prints = saved(texts.select("node", F.explode("views").alias("fp")), "view-fingerprints")
-    smallest = prints.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    shared = saved(smallest, "shared-views")
-    joined = components(links(shared.select("fp")))
-    placed = saved(shared.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("view"), "least", "most"), "placed-views")
-    heads = placed.groupBy("view").agg(F.min("least").alias("head"), F.max("most").alias("most")).where("head < most").select("view", "head")
-    head_of = saved(placed.select("fp", "view").join(saved(heads, "heads"), "view").select("fp", "head"), "heads-of-views")
-    pairs = saved(prints.join(head_of, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
+    held = saved(_shared_views(prints), "held")
+    pairs = saved(held.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
 
-    members = saved(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "members")
+    members = saved(held.select(F.col("node").alias("doc_id")).distinct(), "members")
     sets = saved(rows.join(members, "doc_id", "left_semi").mapInArrow(hashed, "doc_id bigint, shingles array<bigint>"), "shingle-sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    near = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
+    def similar(pairs: DataFrame) -> DataFrame:
+        left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+    near = saved(similar(pairs), "near")
+    rest = saved(similar(saved(_open_pairs(held, components(near)), "open-pairs")), "near-rest")
     copies = all_views.join(saved(texts.select("h1", "h2", "node"), "nodes"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    groups = components(saved(near.union(copies.where("a <> b")), "near"))
+    groups = components(saved(near.union(rest).union(copies.where("a <> b")), "links"))
     ids = all_views.select("doc_id").distinct()
     return ids.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
+
+
+def _shared_views(prints: DataFrame) -> DataFrame:
+    """``view, node, size, head`` of every text in a component of view fingerprints that holds others: its texts and its head."""
+    shared = saved(prints.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n")), "shared-views")
+    joined = components(links(shared.select("fp")))
+    placed = shared.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("view", F.coalesce("component", "fp"))
+    placed = saved(placed.select("fp", "view", "least", "most", "n"), "placed-views")
+    sizes = placed.groupBy("view").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("size")).where("least < most")
+    sized = saved(placed.select("fp", "view").join(saved(sizes.select("view", "size"), "sizes"), "view"), "sized-views")
+    held = saved(prints.join(sized, "fp").select("view", "node", "size"), "in-views")
+    central = saved(held.groupBy("node").agg(F.sum("size").alias("met")), "met")
+    order = F.struct("met", -F.col("node"))
+    heads = saved(held.join(central, "node").groupBy("view").agg(F.max_by("node", order).alias("head")), "heads")
+    return held.join(heads, "view").select("view", "node", "size", "head")
+
+
+def _open_pairs(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that share a view of at most ``CROWD`` texts, are in different groups so far, and have not been compared."""
+    few = held.where(F.col("size") <= CROWD).where("node <> head")
+    parted = saved(few.join(groups, "node", "left").select("view", "node", F.coalesce("component", "node").alias("part")).distinct(), "parted")
+    several = parted.groupBy("view").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("view")
+    left = saved(parted.join(several, "view"), "open")
+    right = left.select("view", F.col("node").alias("b"), F.col("part").alias("other"))
+    return left.withColumnRenamed("node", "a").join(right, "view").where("a < b and part <> other").select("a", "b").distinct()

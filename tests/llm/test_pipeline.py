@@ -62,6 +62,37 @@ def test_a_large_group_of_near_copies(spark):
     assert all(got[k] == 0 for k in range(400)) and all(got[1000 + k] == 1000 + k for k in range(100))
 
 
+def edited(rng, words, places):
+    return [f"n{rng.randrange(10**9)}" if k in places else w for k, w in enumerate(words)]
+
+
+def test_copies_that_are_similar_to_their_original_only(spark):
+    rng, rows = random.Random(11), []
+    for group in range(4):
+        base = [f"g{group}w{rng.randrange(800)}" for _ in range(200)]
+        ids = list(range(1000 * group, 1000 * group + 150))
+        rng.shuffle(ids)
+        rows.append((ids[0], " ".join(base)))
+        rows += [(i, " ".join(edited(rng, base, set(rng.sample(range(10, 190, 10), 4))))) for i in ids[1:]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.group_id for r in similar_groups(frame).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_chains_of_versions(spark):
+    rng, rows = random.Random(12), []
+    for chain in range(30):
+        words = [f"c{chain}w{rng.randrange(800)}" for _ in range(200)]
+        ids = list(range(100 * chain, 100 * chain + 6))
+        rng.shuffle(ids)
+        for step, i in enumerate(ids):
+            words = edited(rng, words, {20 + 30 * step, 30 + 30 * step, 40 + 30 * step}) if step else words
+            rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.group_id for r in similar_groups(frame).collect()}
+    assert got == brute_groups(rows)
+
+
 @pytest.fixture(scope="module")
 def staged(spark):
     """The tables before and after every stage."""
