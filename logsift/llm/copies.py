@@ -8,6 +8,8 @@ similarity of their sets of shingles, exactly. The head is the text that meets m
 and its copies it is the original. In views of up to ``CROWD`` texts all others that are not in one group by then are compared, too.
 Only texts that share a sample with another text are read again for that.
 
+What can be missed: two texts that meet only in views of more than ``CROWD`` texts, where neither is the head nor in a group with it.
+
 Exact copies are grouped by a 128-bit hash first, and one of them is searched. No step gathers a group in one place.
 
 Defined results: null, empty and blank texts are copies of one another. Fewer words than a shingle: the whole sequence is one. Words are
