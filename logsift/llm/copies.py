@@ -8,7 +8,12 @@ similarity of their sets of shingles, exactly. The head is the text that meets m
 and its copies it is the original. In views of up to ``CROWD`` texts all others that are not in one group by then are compared, too.
 Only texts that share a sample with another text are read again for that.
 
-What can be missed: two texts that meet only in views of more than ``CROWD`` texts, where neither is the head nor in a group with it.
+Larger views that are still in several groups are searched exactly, by a join on rare shingles. With the shingles of these texts in one
+order, rarest first, a text of n shingles has one of its first n - 2s / (1 + s) n + 1 among the first m - s m + 1 of every longer text of
+m shingles and similarity s. Texts that share a template only do not meet there. A shingle that more than ``CROWD`` texts still meet in
+first links them to the shortest of them; what is in several groups after that is compared group against group.
+
+What can be missed: two texts that share no sample in any view.
 
 Exact copies are grouped by a 128-bit hash first, and one of them is searched. No step gathers a group in one place.
 
@@ -111,8 +116,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     near = saved(similar(pairs), "near")
     rest = saved(similar(saved(_open_pairs(held, components(near)), "open-pairs")), "near-rest")
+    near = saved(near.union(rest), "near-small")
+    crowded = saved(_crowded(held, components(near)), "crowded")
+    if not crowded.isEmpty():
+        met = saved(_rare(sets.join(crowded.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), similarity), "rare")
+        near = saved(near.union(similar(saved(_starred(_parted(met, components(near))), "star-pairs"))), "near-stars")
+        near = saved(near.union(similar(saved(_across(_parted(met, components(near)), similarity), "across-pairs"))), "near-across")
     copies = all_views.join(saved(texts.select("h1", "h2", "node"), "nodes"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    groups = components(saved(near.union(rest).union(copies.where("a <> b")), "links"))
+    groups = components(saved(near.union(copies.where("a <> b")), "links"))
     ids = all_views.select("doc_id").distinct()
     return ids.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
@@ -140,3 +151,53 @@ def _open_pairs(held: DataFrame, groups: DataFrame) -> DataFrame:
     left = saved(parted.join(several, "view"), "open")
     right = left.select("view", F.col("node").alias("b"), F.col("part").alias("other"))
     return left.withColumnRenamed("node", "a").join(right, "view").where("a < b and part <> other").select("a", "b").distinct()
+
+
+def _crowded(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """``node`` of every text in a view of more than ``CROWD`` texts that are in several groups so far."""
+    many = saved(held.where(F.col("size") > CROWD).select("view", "node"), "many")
+    parted = saved(many.join(groups, "node", "left").select("view", "node", F.coalesce("component", "node").alias("part")), "many-parted")
+    several = parted.groupBy("view").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("view")
+    return parted.join(saved(several, "several"), "view").select("node").distinct()
+
+
+def _rare(sets: DataFrame, similarity: float) -> DataFrame:
+    """``shingle, node, size, indexed``: the shingles that a text can first share with a longer text (indexed) or with a shorter one.
+
+    Shingles are ordered by the number of given texts that have them. Those of one text only count for the places, and are left out."""
+    # Versions of a row with one id are texts of their own.
+    one = sets.select(F.col("doc_id").alias("node"), F.xxhash64("shingles").alias("version"), F.size("shingles").alias("size"), "shingles")
+    each = saved(one.select("node", "version", "size", F.explode("shingles").alias("shingle")), "each-shingle")
+    counted = saved(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle-counts")
+    ordered = each.join(counted, "shingle").groupBy("node", "version", "size").agg(F.sort_array(F.collect_set(F.struct("n", "shingle"))).alias("ordered"))
+    first = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
+    placed = ordered.select("node", "size", F.posexplode(F.slice("ordered", F.lit(1), first(similarity).cast("int"))).alias("place", "of"))
+    found = placed.where("of.n > 1").select("of.shingle", "node", "size", (F.col("place") < first(2 * similarity / (1 + similarity))).alias("indexed"))
+    return found
+
+
+def _parted(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of ``_rare`` with the ``part`` of a text, of shingles that several groups meet in, with their number ``n`` and largest ``major`` group."""
+    placed = saved(met.join(groups, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "met-parted")
+    parts = placed.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("indexed"))
+    order = F.struct("n", "part")
+    keys = parts.groupBy("shingle").agg(F.sum("n").alias("n"), F.max_by("part", order).alias("major"), F.max("indexed").alias("any"), F.count(F.lit(1)).alias("parts"))
+    return saved(placed.join(saved(keys.where("parts > 1 and any").select("shingle", "n", "major"), "met-keys"), "shingle"), "met-open")
+
+
+def _starred(met: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the shortest text and every one of another group, for each shingle that more than ``CROWD`` texts meet in."""
+    hot = met.where(F.col("n") > CROWD)
+    order = F.struct("size", "node")
+    heads = hot.groupBy("shingle").agg(F.min_by(F.struct("node", "part"), order).alias("head"))
+    pairs = hot.join(saved(heads, "stars"), "shingle").where("part <> head.part").select(F.col("node").alias("a"), F.col("head.node").alias("b"))
+    return pairs.distinct()
+
+
+def _across(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of different groups that meet in a shingle, of sizes that allow the similarity. The largest group does not meet itself."""
+    one = met.where("part <> major").select("shingle", F.col("node").alias("a"), F.col("part").alias("own"), F.col("size").alias("m"), F.col("indexed").alias("i"))
+    other = met.select("shingle", F.col("node").alias("b"), "part", "major", "size", "indexed")
+    sizes = (F.least("m", "size") >= similarity * F.greatest("m", "size") - 1e-9) & F.when(F.col("m") == F.col("size"), F.col("i") | F.col("indexed")).otherwise(F.when(F.col("m") < F.col("size"), F.col("i")).otherwise(F.col("indexed")))
+    pairs = one.join(other, "shingle").where("own <> part and (part = major or a < b)").where(sizes)
+    return pairs.select("a", "b").distinct()

@@ -93,6 +93,35 @@ def test_chains_of_versions(spark):
     assert got == brute_groups(rows)
 
 
+def test_near_copies_inside_a_large_template_group(spark):
+    rng, rows = random.Random(13), []
+    template = [f"t{rng.randrange(10**9)}" for _ in range(173)]
+    for k in range(440):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(27)]
+        rows.append((k, " ".join(template + own)))
+        if k < 60:
+            rows.append((1000 + k, " ".join(template + edited(rng, own, {2, 7, 12}))))
+    want = brute_groups(rows)
+    assert len(set(want.values())) == 440
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.group_id for r in similar_groups(frame).collect()} == want
+
+
+def test_a_long_chain_of_versions_in_one_view(spark):
+    rng, rows = random.Random(14), []
+    template = [f"t{rng.randrange(10**9)}" for _ in range(166)]
+    own = [f"o{rng.randrange(10**9)}" for _ in range(30)]
+    for k in range(300):
+        rows.append((k, " ".join(template + own)))
+        own = own[5:] + [f"o{rng.randrange(10**9)}" for _ in range(5)] if k % 2 else edited(rng, own, {12, 18, 24})
+    want = brute_groups(rows)
+    assert set(want.values()) == {0}
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.group_id for r in similar_groups(frame).collect()} == want
+
+
 @pytest.fixture(scope="module")
 def staged(spark):
     """The tables before and after every stage."""
