@@ -3,14 +3,14 @@
 A document's terms are its words, the shapes of its words (letter case, digits, marks at either end, length) and its repetitions, hashed
 into ``TERMS`` buckets. Weighted by inverse document frequency, the labelled documents' terms are projected to ``LATENT`` dimensions by a
 singular value decomposition. Every document is placed there, the cosines with all labelled vectors are computed in blocks, and its
-``NEIGHBOURS`` nearest vote for their labels with the weight of their similarity.
+``NEIGHBOURS`` nearest vote for their labels with the weight of their similarity, each for as many given rows as it stands for.
 
-The fit reads about ``fit_rows`` labelled rows of either label at most, chosen by a hash of their id; their term counts have a fixed
-size, so at most 2 x ``fit_rows`` x ``TERMS`` numbers reach the driver and 2 x ``fit_rows`` x ``LATENT`` are broadcast. Every row is scored
-over its whole text.
+The fit reads about ``fit_rows`` labelled rows of either label at most, chosen by a hash of their id, and weights them back to the labels
+as they were given; their term counts have a fixed size, so at most 2 x ``fit_rows`` x ``TERMS`` numbers reach the driver and
+2 x ``fit_rows`` x ``LATENT`` are broadcast. Every row is scored over its whole text.
 
-Defined results: a null or empty text has no term, its vector is zero, and all labelled vectors are equally near: it scores their share
-of label 1. Without labels every score is 0.5; with one label all scores are that label. Ties between neighbours go to the first ones in
+Defined results: a null or empty text has no term, its vector is zero, and all labelled vectors are equally near: it scores the share
+of label 1 in the given rows. Without labels every score is 0.5; with one label all scores are that label. Ties between neighbours go to the first ones in
 the order of their ids. Rows with a null id are scored but not learned from. An empty table stays empty; other columns are ignored.
 """
 
@@ -78,6 +78,7 @@ class Model:
     axes: np.ndarray  # terms x latent
     vectors: np.ndarray  # labelled documents, of length 1
     labels: np.ndarray
+    stands: np.ndarray | None = None  # for how many given rows each labelled one does; without it, for one
 
     def place(self, counts: np.ndarray) -> np.ndarray:
         """Unit vectors of documents; zero for documents without terms."""
@@ -91,19 +92,20 @@ class Model:
             return np.full(len(counts), 0.5)
         places = self.place(counts)
         k = min(NEIGHBOURS, len(self.labels))
-        near, votes = np.zeros((len(counts), 0)), np.zeros((len(counts), 0))
+        near, nearest = np.zeros((len(counts), 0)), np.zeros((len(counts), 0), dtype=np.int64)
         for at in range(0, len(self.labels), block):
             cosines = places @ self.vectors[at : at + block].T
-            labels = np.broadcast_to(self.labels[at : at + block], cosines.shape)
+            rows = np.broadcast_to(np.arange(at, at + cosines.shape[1]), cosines.shape)
             if cosines.shape[1] > k:
                 best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-                cosines, labels = np.take_along_axis(cosines, best, 1), np.take_along_axis(labels, best, 1)
-            near, votes = np.hstack([near, cosines]), np.hstack([votes, labels])
+                cosines, rows = np.take_along_axis(cosines, best, 1), np.take_along_axis(rows, best, 1)
+            near, nearest = np.hstack([near, cosines]), np.hstack([nearest, rows])
             kept = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            near, votes = np.take_along_axis(near, kept, 1), np.take_along_axis(votes, kept, 1)
-        weights = np.maximum(near, 0) ** SHARPNESS + 1e-9
-        found = (weights * votes).sum(axis=1) / weights.sum(axis=1)
-        found[~counts.any(axis=1)] = self.labels.mean()
+            near, nearest = np.take_along_axis(near, kept, 1), np.take_along_axis(nearest, kept, 1)
+        stands = np.ones(len(self.labels)) if self.stands is None else self.stands
+        weights = (np.maximum(near, 0) ** SHARPNESS + 1e-9) * stands[nearest]
+        found = (weights * self.labels[nearest]).sum(axis=1) / weights.sum(axis=1)
+        found[~counts.any(axis=1)] = np.average(self.labels, weights=stands)
         return np.clip(found, 0, 1)
 
 
@@ -126,19 +128,22 @@ def fit(labelled: DataFrame, fit_rows: int = 3_000) -> Model:
     """A model of ``doc_id, text, quality`` (0 or 1; others are left out)."""
     rows = labelled.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("quality").cast("int").alias("quality"))
     share = F.lit(0.0)
-    for row in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect():
-        share = F.when(F.col("quality") == row["quality"], F.lit(min(1.0, fit_rows / row["n"]))).otherwise(share)
+    totals = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for label, n in totals.items():
+        share = F.when(F.col("quality") == label, F.lit(min(1.0, fit_rows / n))).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     found = sorted((r["doc_id"], r["quality"], r["counts"]) for r in saved(_counted(chosen, ["doc_id", "quality"]), "term-counts").collect())
     counts = np.frombuffer(b"".join(x[2] for x in found), dtype=np.float32).reshape(-1, TERMS)
     labels = np.array([x[1] for x in found], dtype=np.float32)
     if not len(labels):
         return Model(np.ones(TERMS, dtype=np.float32), np.zeros((TERMS, 1), dtype=np.float32), np.zeros((0, 1), dtype=np.float32), labels)
+    held = {x: int((labels == x).sum()) for x in totals}
+    stands = np.array([totals[int(x)] / held[int(x)] for x in labels])
     weight = np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
     weighted = np.sqrt(counts) * weight
     _, _, axes = np.linalg.svd(weighted.T @ weighted)
     model = Model(weight, axes[:LATENT].T.astype(np.float32).copy(), np.zeros((0, 1), dtype=np.float32), labels)
-    return Model(weight, model.axes, model.place(counts).astype(np.float32), labels)
+    return Model(weight, model.axes, model.place(counts).astype(np.float32), labels, stands)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -76,6 +76,17 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert {round(r.score, 6) for r in quality.score(odd, one).collect()} == {1.0}
 
 
+def test_a_small_fit_decides_like_a_full_one_on_unbalanced_labels(spark):
+    random = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{k}" for k in random.integers(0, 60, 40))
+    rows = [(k, text(), int(k % 10 > 0)) for k in range(2000)]  # of one kind, nine in ten with label 1
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs = spark.createDataFrame([(k, text()) for k in range(200)] + [(-1, "")], "doc_id long, text string")
+    full, few = ({r.doc_id: r.score for r in quality.score(docs, quality.fit(labelled, n)).collect()} for n in (3000, 150))
+    assert abs(full[-1] - 0.9) < 1e-6 and abs(few[-1] - 0.9) < 1e-6
+    assert {k: x >= 0.5 for k, x in few.items()} == {k: x >= 0.5 for k, x in full.items()}
+
+
 def test_blocks_of_neighbours_give_the_same_votes():
     random = np.random.default_rng(1)
     counts = random.random((30, quality.TERMS)).astype(np.float32)
