@@ -1,7 +1,8 @@
 """Toxicity from a learned lexicon, misspellings by Levenshtein automata, and the context of every hit.
 
 The lexicon is learned from labelled rows: whole words, and stems that many different words of toxic documents begin with. It is kept as
-a trie. For a word of a text, the Levenshtein automaton of each term (one edit from ``FUZZY`` letters on) runs through the trie at once:
+a trie. For a word of a text, the Levenshtein automaton of each term (one edit from ``FUZZY`` letters on; in shorter terms and in stems
+if the labelled words one edit away are not those of clean documents) runs through the trie at once:
 a state is the set of trie nodes with their edits so far, and states are made and remembered as texts need them. Misspellings that
 clean labelled documents use count as ordinary words.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from logsift.llm.common import slices
 from logsift.scratch import saved
 
-FUZZY = 5  # shortest term that one edit may have changed
+FUZZY = 5  # shortest term that one edit may have changed without evidence
 STEM = (4, 8)  # letters of a stem
 STEM_WORDS = 5  # different words that make a stem
 LONGEST = 40  # longer runs of letters do not become terms; they are matched like any other word
@@ -41,8 +42,9 @@ REPORTING = frozenset("said says wrote writes quote quoted called calls dit disa
 @dataclass
 class Node:
     children: dict[str, Node] = field(default_factory=dict)
-    whole: bool = False  # a term ends here
-    stem: bool = False  # any word goes on from here
+    whole: int = -1  # edits of the term that ends here
+    stem: int = -1  # edits of the stem that ends here, from which any word goes on
+    name: str = ""
     edits: int = 0  # most edits that a term below may have
 
 
@@ -50,6 +52,7 @@ class Node:
 class Lexicon:
     words: list[str]
     stems: list[str]
+    edited: frozenset[str]  # words, and stems with an asterisk, that one edit may have changed
     spared: frozenset[str]  # words of clean documents one edit away from a term
     shares: dict[tuple[int, bool], float]  # score by plain hits (3: or more) and whether there are quoted ones
 
@@ -57,15 +60,20 @@ class Lexicon:
 class Matcher:
     """Which words are terms, stems' continuations or misspelled terms. States are remembered as they come up."""
 
-    def __init__(self, words: list[str], stems: list[str], spared: frozenset[str] = frozenset()) -> None:
+    def __init__(self, words: list[str], stems: list[str], spared: frozenset[str] = frozenset(), edited: frozenset[str] | None = None) -> None:
         self.root, self.spared = Node(), spared
         for term, is_stem in [(x, False) for x in words] + [(x, True) for x in stems]:
-            node, edits = self.root, 0 if is_stem else int(len(term) >= FUZZY)
+            usual = not is_stem and len(term) >= FUZZY
+            node, edits = self.root, int(usual if edited is None else term + "*" * is_stem in edited)
             node.edits = max(node.edits, edits)
             for letter in term:
                 node = node.children.setdefault(letter, Node())
                 node.edits = max(node.edits, edits)
-            node.whole, node.stem = node.whole or not is_stem, node.stem or is_stem
+            node.name = term
+            if is_stem:
+                node.stem = edits
+            else:
+                node.whole = edits
         self.nodes = [self.root]
         self.number = {id(self.root): 0}
         self.steps: dict[tuple[frozenset, str], frozenset] = {}
@@ -110,15 +118,25 @@ class Matcher:
 
     def edits(self, word: str) -> int:
         """0 for a term or a stem's continuation, 1 for a misspelled term, -1 for any other word."""
-        state = self.first
+        state, changed = self.first, False
         for letter in word:
             state = self.step(state, letter)
             if not state:
-                return -1
-            if any(edits == 0 and self.nodes[at].stem for at, edits in state):
+                break
+            stems = [edits for at, edits in state if edits <= self.nodes[at].stem]
+            if 0 in stems:
                 return 0
-        found = [edits for at, edits in state if self.nodes[at].whole and edits <= self.nodes[at].edits]
-        return min(found, default=-1)
+            changed = changed or bool(stems)
+        found = [edits for at, edits in state if edits <= self.nodes[at].whole]
+        return min(found, default=1 if changed else -1)
+
+    def changed(self, word: str) -> set[str]:
+        """The terms, and stems with an asterisk, that one edit makes of the word or its beginning."""
+        state, found = self.first, set()
+        for letter in word:
+            state = self.step(state, letter)
+            found.update(self.nodes[at].name + "*" for at, edits in state if edits == 1 <= self.nodes[at].stem)
+        return found.union(self.nodes[at].name for at, edits in state if edits == 1 <= self.nodes[at].whole)
 
     def hit(self, word: str) -> bool:
         found = self.kept.get(word)
@@ -157,7 +175,7 @@ def learn(labelled: DataFrame, fit_rows: int = 10_000, max_terms: int = 5_000, l
     rows = labelled.where("text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1):
-        return Lexicon([], [], frozenset(), {})
+        return Lexicon([], [], frozenset(), frozenset(), {})
     share = F.lit(0.0)
     for label, n in totals.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, fit_rows / n))).otherwise(share)
@@ -190,19 +208,40 @@ def learn(labelled: DataFrame, fit_rows: int = 10_000, max_terms: int = 5_000, l
             continue
         roots.append(max((x for x in found if x.startswith(stem) and found[x] >= 0.95 * found[stem]), key=lambda x: (len(x), x)))
     terms = [r["word"] for r in by_word.where(telling).orderBy(*order).limit(max_terms).collect()]
-    terms = sorted(w for w in terms if not any(w.startswith(x) for x in roots))
-    near = _misspelled(by_word.where("good > 0").select("word"), terms, roots)
+    terms = sorted(terms)
+    edited = _edited(by_word, terms, roots, bad, good)
+    near = _misspelled(by_word.where("good > 0").select("word"), terms, roots, edited)
     spared = frozenset(r["word"] for r in near.orderBy("word").limit(max_terms).collect())
-    return Lexicon(terms, roots, spared, _shares(chosen, Lexicon(terms, roots, spared, {}), bad, good, totals))
+    return Lexicon(terms, roots, edited, spared, _shares(chosen, Lexicon(terms, roots, edited, spared, {}), bad, good, totals))
+
+
+def _edited(by_word: DataFrame, terms: list[str], stems: list[str], bad: int, good: int) -> frozenset[str]:
+    """What one edit may have changed: terms from ``FUZZY`` letters on, and others if clean documents do not have words one edit away, or far seldomer."""
+    short = [w for w in terms if len(w) < FUZZY]
+    every = frozenset(short) | {x + "*" for x in stems}
+
+    def near(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        matcher, exact = Matcher(short, stems, edited=every), Matcher(terms, stems, edited=frozenset())
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in ("word", "bad", "good")), strict=True)
+            found = [(term, b, g) for word, b, g in rows if exact.edits(word) < 0 for term in matcher.changed(word)]
+            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "bad", "good"])
+
+    counts = by_word.select("word", "bad", "good").mapInArrow(near, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    clean = {r["term"] for r in counts.where((F.col("good") > 0) & (F.col("bad") * max(good, 1) < 9 * F.col("good") * max(bad, 1))).collect()}
+    return frozenset(w for w in terms if len(w) >= FUZZY) | (every - clean)
 
 
-def _misspelled(words: DataFrame, terms: list[str], stems: list[str]) -> DataFrame:
+def _misspelled(words: DataFrame, terms: list[str], stems: list[str], edited: frozenset[str]) -> DataFrame:
     """The given words that are one edit away from a term."""
 
     def near(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        matcher = Matcher(terms, stems)
+        matcher = Matcher(terms, stems, edited=edited)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column("word").to_pylist() if matcher.edits(w) == 1], pa.string())], ["word"])
 
@@ -231,7 +270,7 @@ def count_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        matcher = Matcher(shared.value.words, shared.value.stems, shared.value.spared)
+        matcher = Matcher(shared.value.words, shared.value.stems, shared.value.spared, shared.value.edited)
         for batch in slices(batches, 512):
             found = [hits(x, matcher) for x in batch.column("text").to_pylist()]
             plain, quoted = zip(*found, strict=True) if found else ((), ())

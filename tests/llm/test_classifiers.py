@@ -142,6 +142,17 @@ def test_context_of_hits():
     assert hits(None, matcher) == hits("", matcher) == hits("...", matcher) == (0, 0)
 
 
+def test_misspellings_beside_stems_and_of_short_terms(spark):
+    forms = ["idiot", "idiots", "idiott", "idioot", "idiotic", "idiota"]
+    rows = [(k, f"you are {forms[k // 4 % 6] if k % 4 else 'idiot'} and scum here", 1) for k in range(0, 240, 2)]
+    rows += [(k, "you are able and friendly here", 0) for k in range(1, 240, 2)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert lexicon.stems and "idiot" in lexicon.words
+    matcher = Matcher(lexicon.words, lexicon.stems, lexicon.spared, lexicon.edited)
+    assert all(matcher.hit(w) for w in ("idiot", "idiotically", "ediot", "idot", "iidiot", "scumm", "skum"))
+    assert not any(matcher.hit(w) for w in ("able", "friendly", "you", "here"))
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     rows = [(k, f"you are an idiot number{k} here" if k % 3 == 0 else f"you are an able and friendly text{k} here", int(k % 3 == 0)) for k in range(90)]
     labelled = spark.createDataFrame([*rows, (91, None, 1), (92, "idiot", None)], "doc_id long, text string, toxic int")
