@@ -61,8 +61,33 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
     return noisy(documents(spark, sf))
 
 
-def noisy(docs: DataFrame) -> DataFrame:
-    commands = f"array({', '.join(lit(c) for c, _ in COMMANDS)})"
+_DEEP = "named_struct('a', named_struct('b', named_struct('c', named_struct('d', named_struct('e', named_struct('f', named_struct('g', split(lang, ''))))))))"
+JSON_DOC = f"to_json(named_struct('id', doc_id, 'lang', lang, 'text', text, 'lines', split(text, '\\n', -1), 'deep', {_DEEP}))"
+
+
+def mixed_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed(documents(spark, sf, "doc_id", "text", "source", "lang"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Noisy outputs of which some are JSON documents and others only begin like one."""
+    raw = f"""CASE doc_id % 11 WHEN 3 THEN concat(CASE WHEN doc_id % 7 = 0 THEN '\ufeff' ELSE '' END, {JSON_DOC})
+        WHEN 7 THEN concat('[broken ', {_NOISY}) ELSE {_NOISY} END"""
+    return noisy(docs, raw)
+
+
+def noisy(docs: DataFrame, raw: str | None = None) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").alias("id"),
+        F.expr("timestamp_seconds(1704067200 + doc_id * 317)").alias("ts"),
+        F.expr(f"element_at({_COMMANDS}, {_PICK} + 1)").alias("command"),
+        F.expr("concat('/home/u', string(doc_id % 7))").alias("cwd"),
+        F.expr("int(doc_id % 3)").alias("exit_code"),
+        F.expr(raw or _NOISY).alias("raw"),
+    )
+
+
+def _noisy_text() -> str:
     noises = f"array({', '.join(lit(n) for _, n in COMMANDS)})"
     body = f"""array_join(flatten(transform(split(text, '\\n', -1), (l, i) -> concat(
         CASE WHEN i % 3 = 0 THEN array(replace(element_at({noises}, {_PICK} + 1), '@', string(i))) ELSE array() END,
@@ -70,14 +95,11 @@ def noisy(docs: DataFrame) -> DataFrame:
         CASE WHEN i % 6 > 0 THEN transform(sequence(1, int(i % 6)), j ->
             concat('step ', string(doc_id * 10 + i * 100 + j), ' finished in ', string(j + 5), 'ms')) ELSE array() END
     ))), '\\n')"""
-    return docs.select(
-        F.col("doc_id").alias("id"),
-        F.expr("timestamp_seconds(1704067200 + doc_id * 317)").alias("ts"),
-        F.expr(f"element_at({commands}, {_PICK} + 1)").alias("command"),
-        F.expr("concat('/home/u', string(doc_id % 7))").alias("cwd"),
-        F.expr("int(doc_id % 3)").alias("exit_code"),
-        F.expr(f"concat(CASE WHEN doc_id % 7 = 0 THEN '﻿' ELSE '' END, {body})").alias("raw"),
-    )
+    return f"concat(CASE WHEN doc_id % 7 = 0 THEN '﻿' ELSE '' END, {body})"
+
+
+_COMMANDS = f"array({', '.join(lit(c) for c, _ in COMMANDS)})"
+_NOISY = _noisy_text()
 
 
 def _sql(text: str) -> str:
@@ -97,8 +119,23 @@ OUTPUTS = f"""outputs AS MATERIALIZED (
       ))), chr(10)) AS raw
   FROM documents)"""
 
-LINES = f"""{OUTPUTS}, lines AS MATERIALIZED (
+_LINES = """lines AS MATERIALIZED (
   SELECT id, command, unnest(string_split(raw, chr(10))) AS line, unnest(range(0, len(string_split(raw, chr(10))))) AS n FROM outputs)"""
+LINES = f"{OUTPUTS}, {_LINES}"
+
+JDOCS = """jdocs AS MATERIALIZED (SELECT doc_id AS id, lang, text, string_split(text, chr(10)) AS lines, len(lang) AS letters,
+  CAST(to_json({id: doc_id, lang: lang, text: text, lines: string_split(text, chr(10)), deep: {a: {b: {c: {d: {e: {f: {g: string_split(lang, '')}}}}}}}}) AS VARCHAR) AS raw FROM documents)"""
+_CUT = lambda s: f"CASE WHEN length({s}) > 200 THEN left({s}, 200) || '… ⟨+' || (length({s}) - 200) || ' chars⟩' ELSE {s} END"
+VIEWS = JDOCS + f""", views AS (SELECT id, raw, '{{' || chr(10) || '  "id": ' || id || ',' || chr(10) || '  "lang": "' || lang || '",' || chr(10) ||
+  '  "text": ' || to_json({_CUT('text')}) || ',' || chr(10) || '  "lines": [' || chr(10) || array_to_string(list_concat(
+    list_transform(lines[1:8], lambda l: '    ' || to_json({_CUT('l')})),
+    CASE WHEN len(lines) > 8 THEN ['    "… ⟨' || (len(lines) - 8) || ' more of ' || len(lines) || ' items⟩"'] ELSE [] END), ',' || chr(10)) || chr(10) || '  ],' || chr(10) ||
+  '  "deep": {{' || chr(10) || '    "a": {{' || chr(10) || '      "b": {{' || chr(10) || '        "c": {{' || chr(10) || '          "d": {{' || chr(10) ||
+  '            "e": {{' || chr(10) || '              "f": {{' || chr(10) || '                "g": "⟨array of ' || letters || ' items elided at depth limit⟩"' || chr(10) ||
+  '              }}' || chr(10) || '            }}' || chr(10) || '          }}' || chr(10) || '        }}' || chr(10) || '      }}' || chr(10) || '    }}' || chr(10) || '  }}' || chr(10) || '}}' AS view FROM jdocs)"""
+MIXED_OUTPUTS = f"""{OUTPUTS.replace('outputs AS', 'noisy AS', 1)}, {VIEWS}, outputs AS MATERIALIZED (SELECT n.* REPLACE (
+  CASE WHEN n.id % 11 = 3 THEN (CASE WHEN n.id % 7 = 0 THEN chr(65279) ELSE '' END) || v.raw WHEN n.id % 11 = 7 THEN '[broken ' || n.raw ELSE n.raw END AS raw) FROM noisy AS n JOIN views AS v USING (id))"""
+MIXED_LINES = f"{MIXED_OUTPUTS}, {_LINES}"
 
 
 def metric_events(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checks.inputs import LINES, outputs
 from checks.registry import check
+from checks.rules import NOISY
 from checks.text import CAPPED, COLLAPSE, FPS, HITS, _with
 from logsift.operators import linefolds
 from logsift.operators.lines import in_blocks, to_lines
+from logsift.plans.linechain import compress_line_table
 
 
 def _lines(spark, sf):
@@ -33,3 +37,12 @@ def q_limit(spark, sf):
   UNION ALL SELECT DISTINCT id, 15, '… ⟨' || (c - 35) || ' lines hidden⟩' FROM sized WHERE c > 36""")
 def q_ends(spark, sf):
     return linefolds.keep_ends(_lines(spark, sf), 15, 20).drop("block")
+
+
+@check("compress_line_table", NOISY + "SELECT id, label, raw_tokens, comp_tokens, raw_tokens - comp_tokens AS saved, passthrough, md5(body) AS body FROM results")
+def q_pipeline(spark, sf):
+    """The whole pipeline on lines in short blocks: the rows of ``compress_outputs``."""
+    done = compress_line_table(_lines(spark, sf), outputs(spark, sf).select("id", "command"))
+    texts = done.bodies.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("block", "n", "line"))).alias("lines"))
+    body = F.md5(F.coalesce(F.array_join("lines.line", "\n"), F.lit(""))).alias("body")
+    return done.results.join(texts, "id", "left").select("id", "label", "raw_tokens", "comp_tokens", "saved", "passthrough", body)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.inputs import LINES, METRICS, STORE, outputs, store, tokens_sql
+from checks.inputs import LINES, METRICS, MIXED_LINES, STORE, mixed_outputs, outputs, store, tokens_sql
 from checks.registry import check
 from checks.text import fp_sql
 from logsift.functions import text as T
@@ -28,9 +28,10 @@ def _on(match: str) -> str:
 class LineSql:
     """Grows a chain of CTEs over ``lines(id, command, n, line)``, one per action."""
 
-    def __init__(self):
+    def __init__(self, mixed: bool = False):
+        self.mixed = mixed
         self.ctes = [
-            LINES,
+            MIXED_LINES if mixed else LINES,
             "l0 AS MATERIALIZED (SELECT id, command, n, CASE WHEN n = 0 THEN ltrim(line, chr(65279)) ELSE line END AS line FROM lines)",
         ]
         self.now, self.count, self.marks = "l0", 0, []
@@ -164,34 +165,50 @@ class LineSql:
                     )
             self.mark(r.name, before)
 
+    def shown(self) -> str:
+        """Body and label before the valve. A JSON document gets its view if that is shorter, and no line work."""
+        js, body, label = "false", "b.body", "coalesce(x.label, 'none')"
+        if self.mixed:
+            js = "(o.id % 11 = 3 AND length(v.view) < length(ltrim(o.raw, chr(65279))))"
+            body, label = f"CASE WHEN {js} THEN v.view ELSE b.body END", f"CASE WHEN {js} THEN 'json' ELSE {label} END"
+        views = "JOIN views AS v ON v.id = o.id" if self.mixed else ""
+        return f"SELECT o.*, {body} AS body, {label} AS label FROM outputs AS o JOIN bodies AS b ON o.id = b.id {views} LEFT JOIN names AS x ON x.id = o.id"
+
     def results(self) -> str:
         """CTEs up to ``results``: the row each output gets from the pipeline."""
         marks = " UNION ALL ".join(f"SELECT * FROM {m}" for m in self.marks)
         done = f"""bodies AS MATERIALIZED (SELECT id, string_agg(line, chr(10) ORDER BY n) AS body FROM {self.now} GROUP BY id),
 names AS (SELECT id, string_agg(name, '+' ORDER BY k) AS label FROM ({marks}) AS m GROUP BY id),
-judged AS MATERIALIZED (SELECT o.*, b.body, coalesce(x.label, 'none') AS label, {tokens_sql('o.raw')} AS raw_tokens, {tokens_sql('b.body')} AS after
-  FROM outputs AS o JOIN bodies AS b ON o.id = b.id LEFT JOIN names AS x ON x.id = o.id),
+shown AS MATERIALIZED ({self.shown()}),
+judged AS MATERIALIZED (SELECT *, {tokens_sql('raw')} AS raw_tokens, {tokens_sql('body')} AS after FROM shown),
 valve AS (SELECT *, raw_tokens < 40 OR body = raw OR (raw_tokens - after) / raw_tokens < 0.15 AS passthrough FROM judged),
 results AS MATERIALIZED (SELECT id, ts, command, cwd, exit_code, raw, raw_tokens, passthrough, CASE WHEN passthrough THEN raw ELSE body END AS body,
   CASE WHEN passthrough THEN raw_tokens ELSE after END AS comp_tokens, CASE WHEN passthrough THEN 'passthrough' ELSE label END AS label FROM valve)"""
         return "WITH " + ",\n".join([*self.ctes, done]) + "\n"
 
 
-def pipeline_sql(rules: list[Rule] = BUILTIN_RULES) -> str:
-    sql = LineSql()
+def pipeline_sql(rules: list[Rule] = BUILTIN_RULES, mixed: bool = False) -> str:
+    sql = LineSql(mixed)
     sql.filters()
     sql.rules(rules)
     return sql.results()
 
 
-RESULTS = pipeline_sql()
+NOISY = pipeline_sql()
+RESULTS = pipeline_sql(mixed=True)
 
 
 def results(spark, sf):
-    return compress(outputs(spark, sf), json=False)
+    return compress(mixed_outputs(spark, sf))
+
+
+@check("compress_mixed", RESULTS + "SELECT id, label, raw_tokens, comp_tokens, raw_tokens - comp_tokens AS saved, passthrough, md5(body) AS body FROM results")
+def q_compress_mixed(spark, sf):
+    """Text, JSON and text that only begins like JSON."""
+    return results(spark, sf).select("id", "label", "raw_tokens", "comp_tokens", "saved", "passthrough", F.md5("body").alias("body"))
 
 
-@check("compress_outputs", RESULTS + "SELECT id, label, raw_tokens, comp_tokens, raw_tokens - comp_tokens AS saved, passthrough, md5(body) AS body FROM results")
+@check("compress_outputs", NOISY + "SELECT id, label, raw_tokens, comp_tokens, raw_tokens - comp_tokens AS saved, passthrough, md5(body) AS body FROM results")
 def q_compress(spark, sf):
     done = compress(outputs(spark, sf))
     return done.select("id", "label", "raw_tokens", "comp_tokens", "saved", "passthrough", F.md5("body").alias("body"))
@@ -238,9 +255,9 @@ USER_RULES = [
 ]
 
 
-@check("user_rules", (lambda s: (s.filters(), s.rules(USER_RULES), s.results())[2])(LineSql()) + "SELECT id, label, raw_tokens, comp_tokens, md5(body) AS body FROM results")
+@check("user_rules", pipeline_sql(USER_RULES, mixed=True) + "SELECT id, label, raw_tokens, comp_tokens, md5(body) AS body FROM results")
 def q_user_rules(spark, sf):
-    done = compress(outputs(spark, sf), rules=USER_RULES, json=False)
+    done = compress(mixed_outputs(spark, sf), rules=USER_RULES)
     return done.select("id", "label", "raw_tokens", "comp_tokens", F.md5("body").alias("body"))
 
 
@@ -251,14 +268,16 @@ PATTERN_RULES = [
 ]
 
 
-@check("user_patterns", f"""WITH {LINES}, l0 AS (SELECT id, n, CASE WHEN n = 0 THEN ltrim(line, chr(65279)) ELSE line END AS line,
+@check("user_patterns", f"""WITH {MIXED_LINES}, l0 AS (SELECT id, n, CASE WHEN n = 0 THEN ltrim(line, chr(65279)) ELSE line END AS line,
   regexp_matches(command, '^[a-d\\[]') AS odd, command ILIKE 'g%' AS half FROM lines),
 kept AS (SELECT id, n, CASE WHEN odd THEN regexp_replace(line, '[ab&][ab&]+', '<>', 'g') WHEN half THEN replace(line, 'tt', 't{{') ELSE line END AS line
-  FROM l0 WHERE NOT (odd AND (line LIKE '[%' OR regexp_matches(line, '^#(|x|xx|xxx)[0-9]'))))
-SELECT id, md5(coalesce(string_agg(line, chr(10) ORDER BY n), '')) AS body FROM (SELECT DISTINCT id FROM l0) AS ids LEFT JOIN kept USING (id) GROUP BY id""")
+  FROM l0 WHERE NOT (odd AND (line LIKE '[%' OR regexp_matches(line, '^#(|x|xx|xxx)[0-9]')))),
+bodies AS (SELECT id, coalesce(string_agg(line, chr(10) ORDER BY n), '') AS body FROM (SELECT DISTINCT id FROM l0) AS ids LEFT JOIN kept USING (id) GROUP BY id)
+SELECT o.id, md5(CASE WHEN o.id % 11 = 3 AND length(v.view) < length(ltrim(o.raw, chr(65279))) THEN v.view ELSE b.body END) AS body
+FROM outputs AS o JOIN views AS v USING (id) JOIN bodies AS b ON b.id = o.id""")
 def q_user_patterns(spark, sf):
     """Patterns that are valid in Python's dialect and mean something else, or nothing, in Java's."""
-    done = compress(outputs(spark, sf), Options(min_tokens=0, min_saving=-100), rules=PATTERN_RULES, filters=[], json=False)
+    done = compress(mixed_outputs(spark, sf), Options(min_tokens=0, min_saving=-100), rules=PATTERN_RULES, filters=[])
     return done.select("id", F.md5("body").alias("body"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import metric_columns, request_columns, tokens_sql
 from checks.registry import ORACLES, check
-from checks.rules import EFFICIENCY
+from checks.rules import EFFICIENCY, LIFETIME
 from logsift.scratch import new_path
 from logsift.streaming import counters
 from logsift.streaming.compress import start_compress
@@ -43,15 +43,14 @@ def _results(docs):
     return docs.select(
         before.alias("raw_tokens"), F.floor(before / 3).alias("comp_tokens"),
         F.expr("CASE WHEN doc_id % 4 = 0 THEN 'a' ELSE 'b' END").alias("label"), F.expr("doc_id % 3 = 0").alias("passthrough"),
+        F.expr("timestamp_seconds(1704067200 + doc_id * 317)").alias("ts"),
     )
 
 
-@check("stream_lifetime", f"""WITH {_DOCS}, s AS (SELECT count(*) AS outputs_seen, count(*) FILTER (WHERE NOT passthrough) AS outputs_compressed, sum(raw_tokens) FILTER (WHERE NOT passthrough) AS raw_tokens,
-  sum(raw_tokens // 3) FILTER (WHERE NOT passthrough) AS out_tokens, sum(raw_tokens) FILTER (WHERE passthrough) AS passthrough_tokens FROM r)
-SELECT outputs_seen, outputs_compressed, raw_tokens, out_tokens, passthrough_tokens, raw_tokens - out_tokens AS tokens_saved FROM s""")
+@check("stream_lifetime", f"""WITH {_DOCS}, done AS (SELECT *, CASE WHEN passthrough THEN raw_tokens ELSE raw_tokens // 3 END AS comp_tokens, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(id * 317) AS ts FROM r), """ + LIFETIME.format("done"))
 def q_lifetime(spark, sf):
     path = _run(spark, counters.start_lifetime, _results(_stream(spark, sf, "documents")))
-    return counters.lifetime_totals(spark, path).select("outputs_seen", "outputs_compressed", "raw_tokens", "out_tokens", "passthrough_tokens", "tokens_saved")
+    return counters.lifetime_totals(spark, path)
 
 
 @check("stream_labels", f"WITH {_DOCS} SELECT label, count(*) AS outputs, sum(raw_tokens - raw_tokens // 3) AS tokens_saved, round_even(sum(raw_tokens - raw_tokens // 3) * 100 / sum(raw_tokens), 1) AS reduction_pct FROM r WHERE NOT passthrough GROUP BY label")
@@ -71,10 +70,10 @@ def q_ledger(spark, sf):
     return spark.read.parquet(f"{path}/ledger-0").select("session", "key", "stamp", "served_at", "suppressed")
 
 
-@check("stream_compress", ORACLES["compress_outputs"])
+@check("stream_compress", ORACLES["compress_mixed"])
 def q_compress(spark, sf):
-    from checks.inputs import noisy
+    from checks.inputs import mixed
 
-    path = _run(spark, start_compress, noisy(_stream(spark, sf, "documents")), json=False)
+    path = _run(spark, start_compress, mixed(_stream(spark, sf, "documents")))
     done = spark.read.parquet(path)
     return done.select("id", "label", "raw_tokens", "comp_tokens", "saved", "passthrough", F.md5("body").alias("body"))

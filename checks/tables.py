@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.inputs import OUTPUTS, REQUESTS, STORE, documents, outputs, requests, store, table, tokens_sql
+from checks.inputs import _CUT, JDOCS, JSON_DOC, OUTPUTS, REQUESTS, STORE, VIEWS, documents, outputs, requests, store, table, tokens_sql
 from checks.registry import check
 from logsift.functions import labels
 from logsift.functions import payload as P
@@ -16,24 +16,14 @@ from logsift.operators import store as S
 
 # ---- JSON -------------------------------------------------------------------------------------
 
-_DEEP = "named_struct('a', named_struct('b', named_struct('c', named_struct('d', named_struct('e', named_struct('f', named_struct('g', split(lang, ''))))))))"
-_DOC = f"to_json(named_struct('id', doc_id, 'lang', lang, 'text', text, 'lines', split(text, '\\n', -1), 'deep', {_DEEP}))"
-JDOCS = """jdocs AS MATERIALIZED (SELECT doc_id AS id, lang, text, string_split(text, chr(10)) AS lines, len(lang) AS letters,
-  to_json({id: doc_id, lang: lang, text: text, lines: string_split(text, chr(10)), deep: {a: {b: {c: {d: {e: {f: {g: string_split(lang, '')}}}}}}}}) AS raw FROM documents)"""
+_DOC = JSON_DOC
 
 
 def json_docs(spark, sf):
     return documents(spark, sf, "doc_id", "text", "lang").select(F.col("doc_id").alias("id"), F.expr(_DOC).alias("raw"))
 
 
-_cut = lambda s: f"CASE WHEN length({s}) > 200 THEN left({s}, 200) || '… ⟨+' || (length({s}) - 200) || ' chars⟩' ELSE {s} END"
-VIEWS = JDOCS + f""", views AS (SELECT id, raw, '{{' || chr(10) || '  "id": ' || id || ',' || chr(10) || '  "lang": "' || lang || '",' || chr(10) ||
-  '  "text": ' || to_json({_cut('text')}) || ',' || chr(10) || '  "lines": [' || chr(10) || array_to_string(list_concat(
-    list_transform(lines[1:8], lambda l: '    ' || to_json({_cut('l')})),
-    CASE WHEN len(lines) > 8 THEN ['    "… ⟨' || (len(lines) - 8) || ' more of ' || len(lines) || ' items⟩"'] ELSE [] END), ',' || chr(10)) || chr(10) || '  ],' || chr(10) ||
-  '  "deep": {{' || chr(10) || '    "a": {{' || chr(10) || '      "b": {{' || chr(10) || '        "c": {{' || chr(10) || '          "d": {{' || chr(10) ||
-  '            "e": {{' || chr(10) || '              "f": {{' || chr(10) || '                "g": "⟨array of ' || letters || ' items elided at depth limit⟩"' || chr(10) ||
-  '              }}' || chr(10) || '            }}' || chr(10) || '          }}' || chr(10) || '        }}' || chr(10) || '      }}' || chr(10) || '    }}' || chr(10) || '  }}' || chr(10) || '}}' AS view FROM jdocs)"""
+_cut = _CUT
 
 
 @check("json_views", f"WITH {VIEWS} SELECT id, view FROM views")
@@ -46,15 +36,18 @@ def q_json_report(spark, sf):
     return jsonshape.json_report(json_docs(spark, sf))
 
 
-@check("json_compress", f"""WITH {VIEWS}, t AS (SELECT id, {tokens_sql('raw')} AS raw_tokens, {tokens_sql('view')} AS after, view, raw FROM views),
-v AS (SELECT *, raw_tokens < 40 OR length(view) >= length(raw) OR (raw_tokens - after) / raw_tokens < 0.15 AS through FROM t)
-SELECT id, raw_tokens, CASE WHEN through THEN raw_tokens ELSE after END AS comp_tokens, CASE WHEN through THEN 'passthrough' ELSE 'json' END AS label, md5(CASE WHEN through THEN raw ELSE view END) AS body FROM v WHERE length(view) < length(raw)""")
+# A JSON output whose view is no shorter is line work: one line of a curl command, so clipped if it is long.
+_CLIPPED = "CASE WHEN length(raw) > 800 THEN left(raw, 800) || '… ⟨+' || (length(raw) - 800) || ' chars⟩' ELSE raw END"
+
+
+@check("json_compress", f"""WITH {VIEWS}, t AS (SELECT id, {tokens_sql('raw')} AS raw_tokens, raw, length(view) < length(raw) AS js, CASE WHEN length(view) < length(raw) THEN view ELSE {_CLIPPED} END AS body FROM views),
+a AS (SELECT *, {tokens_sql('body')} AS after FROM t), v AS (SELECT *, raw_tokens < 40 OR body = raw OR (raw_tokens - after) / raw_tokens < 0.15 AS through FROM a)
+SELECT id, raw_tokens, CASE WHEN through THEN raw_tokens ELSE after END AS comp_tokens, CASE WHEN through THEN 'passthrough' WHEN js THEN 'json' ELSE 'clip-monster-lines' END AS label, md5(CASE WHEN through THEN raw ELSE body END) AS body FROM v""")
 def q_json_compress(spark, sf):
-    """JSON outputs through the pipeline; where the view is no shorter they are line work, left out here."""
+    """JSON outputs through the pipeline."""
     from logsift.plans.compression import compress
 
-    docs = json_docs(spark, sf).withColumn("command", F.lit("curl")).withColumn("_shorter", F.length(json_view(F.col("raw"))) < F.length("raw"))
-    done = compress(docs).filter("_shorter")
+    done = compress(json_docs(spark, sf).withColumn("command", F.lit("curl")))
     return done.select("id", "raw_tokens", "comp_tokens", "label", F.md5("body").alias("body"))
 
 

@@ -31,6 +31,11 @@ def _folded(name: str) -> str:
     return f"SELECT id, md5(string_agg(line, chr(10) ORDER BY n, sub)) AS body, count(*) AS lines FROM {name} GROUP BY id"
 
 
+def _every(name: str) -> str:
+    """The same for all outputs, those without a line left included."""
+    return f"SELECT o.id, md5(coalesce(string_agg(line, chr(10) ORDER BY n, sub), '')) AS body, count(k.n) AS lines FROM outputs AS o LEFT JOIN {name} AS k ON k.id = o.id GROUP BY o.id"
+
+
 def _digest(spark, sf, fold):
     items = lines_as_items(spark, sf).withColumn("items", F.expr(fold))
     kept = items.selectExpr("id", "transform(items, x -> x.line) AS kept") if "line" in items.schema["items"].dataType.elementType.simpleString() else items.selectExpr("id", "items AS kept")
@@ -63,9 +68,9 @@ def q_drop_lines(spark, sf):
     return _digest(spark, sf, folds.keep_where("lines", folds.Plain, lambda l: f"NOT {T.search(l, '^step [0-9]+')}"))
 
 
-@check("keep_lines", _with(LINES, "kept AS (SELECT *, 0 AS sub FROM lines WHERE regexp_matches(line, '[0-9]'))") + _folded("kept"))
+@check("keep_lines", _with(LINES, "kept AS (SELECT *, 0 AS sub FROM lines WHERE regexp_matches(line, '[0-9]'))") + _every("kept"))
 def q_keep_lines(spark, sf):
-    return _digest(spark, sf, folds.keep_where("lines", folds.Plain, lambda l: T.search(l, "[0-9]"))).filter("lines > 0")
+    return _digest(spark, sf, folds.keep_where("lines", folds.Plain, lambda l: T.search(l, "[0-9]")))
 
 
 _clip = lambda line, n: f"""CASE WHEN length(regexp_replace({line}, '… ⟨\\+\\d+ chars⟩$', '')) <= {n} THEN {line}
@@ -135,9 +140,9 @@ def q_keep_ends(spark, sf):
     return _digest(spark, sf, folds.keep_ends("lines", 15, 20))
 
 
-@check("slice_lines", _with(LINES, "kept AS (SELECT *, 0 AS sub FROM lines WHERE n BETWEEN 2 AND 6)") + _folded("kept"))
+@check("slice_lines", _with(LINES, "kept AS (SELECT *, 0 AS sub FROM lines WHERE n BETWEEN 2 AND 6)") + _every("kept"))
 def q_slice(spark, sf):
-    return _digest(spark, sf, T.slice_lines("lines", "3-7")).filter("lines > 0")
+    return _digest(spark, sf, T.slice_lines("lines", "3-7"))
 
 
 @check("token_estimate", f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents")

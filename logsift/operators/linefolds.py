@@ -64,15 +64,38 @@ def _runs(lines: DataFrame) -> DataFrame:
     return rows.select(*COLUMNS, (F.col("_nth") - 1 + inn).alias("at"), (F.col("_len") + inn + out).alias("length"))
 
 
-def collapse_repeats(lines: DataFrame, threshold: int = 3) -> DataFrame:
-    """Neighbouring lines with one non-empty fingerprint: the first stays, a marker counts the run."""
+def collapse_repeats(lines: DataFrame, threshold: int = 3, made: bool = False) -> DataFrame:
+    """Neighbouring lines with one non-empty fingerprint: the first stays, a marker counts the run.
+
+    With ``made``, here and in the folds below, a column of this name says which lines are markers.
+    """
     runs = _runs(lines)
     folded = F.col("length") >= threshold
-    text = F.when(folded & (F.col("at") == 1), _marker("    … ⟨×", F.col("length"), " similar lines⟩")).otherwise(F.col("line"))
-    return runs.filter(~folded | (F.col("at") <= 1)).select("id", "block", "n", text.alias("line"))
+    marked = folded & (F.col("at") == 1)
+    text = F.when(marked, _marker("    … ⟨×", F.col("length"), " similar lines⟩")).otherwise(F.col("line"))
+    return runs.filter(~folded | (F.col("at") <= 1)).select("id", "block", "n", text.alias("line"), *[marked.alias("made")] * made)
+
+
+def squeeze_blanks(lines: DataFrame, blank: Column) -> DataFrame:
+    """Add ``again``: is the line blank and the one before it, too? A block learns that of its first line from the block before."""
+    inside, order = W.partitionBy("id", "block").orderBy("n"), W.partitionBy("id").orderBy("block")
+    marked = lines.select(*COLUMNS, blank.alias("blank"))
+    edges = marked.groupBy("id", "block").agg(F.max_by("blank", "n").alias("last"))
+    edges = edges.select("id", "block", F.coalesce(F.lag("last").over(order), F.lit(False)).alias("carried"))
+    before = F.lag("blank").over(inside).alias("before")
+    return marked.select("*", before).join(edges, ["id", "block"]).select(*COLUMNS, (F.col("blank") & F.coalesce("before", "carried")).alias("again"))
+
+
+def count_dropped(lines: DataFrame, noise: Column, what: str) -> DataFrame:
+    """Lines that are not noise, and after an output's last line a marker with the number of those that went."""
+    judged = lines.select(*COLUMNS, F.coalesce(noise, F.lit(False)).alias("noise"))
+    sums = judged.groupBy("id").agg(F.count_if("noise").alias("hidden"), F.max(F.struct("block", "n")).alias("last")).where("hidden > 0")
+    marker = _marker("… ⟨", F.col("hidden"), f" {what} hidden⟩").alias("line")
+    marked = sums.select("id", F.col("last.block").alias("block"), (F.col("last.n") + 1).alias("n"), marker, F.lit(True).alias("made"))
+    return judged.where("not noise").select(*COLUMNS, F.lit(False).alias("made")).union(marked)
 
 
-def _cap(lines: DataFrame, key: Column, keep: int, marker) -> DataFrame:
+def _cap(lines: DataFrame, key: Column, keep: int, marker, made: bool) -> DataFrame:
     """First ``keep`` lines per output and key, then a marker. Lines without a key are their own group."""
     keyed = lines.select(*COLUMNS, F.coalesce(key, F.lit("")).alias("key"), F.when(key.isNull(), F.struct("block", "n")).alias("own"))
     order = W.partitionBy("id", "key", "own").orderBy("block", "n")
@@ -80,22 +103,22 @@ def _cap(lines: DataFrame, key: Column, keep: int, marker) -> DataFrame:
     counts = keyed.filter(F.col("own").isNull()).groupBy("id", "key").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > keep)
     # Only the row after the kept ones asks for the count: one row per key.
     over = first.filter(F.col("rank") == keep + 1).join(counts, ["id", "key"])
-    marked = over.select("id", "block", "n", marker(F.col("key"), F.col("count") - keep).alias("line"))
-    return first.filter(F.col("rank") <= keep).select(*COLUMNS).unionByName(marked)
+    marked = over.select("id", "block", "n", marker(F.col("key"), F.col("count") - keep).alias("line"), *[F.lit(True).alias("made")] * made)
+    return first.filter(F.col("rank") <= keep).select(*COLUMNS, *[F.lit(False).alias("made")] * made).unionByName(marked)
 
 
-def cascade_guard(lines: DataFrame, most: int = 5) -> DataFrame:
+def cascade_guard(lines: DataFrame, most: int = 5, made: bool = False) -> DataFrame:
     """A fingerprint seen more than ``most`` times anywhere in an output keeps its first ``most``."""
     fp = F.nullif(F.expr(fingerprint("line")), F.lit(""))
-    return _cap(lines, fp, most, lambda _, more: _marker("    … ⟨and ", more, " more like this⟩"))
+    return _cap(lines, fp, most, lambda _, more: _marker("    … ⟨and ", more, " more like this⟩"), made)
 
 
-def limit_per_file(lines: DataFrame, keep: int = 5) -> DataFrame:
+def limit_per_file(lines: DataFrame, keep: int = 5, made: bool = False) -> DataFrame:
     """At most ``keep`` search hits per file; lines that are not hits always stay."""
-    return _cap(lines, F.expr(hit_file("line")), keep, lambda file, more: _marker("    … ⟨+", more, " more in ", file, "⟩"))
+    return _cap(lines, F.expr(hit_file("line")), keep, lambda file, more: _marker("    … ⟨+", more, " more in ", file, "⟩"), made)
 
 
-def keep_ends(lines: DataFrame, head: int, tail: int, label: str = "lines") -> DataFrame:
+def keep_ends(lines: DataFrame, head: int, tail: int, label: str = "lines", made: bool = False) -> DataFrame:
     """First ``head`` and last ``tail`` lines around a marker, when that is shorter."""
     head, tail = max(0, int(head)), max(0, int(tail))
     lines = lines.select(*COLUMNS)
@@ -106,6 +129,7 @@ def keep_ends(lines: DataFrame, head: int, tail: int, label: str = "lines") -> D
     end = lines.withColumn("rank", F.row_number().over(down)).filter(F.col("rank") <= tail).join(counts, "id")
     short = F.col("count") <= head + tail + 1
     marker = _marker("… ⟨", F.col("count") - (head + tail), f" {label} hidden⟩")
-    text = F.when(~short & (F.col("rank") == head + 1), marker).otherwise(F.col("line"))
-    first = start.filter(short | (F.col("rank") <= head + 1)).select("id", "block", "n", text.alias("line"))
-    return first.unionByName(end.filter(~short).select(*COLUMNS))
+    marked = ~short & (F.col("rank") == head + 1)
+    text = F.when(marked, marker).otherwise(F.col("line"))
+    first = start.filter(short | (F.col("rank") <= head + 1)).select("id", "block", "n", text.alias("line"), *[marked.alias("made")] * made)
+    return first.unionByName(end.filter(~short).select(*COLUMNS, *[F.lit(False).alias("made")] * made))

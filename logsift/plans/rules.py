@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from logsift.functions import text as T
 from logsift.functions.patterns import group_name, java_pattern, readable
-from logsift.functions.text import ANY_CASE, UNICODE, fn, let, lit, search
+from logsift.functions.text import UNICODE, fn, let, lit, search
 from logsift.operators import folds
 from logsift.options import DEFAULTS, Options
+from logsift.plans.routing import matches, route
 
 
 @dataclass(frozen=True)
@@ -183,13 +184,6 @@ def java_replacement(template: str) -> str:
     return "".join(out)
 
 
-def matches(rule_: Rule, command: str) -> str:
-    """Does the rule's pattern occur in the command, in any case? No or a broken pattern: never."""
-    if not rule_.match or not readable(rule_.match):
-        return "false"
-    return f"coalesce({search(command, ANY_CASE + java_pattern(rule_.match))}, false)"
-
-
 def active_rules(rules: Sequence[Rule], command: str) -> list[tuple[Rule, str]]:
     """Each rule with its row condition: it matches and no earlier matching rule stopped the chain."""
     stops, active = [], []
@@ -209,6 +203,16 @@ def _is_number(arg: Any) -> bool:
     return isinstance(arg, int) and not isinstance(arg, bool)
 
 
+def repeats(arg: Any, opts: Options) -> int:
+    """Least run that a ``collapse_repeats`` action folds."""
+    return arg if _is_number(arg) and arg > 1 else opts.collapse_threshold
+
+
+def group_size(arg: Any) -> int:
+    """How many of a group stay."""
+    return arg if _is_number(arg) and arg > 0 else _DEFAULT_GROUP_SIZE
+
+
 def _is_pair(arg: Any) -> bool:
     return isinstance(arg, (list, tuple)) and len(arg) == 2
 
@@ -231,12 +235,11 @@ def _step(kind: str, arg: Any, items: str, lines: folds.Lines, opts: Options) ->
         new = T.split_lines(whole)
         return folds.with_fingerprints(new) if lines is folds.Printed else new
     if kind == "collapse_repeats" and arg:
-        least = arg if _is_number(arg) and arg > 1 else opts.collapse_threshold
-        return folds.collapse_repeats(items, least)
+        return folds.collapse_repeats(items, repeats(arg, opts))
     if kind == "cascade_guard" and arg:
-        return folds.cascade_guard(items, arg if _is_number(arg) and arg > 0 else _DEFAULT_GROUP_SIZE)
+        return folds.cascade_guard(items, group_size(arg))
     if kind == "limit_per_file" and arg:
-        return folds.limit_per_file(items, arg if _is_number(arg) and arg > 0 else _DEFAULT_GROUP_SIZE, lines)
+        return folds.limit_per_file(items, group_size(arg), lines)
     if kind == "keep_head_tail" and _is_pair(arg):
         return folds.keep_ends(items, int(arg[0]), int(arg[1]), "lines", lines)
     if kind == "max_line_len":
@@ -334,12 +337,73 @@ def _chain(active: Sequence[tuple[Rule, str]], state: str, lines: folds.Lines, o
     return let(step, lambda s: _chain(left, s, lines, opts))
 
 
+_LOOPED = {"strip_ansi", "drop_lines", "keep_lines", "collapse_repeats", "cascade_guard", "limit_per_file", "keep_head_tail", "max_line_len"}
+
+
+def _programs(command: str, rules: Sequence[Rule], first: int, items: str, names: str, opts: Options) -> str:
+    """State after the rules from number ``first`` on: every row is taken through the steps of its own rules, one after the other.
+
+    A step's number chooses what it does, so there is one expression for each kind of step, however many rules have it.
+    """
+    steps = [(r, kind, arg) for r in range(first, len(rules)) for kind, arg in rules[r].actions]
+    by_rule = [[s for s, (owner, _, _) in enumerate(steps) if owner == r] for r in range(len(rules))]
+    table = f"array({', '.join(f'CAST(array({', '.join(map(str, held))}) AS ARRAY<INT>)' for held in by_rule)})"
+    program = f"flatten(transform({route(command, rules, [])}, {fn(lambda r: f'{table}[{r}]')}))"
+    kinds: dict[tuple, list[int]] = {}
+    for s, (_, kind, arg) in enumerate(steps):
+        group = (kind,) if kind in ("drop_lines", "keep_lines", "collapse_repeats") else (kind, repr(arg))
+        kinds.setdefault(group, []).append(s)
+    of = lambda held: ", ".join(map(str, held))
+
+    def choice(k: str, held: list[int], value: Callable[[Any], str]) -> str:
+        return f"CASE {k} {' '.join(f'WHEN {s} THEN {value(steps[s][2])}' for s in held)} END"
+
+    def lines_that(k: str, held: list[int], it: str, kept: bool) -> str:
+        known = [s for s in held if readable(steps[s][2])]
+        if not known:
+            return it
+        hit = lambda l: choice(k, known, lambda arg: search(l, UNICODE + java_pattern(arg)))
+        wanted = hit if kept else lambda l: f"NOT {hit(l)}"
+        left = folds.at_least_one(folds.keep_where(it, folds.Printed, wanted), folds.Printed)
+        return left if len(known) == len(held) else f"CASE WHEN {k} IN ({of(known)}) THEN {left} ELSE {it} END"
+
+    def after(it: str, k: str) -> str:
+        cases = []
+        for (kind, *_), held in kinds.items():
+            if kind in ("drop_lines", "keep_lines"):
+                new = lines_that(k, held, it, kind == "keep_lines")
+            elif kind == "collapse_repeats":
+                new = let(choice(k, held, lambda arg: str(repeats(arg, opts)) if arg else "2147483647"), lambda least: folds.collapse_repeats(it, least))
+            else:
+                new = _step(kind, steps[held[0]][2], it, folds.Printed, opts)
+            cases.append(f"WHEN {k} IN ({of(held)}) THEN {new}")
+        return f"CASE {' '.join(cases)} ELSE {it} END" if cases else it
+
+    begins, ends = [h[0] for h in by_rule if h], [h[-1] for h in by_rule if h]
+    named = f"array({', '.join(lit(rules[owner].name) for owner, _, _ in steps)})"
+
+    def merged(s: str, k: str) -> str:
+        def done(new: str, start: str) -> str:
+            more = f"CASE WHEN {k} IN ({of(ends)}) AND {new} != {start} THEN concat({s}.names, array({named}[{k}])) ELSE {s}.names END"
+            return f"named_struct('items', {new}, 'start', {start}, 'names', {more})"
+
+        began = f"CASE WHEN {k} IN ({of(begins)}) THEN {s}.items ELSE {s}.start END"
+        return let(after(f"{s}.items", k), lambda new: let(began, lambda start: done(new, start)))
+
+    if not steps:
+        return state_struct(items, names)
+    whole = let(items, lambda it: f"aggregate({program}, named_struct('items', {it}, 'start', {it}, 'names', {names}), {fn(merged, 2)})")
+    return let(whole, lambda s: state_struct(folds.without_fingerprints(f"{s}.items"), f"{s}.names"))
+
+
 def apply_rules(
     outputs: DataFrame, command: str, rules: Sequence[Rule] = BUILTIN_RULES, opts: Options = DEFAULTS, state: str = "_state"
 ) -> DataFrame:
     """Rewrite column ``state``, a ``struct<items array<string>, names array<string>>``.
 
-    ``items`` are the lines of an output, ``names`` the layers that have changed them so far.
+    ``items`` are the lines of an output, ``names`` the layers that have changed them so far. Rules up to the first that compares
+    fingerprints work on bare lines, one after the other. What follows runs as a program per row (``_programs``), unless a rule works on
+    the text as a whole or counts.
     """
     kind, active = folds.Plain, active_rules(rules, command)
 
@@ -349,6 +413,11 @@ def apply_rules(
     def replace_state(expression: str) -> DataFrame:
         return outputs.withColumn(state, F.expr(expression))
 
+    looped = len(rules)
+    first = next((k for k, r in enumerate(rules) if needs_fingerprints(r)), looped)
+    if all(k in _LOOPED for r in rules[first:] for k, _ in r.actions):
+        looped = first
+    active = active[:looped]
     while active:
         if kind is folds.Plain and needs_fingerprints(active[0][0]):
             kind = folds.Printed
@@ -360,6 +429,8 @@ def apply_rules(
             size += 1
         some, active = active[:size], active[size:]
         outputs = replace_state(let(state, lambda s: _chain(some, s, kind, opts)))
+    if looped < len(rules):
+        outputs = replace_state(let(state, lambda s: _programs(command, rules, looped, folds.with_fingerprints(f"{s}.items"), f"{s}.names", opts)))
     if kind is folds.Printed:
         outputs = replace_state(state_struct(folds.without_fingerprints(f"{state}.items"), f"{state}.names"))
     return outputs

@@ -39,6 +39,68 @@ def test_json_view_depth_and_kinds(spark):
     assert json.loads(shallow[2])["a"]["b"]["c"] == "⟨object with 0 keys elided at depth limit⟩"
 
 
+def by_parser(doc, items=8, chars=200, depth=8):
+    """What the view shows, by way of the standard library's parser."""
+    try:
+        root = json.loads(doc.strip())
+    except ValueError:
+        return None
+    if not isinstance(root, (dict, list)):
+        return None
+    box = [root]
+    todo = [(box, 0, 0)]  # a container, a place in it, how deep that place is
+    while todo:
+        held, at, level = todo.pop()
+        node = held[at]
+        if isinstance(node, str) and level < depth and len(node) > chars:
+            held[at] = f"{node[:chars]}… ⟨+{len(node) - chars} chars⟩"
+        if isinstance(node, (dict, list)):
+            n, of = len(node), ("object with {} key{}", "array of {} item{}")[isinstance(node, list)]
+            if level >= depth:
+                held[at] = f"⟨{of.format(n, '' if n == 1 else 's')} elided at depth limit⟩"
+                continue
+            if isinstance(node, list) and n > items:
+                node[items:] = [f"… ⟨{n - items} more of {n} items⟩"]
+                n = items
+            todo += [(node, k, level + 1) for k in (node if isinstance(node, dict) else range(n))]
+    return json.dumps(box[0], indent=2, ensure_ascii=False).encode("utf-8", "replace").decode()
+
+
+def spelled_json(rng, level=0):
+    """A random document with odd spacing, escapes and numbers."""
+    gap = lambda: rng.choice(["", "", " ", "\n\t", "\r\n  "])
+    text = lambda: '"' + "".join(rng.choice(["a", "é", "🙂", "\\n", "\\\\", '\\"', "\\/", "\\u00e9", "\\u000b", "\\u001F", "\\\\u000B", "\\ud83d\\ude00", "\\ud83d", " ", "{", "]", ",", "\x7f"]) for _ in range(rng.choice([0, 3, 30]))) + '"'
+    kind = rng.randrange(8) if level < 6 else rng.randrange(2, 8)
+    if kind == 0:
+        return "{" + gap() + ("," + gap()).join(f'"k{k}{rng.choice(["", chr(233), chr(92) + "t"])}"{gap()}:{gap()}{spelled_json(rng, level + 1)}{gap()}' for k in range(rng.randrange(4))) + "}"
+    if kind == 1 or level == 0:
+        return "[" + gap() + ("," + gap()).join(spelled_json(rng, level + 1) + gap() for _ in range(rng.randrange(6))) + "]"
+    number = rng.choice([str(rng.randrange(-(10**20), 10**20)), repr(rng.uniform(-1e3, 1e3)), f"{rng.random():.3e}", f"{rng.randrange(1000)}.{rng.randrange(100)}00E{rng.randrange(-30, 40)}", "-0", "0.0", "-0.0", "1e400", "-1E999", "5e-324", "1e16", "123456789012345680.0", "0.0001", "0.00001", "1e22", "1.0"])
+    return [text(), text(), number, number, "true", "null"][kind - 2]
+
+
+@pytest.mark.parametrize("limits", [(8, 200, 8), (2, 5, 2), (0, 0, 1), (1, 3, 0)])
+def test_json_view_against_a_parser(spark, limits):
+    rng = random.Random(21)
+    docs = [rng.choice(["", " \n", "\u3000"]) + spelled_json(rng) + rng.choice(["", "\n", "\u2003"]) for _ in range(250)]
+    broken = []
+    for doc in docs[:120]:  # a character dropped, doubled or put in
+        at = rng.randrange(len(doc))
+        broken.append(doc[:at] + rng.choice(["", doc[at] * 2, rng.choice('[]{},:"0-.\\e\n\x01')]) + doc[at + 1 :])
+    docs += broken + ["[]", "{}", "[[],{}]", "[1 2]", "[1,]", "{,}", '{"a"}', '{"a":}', '["a":1]', "[}", "{]", "[1]]", "[1][2]", "[-]", "[+1]", "[01]", "[1.]", "[.5]", "[1e]", "[nul]", "[NaN,-Infinity,Infinity]", "[--Infinity]", '["\\x"]', '["\\u12"]', '["', "[", '{"a":{"b":[1,{"c":', "[\xa0]", '["\t"]', "[" + "9" * 4300 + "]", "[" + "9" * 4301 + "]", "[" + "[" * 200 + "]" * 200 + "]"]
+    items, chars, depth = limits
+    opts = Options(json_max_array=items, json_max_str=chars, json_max_depth=depth)
+    got = values(spark, lambda c: json_view(c, opts), docs)
+    want = [by_parser(d, items, chars, depth) for d in docs]
+    assert [(d, g, w) for d, g, w in zip(docs, got, want, strict=True) if g != w] == []
+    assert sum(w is None for w in want) > 50 and sum(w is not None for w in want) > 200
+
+
+def test_json_view_of_large_documents(spark):
+    docs = [json.dumps({f"key {k}": [k, {"x": "y" * 300}] for k in range(20_000)}), json.dumps([[k, "text " * 3] for k in range(100_000)]), json.dumps("x" * 10)[:0] + '["' + "\\n" * 100_000 + '"]']
+    assert values(spark, json_view, docs) == [by_parser(d) for d in docs]
+
+
 def test_json_rows(spark):
     assert values(spark, is_json, ['{"a":1}', " \n[1]", "[1", "7", '"x"', ""]) == [True, True, False, False, False, False]
 
