@@ -4,8 +4,10 @@ A known word adds the logarithm of its frequency in each language. An unknown wo
 any of its n-grams is known gives its mean log frequencies, shorter ones are only tried after that. A text's languages are compared by
 the mean over its words; the score is the winner's share after a softmax over the words' evidence.
 
-The model is fitted on training rows chosen by a hash of their id: about ``fit_rows`` of them at most. It keeps at most ``max_words``
-words and ``max_grams`` n-grams a language, which bounds what is broadcast. Every row is scored over its whole text.
+The model is fitted on training rows chosen by a hash of their id and text: about ``fit_rows`` of every language at most, so that a rare
+language is learned beside one that holds nearly all rows. It keeps the ``max_words`` most frequent words and n-grams a language, which
+bounds what is broadcast; any other word is scored by its n-grams, as are runs of more than 40 letters. Every row is scored over its
+whole text.
 
 Defined results: a null text and a text without a letter are ``und`` with score 0, and so is every text if nothing was learned. Ties go
 to the language that sorts first. Rows with a null id are in no fold: they are scored but not learned from. Repeated rows are scored
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logsift.llm.common import slices
+from logsift.llm.common import opened, shared_value, slices
 from logsift.scratch import saved
 
 UNKNOWN = "und"
@@ -94,8 +96,9 @@ def fit(training: DataFrame, fit_rows: int = 10_000, max_words: int = 20_000, ma
     """A model of ``text, lang``. Spark counts the words; the most frequent of each language come to the driver, n-grams are theirs."""
     rows = training.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     # The bound on what is learned from. Rows are chosen by a hash, so the choice is the same on every run.
-    share = fit_rows / max(fit_rows, rows.count())
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.count(F.lit(1))).alias("share"))
+    share = saved(share, "language-shares")  # a row for each language
+    rows = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     every = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"[\p{L}]+"), 0)
     counted = saved(
         rows.select("lang", F.explode(every).alias("word")).where(F.length("word") <= LONGEST_WORD).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")),
@@ -132,12 +135,12 @@ def _tables(words: dict[str, dict[str, int]], pieces: dict[str, dict[str, int]])
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row of ``doc_id, text``, from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer = Scorer(shared.value)
+        scorer = Scorer(opened(shared))
         for batch in slices(batches, 512):
             found = [scorer.score(x) for x in batch.column("text").to_pylist()]
             languages, scores = zip(*found, strict=True) if found else ((), ())

@@ -5,8 +5,8 @@ into ``TERMS`` buckets. Weighted by inverse document frequency, the labelled doc
 singular value decomposition. Every document is placed there, the cosines with all labelled vectors are computed in blocks, and its
 ``NEIGHBOURS`` nearest vote for their labels with the weight of their similarity, each for as many given rows as it stands for.
 
-The fit reads about ``fit_rows`` labelled rows of either label at most, chosen by a hash of their id, and weights them back to the labels
-as they were given; their term counts have a fixed size, so at most 2 x ``fit_rows`` x ``TERMS`` numbers reach the driver and
+The fit reads ``fit_rows`` labelled rows of either label at most, chosen by a hash of their id and text, and weights them back to the
+labels as they were given; their term counts have a fixed size, so at most 2 x ``fit_rows`` x ``TERMS`` numbers reach the driver and
 2 x ``fit_rows`` x ``LATENT`` are broadcast. Every row is scored over its whole text.
 
 Defined results: a null or empty text has no term, its vector is zero, and all labelled vectors are equally near: it scores the share
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import slices, texts_of
+from logsift.llm.common import opened, shared_value, slices, texts_of
 from logsift.scratch import saved
 
 TERMS, LATENT, NEIGHBOURS, SHARPNESS = 1024, 48, 25, 4
@@ -124,15 +124,18 @@ def _counted(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(counted, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", counts binary")
 
 
-def fit(labelled: DataFrame, fit_rows: int = 3_000) -> Model:
-    """A model of ``doc_id, text, quality`` (0 or 1; others are left out)."""
+def fit(labelled: DataFrame, fit_rows: int = 3_000, given: dict[int, int] | None = None) -> Model:
+    """A model of ``doc_id, text, quality`` (0 or 1; others are left out), which may be a sample of the ``given`` rows of either label."""
     rows = labelled.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("quality").cast("int").alias("quality"))
     share = F.lit(0.0)
     totals = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     for label, n in totals.items():
-        share = F.when(F.col("quality") == label, F.lit(min(1.0, fit_rows / n))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    found = sorted((r["doc_id"], r["quality"], r["counts"]) for r in saved(_counted(chosen, ["doc_id", "quality"]), "term-counts").collect())
+        share = F.when(F.col("quality") == label, F.lit(min(1.0, (1.2 * fit_rows + 100) / n))).otherwise(share)
+    chosen = rows.withColumn("at", F.xxhash64("doc_id", "text")).where(F.pmod("at", F.lit(1_000_000)) < share * 1_000_000)
+    held = saved(_counted(chosen, ["doc_id", "quality", "at"]), "term-counts")
+    first = [held.where(F.col("quality") == x).orderBy("at", "doc_id").limit(fit_rows) for x in (0, 1)]
+    found = sorted((r["doc_id"], r["quality"], r["counts"]) for r in first[0].union(first[1]).collect())
+    totals = {x: (given or totals).get(x, n) for x, n in totals.items()}
     counts = np.frombuffer(b"".join(x[2] for x in found), dtype=np.float32).reshape(-1, TERMS)
     labels = np.array([x[1] for x in found], dtype=np.float32)
     if not len(labels):
@@ -151,20 +154,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return _scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model, "score").drop("text")
 
 
-def score_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``."""
-    return _scored(docs.drop("quality_score"), model, "quality_score")
+def score_rows(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and the score as ``name``, in place of a column of that name."""
+    return _scored(docs.drop(name), model, name)
 
 
 def _scored(rows: DataFrame, model: Model, name: str) -> DataFrame:
     from pyspark.sql import types as T
 
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(rows.sparkSession, model)
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counter, model = Counter(), shared.value
+        counter, model = Counter(), opened(shared)
         for batch in slices(batches, 256):
             counts = np.stack([counter.counts(x) for x in texts_of(batch, "text")])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(counts).astype(np.float64))], [*batch.schema.names, name])

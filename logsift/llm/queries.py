@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm import langid, quality, toxicity
-from logsift.llm.common import fold, table
+from logsift.llm.common import fold, labelled_sample, table
 from logsift.llm.decontaminate import contaminated
 from logsift.llm.lexical import ranked
 from logsift.llm.linededup import dedup_lines
@@ -74,19 +74,27 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, part: int) -> DataFrame:
-    """Texts with a label, of the rows that are not held out."""
-    labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part)).select("doc_id", label)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def quality_model(spark: SparkSession, sf_dir: str, fit_rows: int = 3_000) -> quality.Model:
+    """Fitted on labelled rows of ``documents`` that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
+    sample, given = labelled_sample(table(spark, sf_dir, "documents"), labels, "quality", fit_rows)
+    return quality.fit(sample, fit_rows, given)
+
+
+def toxicity_lexicon(spark: SparkSession, sf_dir: str, fit_rows: int = 10_000) -> toxicity.Lexicon:
+    """Learned from labelled rows of ``documents`` that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2))
+    sample, given = labelled_sample(table(spark, sf_dir, "documents"), labels, "toxic", fit_rows)
+    return toxicity.learn(sample, fit_rows, given=given)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.score(table(spark, sf_dir, "documents"), quality.fit(labelled(spark, sf_dir, "quality", 3, 1)))
+    found = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = toxicity.score(table(spark, sf_dir, "documents"), toxicity.learn(labelled(spark, sf_dir, "toxic", 4, 2)))
+    found = toxicity.score(table(spark, sf_dir, "documents"), toxicity_lexicon(spark, sf_dir))
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

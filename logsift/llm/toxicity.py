@@ -3,14 +3,15 @@
 The lexicon is learned from labelled rows: whole words, and stems that many different words of toxic documents begin with. It is kept as
 a trie. For a word of a text, the Levenshtein automaton of each term (one edit from ``FUZZY`` letters on; in shorter terms and in stems
 if the labelled words one edit away are not those of clean documents) runs through the trie at once:
-a state is the set of trie nodes with their edits so far, and states are made and remembered as texts need them. Misspellings that
-clean labelled documents use count as ordinary words.
+a state is the set of trie nodes with their edits so far, and states are made and remembered as texts need them. A misspelling counts as
+an ordinary word if clean labelled documents use it plainly (not in quotation) and toxic ones not far more often.
 
 Every hit is judged in a window of words: inside quotation marks or after a word of reporting it counts as quoted, else as plain. A
 document's score is the share of toxic ones among labelled documents with as many plain hits, or with quoted hits only.
 
-The fit reads at most about ``fit_rows`` labelled rows of either label, chosen by a hash of the id, and keeps at most ``max_terms``
-terms, which bounds what is broadcast. Every row is scored over its whole text.
+The fit reads at most about ``fit_rows`` labelled rows of either label, chosen by a hash of id and text. It keeps at most ``max_terms``
+words, stems and ordinary words each, which bounds what is broadcast: those of most documents. What is beyond is no term, and an ordinary
+word beyond counts as the misspelling that it looks like. Every row is scored over its whole text.
 
 Defined results: null, empty and wordless texts score like texts without a hit. Without labels every score is 0. Rows with a null id are
 scored but not learned from, and a label of a repeated row counts for each. An empty table stays empty; other columns are ignored.
@@ -26,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import slices
+from logsift.llm.common import opened, shared_value, slices
 from logsift.scratch import saved
 
 FUZZY = 5  # shortest term that one edit may have changed without evidence
@@ -150,28 +151,33 @@ class Matcher:
         return bool(found)
 
 
-def hits(text: str | None, matcher: Matcher) -> tuple[int, int]:
-    """Plain and quoted hits of a text."""
+def spotted(text: str | None, matcher: Matcher) -> Iterator[tuple[str, bool]]:
+    """Every hit of a text and whether it is quoted."""
     if not text:
-        return 0, 0
+        return
     lower = text.lower()
     found = {w for w in set(WORD.findall(lower)) if matcher.hit(w)}
     if not found:
-        return 0, 0
+        return
     spans = list(WORD.finditer(lower))
-    plain = quoted = 0
     for k, m in enumerate(spans):
         if m[0] in found:
             before = lower[spans[k - WINDOW - 1].end() if k > WINDOW else 0 : m.start()]
             after = lower[m.end() : spans[k + WINDOW + 1].start() if k + WINDOW + 1 < len(spans) else len(lower)]
             inside = before.count('"') % 2 == 1 and '"' in after or any(q in before for q in "“„«‹") and any(q in after for q in "”“»›")
             reported = not REPORTING.isdisjoint(w[0] for w in spans[max(0, k - WINDOW) : k])
-            quoted, plain = (quoted + 1, plain) if inside or reported else (quoted, plain + 1)
-    return plain, quoted
+            yield m[0], inside or reported
+
+
+def hits(text: str | None, matcher: Matcher) -> tuple[int, int]:
+    """Plain and quoted hits of a text."""
+    found = [quoted for _, quoted in spotted(text, matcher)]
+    return len(found) - sum(found), sum(found)
 
 
-def learn(labelled: DataFrame, fit_rows: int = 10_000, max_terms: int = 5_000, least_docs: int = 3) -> Lexicon:
-    """A lexicon of ``text, toxic``. Words are counted by document and label; only terms far commoner in toxic documents are kept."""
+def learn(labelled: DataFrame, fit_rows: int = 10_000, max_terms: int = 5_000, least_docs: int = 3, given: dict[int, int] | None = None) -> Lexicon:
+    """A lexicon of ``text, toxic``, which may be a sample of the ``given`` rows of either label. Words are counted by document and label;
+    only terms far commoner in toxic documents are kept."""
     rows = labelled.where("text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1):
@@ -179,7 +185,8 @@ def learn(labelled: DataFrame, fit_rows: int = 10_000, max_terms: int = 5_000, l
     share = F.lit(0.0)
     for label, n in totals.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, fit_rows / n))).otherwise(share)
-    chosen = saved(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000), "labelled")
+    chosen = saved(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000), "labelled")
+    totals = {x: (given or totals).get(x, n) for x, n in totals.items()}
     counts = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
 
@@ -210,8 +217,9 @@ def learn(labelled: DataFrame, fit_rows: int = 10_000, max_terms: int = 5_000, l
     terms = [r["word"] for r in by_word.where(telling).orderBy(*order).limit(max_terms).collect()]
     terms = sorted(terms)
     edited = _edited(by_word, terms, roots, bad, good)
-    near = _misspelled(by_word.where("good > 0").select("word"), terms, roots, edited)
-    spared = frozenset(r["word"] for r in near.orderBy("word").limit(max_terms).collect())
+    near = _plain_misspellings(chosen, Lexicon(terms, roots, edited, frozenset(), {}))
+    ordinary = near.where((F.col("good") > 0) & (F.col("bad") * max(good, 1) < 3 * F.col("good") * max(bad, 1)))
+    spared = frozenset(r["word"] for r in ordinary.orderBy(F.desc("good"), "word").limit(max_terms).collect())
     return Lexicon(terms, roots, edited, spared, _shares(chosen, Lexicon(terms, roots, edited, spared, {}), bad, good, totals))
 
 
@@ -235,17 +243,22 @@ def _edited(by_word: DataFrame, terms: list[str], stems: list[str], bad: int, go
     return frozenset(w for w in terms if len(w) >= FUZZY) | (every - clean)
 
 
-def _misspelled(words: DataFrame, terms: list[str], stems: list[str], edited: frozenset[str]) -> DataFrame:
-    """The given words that are one edit away from a term."""
+def _plain_misspellings(chosen: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``word, bad, good``: documents of either label that use a word one edit away from a term, quotations left out."""
+    shared = shared_value(chosen.sparkSession, lexicon)
 
     def near(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        matcher = Matcher(terms, stems, edited=edited)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column("word").to_pylist() if matcher.edits(w) == 1], pa.string())], ["word"])
+        known = opened(shared)
+        matcher = Matcher(known.words, known.stems, edited=known.edited)
+        for batch in slices(batches, 512):
+            rows = zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            found = [(w, toxic) for toxic, text in rows for w in {w for w, quoted in spotted(text, matcher) if not quoted and matcher.edits(w) == 1}]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([t for _, t in found], pa.int64())], ["word", "toxic"])
 
-    return words.mapInArrow(near, "word string")
+    uses = chosen.select("toxic", "text").mapInArrow(near, "word string, toxic bigint")
+    return uses.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
 
 
 def _shares(chosen: DataFrame, lexicon: Lexicon, bad: int, good: int, totals: dict[int, int]) -> dict[tuple[int, bool], float]:
@@ -265,12 +278,13 @@ def _shares(chosen: DataFrame, lexicon: Lexicon, bad: int, good: int, totals: di
 
 def count_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id, plain, quoted``: hits of every row of ``doc_id, text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = shared_value(docs.sparkSession, lexicon)
 
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        matcher = Matcher(shared.value.words, shared.value.stems, shared.value.spared, shared.value.edited)
+        known = opened(shared)
+        matcher = Matcher(known.words, known.stems, known.spared, known.edited)
         for batch in slices(batches, 512):
             found = [hits(x, matcher) for x in batch.column("text").to_pylist()]
             plain, quoted = zip(*found, strict=True) if found else ((), ())

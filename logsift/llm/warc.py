@@ -1,8 +1,8 @@
 """WARC archives: pages written as request, response or revisit, and metadata records, and assembled into captures again.
 
-A record's bytes are one row of text whose line end is the record's last character, so Spark's text writer makes plain WARC files of a
-bounded number of records. They are read as binary files and parsed by ``Content-Length``; a payload may hold anything, record heads
-included. A capture is its response or revisit joined with the request and the metadata record that name it in ``WARC-Concurrent-To``.
+A record's bytes are one row of text whose line end is the record's last character, so Spark's text writer makes gzipped WARC files of a
+bounded number of records. They are read as binary files, inflated and parsed by ``Content-Length``; a payload may hold anything, record
+heads included. A capture is its response or revisit joined with the request and the metadata record that name it in ``WARC-Concurrent-To``.
 
 Defined results: a null page is an empty payload; a null url is ``urn:page:<id>``, and characters that would end a header are escaped.
 Of equal payloads with at least ``min_bytes`` bytes the one at the largest ``page_id`` is the response and the others revisit it; repeated
@@ -13,6 +13,7 @@ capture; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm.common import slices
+from logsift.operators.ordered import checked_join
 from logsift.scratch import saved
 
 WRITTEN = "2024-01-01T00:00:00Z"  # the tables hold no time of capture
 VERSION = b"WARC/1.1\r\n"
+GZIPPED = b"\x1f\x8b"
 RECORDS = (
     "kind string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, "
     "payload_bytes bigint, payload binary, fields string"
@@ -73,8 +76,10 @@ def page_records(page: str, url: str | None, payload: bytes, first: str | None)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record of a file."""
+    """Headers (names in lower case) and block of every record of a file, plain or gzipped."""
     at = 0
+    if data[:2] == GZIPPED:
+        data = gzip.decompress(data)
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         lines = data[at:end].decode().split("\r\n")
@@ -99,13 +104,14 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, pages_per_file:
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     # Equal payloads are found on digests alone; only pages that revisit another one have a row in the table that is joined.
-    digests = saved(rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= min_bytes)).select("page_id", F.sha2("html", 256).alias("sha")), "digests")
+    digest = F.unhex(F.sha2("html", 256))
+    digests = saved(rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= min_bytes)).select("page_id", digest.alias("sha")), "digests")
     largest = digests.groupBy("sha").agg(F.max("page_id").alias("first"), F.min("page_id").alias("last")).where("first <> last").select("sha", "first")
-    revisits = digests.join(saved(largest, "largest"), "sha").where("page_id <> first")
-    # One page may have several rows with other payloads, so the payload decides, too.
-    whole = rows.withColumn("sha", F.sha2("html", 256)).join(revisits.distinct(), ["page_id", "sha"], "left")
+    revisits = saved(digests.join(saved(largest, "largest"), "sha").where("page_id <> first").distinct(), "revisits")
+    # One page may have several rows with other payloads, so the payload decides, too. Up to a counted number of revisits no page is shuffled.
+    whole = checked_join(rows.withColumn("sha", digest), revisits, ["page_id", "sha"], F.xxhash64("url"))
     texts = whole.select("page_id", "url", F.col("html").cast("binary"), "first").mapInArrow(records, "value string")
-    texts.write.option("maxRecordsPerFile", 3 * pages_per_file).text(path)
+    texts.write.option("maxRecordsPerFile", 3 * pages_per_file).option("compression", "gzip").text(path)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -166,3 +166,86 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     for few in (labelled.limit(0), labelled.where("toxic = 0")):
         assert {r.score for r in toxicity.score(odd, toxicity.learn(few)).collect()} == {0.0}
     assert toxicity.score(odd, toxicity.learn(labelled.where("toxic = 1"))).where(F.col("score").isNull()).count() == 0
+
+
+def test_a_quoted_use_does_not_spare_a_misspelling(spark):
+    rows = [(k, f"you are an {'idyot' if k < 2 else 'idiot'} number{k}", 1) for k in range(60)]
+    rows += [(k, f"you are able and friendly text{k} idium", 0) for k in range(100, 160)]
+    rows += [(200, 'he said: "idyot" and left', 0)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    matcher = Matcher(lexicon.words, lexicon.stems, lexicon.spared, lexicon.edited)
+    assert "idiot" in lexicon.words and matcher.hit("idyot") and matcher.hit("idiott")
+    plain = [(300 + k, f"the village of idiox is green {k}", 0) for k in range(5)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows + plain, "doc_id long, text string, toxic int"))
+    assert lexicon.spared == {"idiox"}
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = spark.range(60_000).selectExpr("id as doc_id", "concat('the cat sat on a mat ', id) as text", "'en' as lang")
+    rare = spark.createDataFrame([(100_000 + k, "die Katze saß auf der Matte", "de") for k in range(3)], "doc_id long, text string, lang string")
+    model = langid.fit(rows.union(rare), fit_rows=1000)
+    assert model.languages == ["de", "en"] and langid.Scorer(model).score("der Kater saß auf der Katze")[0] == "de"
+
+
+def brute_language(training, text):
+    """The documented rule in plain Python: word frequencies first, then ever shorter n-grams of different words."""
+    words, pieces = {}, {}
+    for sample, lang in training:
+        words.setdefault(lang, langid.Counter()).update(langid.LETTERS.findall(sample.lower()))
+    for lang, held in words.items():
+        pieces[lang] = langid.Counter(g for w in held for n in range(1, 5) for g in langid.grams(w, n))
+    log = lambda counts, lang, x: np.log((counts[lang][x] + 0.5) / (sum(counts[lang].values()) + 1))
+    totals = dict.fromkeys(sorted(words), 0.0)
+    for word, n in langid.Counter(langid.LETTERS.findall(text.lower())).items():
+        for lang in totals:
+            evidence = 0.0
+            if any(word in held for held in words.values()):
+                evidence = log(words, lang, word)
+            else:
+                for size in range(4, 0, -1):
+                    known = [g for g in langid.grams(word, size) if any(g in held for held in pieces.values())]
+                    if known:
+                        evidence = np.mean([log(pieces, lang, g) for g in known])
+                        break
+            totals[lang] += evidence * (1 + np.log(n))
+    best = max(totals, key=lambda x: (totals[x], -sorted(totals).index(x)))
+    return best, 1 / sum(np.exp(v - totals[best]) for v in totals.values())
+
+
+def test_language_against_brute_force(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").where("lang is not null and length(text) < 3000").orderBy("doc_id").limit(60).collect()
+    training, asked = [(r.text, r.lang) for r in docs[:40]], docs[40:]
+    model = langid.fit(spark.createDataFrame([(k, *x) for k, x in enumerate(training)], "doc_id long, text string, lang string"))
+    scorer = langid.Scorer(model)
+    for r in [*asked, *docs[:5]]:
+        got, want = scorer.score(r.text), brute_language(training, r.text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-6
+
+
+def test_sample_of_labels_is_bounded(spark):
+    from logsift.llm.common import labelled_sample
+
+    docs = spark.range(400).selectExpr("id % 350 as doc_id", "concat('text ', id) as text", "1 as quality").union(spark.sql("select null, 'x', 1"))
+    labels = spark.range(300).selectExpr("id as doc_id", "if(id % 4 = 0, 0, if(id % 50 = 1, null, 1)) as quality").union(spark.sql("select 3L, 1")).union(spark.sql("select null, 1"))
+    sample, totals = labelled_sample(docs, labels, "quality", 20)
+    want = {label: sum(1 for k in range(400) if k % 350 < 300 and (k % 350 % 4 == 0 if label == 0 else k % 350 % 4 and k % 350 % 50 != 1)) for label in (0, 1)}
+    assert totals == want and sample.columns == ["doc_id", "text", "quality"]
+    assert all(sample.where(f"quality = {x}").select("doc_id").distinct().count() == 20 for x in (0, 1))
+    assert labelled_sample(docs.limit(0), labels, "quality", 20)[0].count() == 0
+    quality.fit(sample, 20, totals)
+    half = quality.fit(sample, 5, totals)
+    assert sorted(half.labels.tolist()) == [0.0] * 5 + [1.0] * 5 and abs(half.stands.sum() - sum(totals.values())) < 1e-9
+
+
+def test_models_reach_workers_without_the_package(spark):
+    """A broadcast model is read where ``logsift`` cannot be imported."""
+    import subprocess
+    import sys
+
+    from logsift.llm.common import shared_value
+
+    lexicon = toxicity.Lexicon(["idiot"], [], frozenset(["idiot"]), frozenset(), {(0, False): 0.0})
+    data = shared_value(spark, lexicon).value
+    code = "import pickle, sys; x = pickle.loads(sys.stdin.buffer.read()); print(x.words, 'logsift' in sys.modules)"
+    found = subprocess.run([sys.executable, "-c", code], input=data, capture_output=True, cwd="/", env={"PATH": "/usr/bin"})
+    assert found.stdout.decode().split() == ["['idiot']", "False"], found.stderr.decode()

@@ -1,127 +1,15 @@
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pytest
-from brute import ODD, token_ids
+from brute import ODD, component_ids, simhash, token_ids
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logsift.llm.copies import similar_groups
 
 SMALL = "/root/testdata/sf0.001"
 
 
-def shingles(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-
-
-def brute_groups(rows):
-    """Smallest id reachable by links of similarity 0.8, all rows with all; rows of one id are one."""
-    sets = [(i, shingles(t)) for i, t in rows]
-    group = {i: i for i, _ in rows}
-
-    def root(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
-            if a == b or len(a & b) >= 0.8 * len(a | b):
-                x, y = root(i), root(j)
-                group[max(x, y)] = min(x, y)
-    return {i: root(i) for i in group}
-
-
-def test_groups_of_small_documents(small):
-    rows = [(r.doc_id, r.text) for r in small("documents").collect()]
-    assert {r.doc_id: r.group_id for r in similar_groups(small("documents")).collect()} == brute_groups(rows)
-
-
-def test_groups_of_odd_rows(odd, none):
-    rows = [r for r in ODD if r[0] is not None]
-    assert {r.doc_id: r.group_id for r in similar_groups(odd).collect()} == brute_groups(rows)
-    assert similar_groups(none).count() == 0
-
-
-def test_a_large_group_of_near_copies(spark):
-    random.seed(3)
-    vocabulary = [f"w{k}" for k in range(500)]
-    base = random.choices(vocabulary, k=200)
-    rows = [(0, " ".join(base))]
-    for k in range(1, 400):
-        words = list(base)
-        words[random.randrange(200)] = f"new{k}"
-        rows.append((k, " ".join(words)))
-    rows += [(1000 + k, " ".join(random.choices(vocabulary, k=150))) for k in range(100)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.group_id for r in similar_groups(frame).collect()}
-    assert all(got[k] == 0 for k in range(400)) and all(got[1000 + k] == 1000 + k for k in range(100))
-
-
-def edited(rng, words, places):
-    return [f"n{rng.randrange(10**9)}" if k in places else w for k, w in enumerate(words)]
-
-
-def test_copies_that_are_similar_to_their_original_only(spark):
-    rng, rows = random.Random(11), []
-    for group in range(4):
-        base = [f"g{group}w{rng.randrange(800)}" for _ in range(200)]
-        ids = list(range(1000 * group, 1000 * group + 150))
-        rng.shuffle(ids)
-        rows.append((ids[0], " ".join(base)))
-        rows += [(i, " ".join(edited(rng, base, set(rng.sample(range(10, 190, 10), 4))))) for i in ids[1:]]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.group_id for r in similar_groups(frame).collect()}
-    assert got == brute_groups(rows)
-
-
-def test_chains_of_versions(spark):
-    rng, rows = random.Random(12), []
-    for chain in range(30):
-        words = [f"c{chain}w{rng.randrange(800)}" for _ in range(200)]
-        ids = list(range(100 * chain, 100 * chain + 6))
-        rng.shuffle(ids)
-        for step, i in enumerate(ids):
-            words = edited(rng, words, {20 + 30 * step, 30 + 30 * step, 40 + 30 * step}) if step else words
-            rows.append((i, " ".join(words)))
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.group_id for r in similar_groups(frame).collect()}
-    assert got == brute_groups(rows)
-
-
-def test_near_copies_inside_a_large_template_group(spark):
-    rng, rows = random.Random(13), []
-    template = [f"t{rng.randrange(10**9)}" for _ in range(173)]
-    for k in range(440):
-        own = [f"o{rng.randrange(10**9)}" for _ in range(27)]
-        rows.append((k, " ".join(template + own)))
-        if k < 60:
-            rows.append((1000 + k, " ".join(template + edited(rng, own, {2, 7, 12}))))
-    want = brute_groups(rows)
-    assert len(set(want.values())) == 440
-    rng.shuffle(rows)
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert {r.doc_id: r.group_id for r in similar_groups(frame).collect()} == want
-
-
-def test_a_long_chain_of_versions_in_one_view(spark):
-    rng, rows = random.Random(14), []
-    template = [f"t{rng.randrange(10**9)}" for _ in range(166)]
-    own = [f"o{rng.randrange(10**9)}" for _ in range(30)]
-    for k in range(300):
-        rows.append((k, " ".join(template + own)))
-        own = own[5:] + [f"o{rng.randrange(10**9)}" for _ in range(5)] if k % 2 else edited(rng, own, {12, 18, 24})
-    want = brute_groups(rows)
-    assert set(want.values()) == {0}
-    rng.shuffle(rows)
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert {r.doc_id: r.group_id for r in similar_groups(frame).collect()} == want
-
-
 @pytest.fixture(scope="module")
 def staged(spark):
     """The tables before and after every stage."""
@@ -144,7 +32,7 @@ def test_stages_take_effect(spark, staged, small):
     assert set(final) <= set(unique) <= set(cut) == set(kept) < set(before)
     labels = small("labels").where("quality = 1").select("doc_id")
     assert labels.join(good, "doc_id", "left_anti").count() <= 0.05 * labels.count()
-    groups = brute_groups(list(cut.items()))
+    groups = dict(zip(cut, component_ids([(i, simhash(t, 3)) for i, t in cut.items()], 2), strict=True))
     assert set(unique) == {i for i, g in groups.items() if i == g} and all(unique[i] == cut[i] for i in unique)
     import test_decontaminate
 
@@ -159,9 +47,20 @@ def test_stages_take_effect(spark, staged, small):
 
 
 def test_stages_survive_odd_rows(spark, odd, none):
-    frame = odd.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.lit(0).cast("long")})
+    own = {k: F.lit(7) for k in ("quality_score", "n_lines", "n_dropped", "text_key", "score_", "fingerprint", "component_id")}
+    frame = odd.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.lit(0).cast("long"), **own})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, frame, SMALL)
         assert out.columns == frame.columns and out.where("doc_id is null").count() == 1 or stage is corpus_pipeline.quality_filter
+        assert {tuple(r) for r in out.select(*own, "kept", "fp", "version", "score").distinct().collect()} <= {(7,) * 11}
         assert stage(spark, frame.limit(0), SMALL).count() == 0
     assert corpus_pipeline.packing(spark, frame, SMALL).count() > 0
+
+
+def test_rows_of_one_id_and_of_none(spark, small):
+    item = small("benchmark").orderBy("item_id").first().text
+    rows = [(None, item), (None, "a row of its own without an id"), (1, "clean text of one"), (1, item), (2, "clean text of two"), (5, "clean text of two"), (5, "another text under this id"), (6, "Clean text OF two"), (7, "clean text of two"), (7, "clean text of two")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "0L as n_chars")
+    kept = lambda stage: sorted(((r.doc_id, r.text) for r in stage(spark, frame, SMALL).collect()), key=repr)
+    assert kept(corpus_pipeline.decontaminate) == sorted((r for r in rows if r[0] != 1 and r[1] != item), key=repr)
+    assert kept(corpus_pipeline.near_dedup) == sorted((r for r in rows if r[0] not in (6, 7)), key=repr)
