@@ -165,6 +165,36 @@ def q_search_terms(spark, sf):
     return search.search_terms(rows, search.postings(rows), "Main LÉT pattern").select("id", "ts", "command")
 
 
+def _words_sql(condition: str) -> str:
+    """Newest rows by a condition on ``c`` and ``r``, the words of either field with a blank around each."""
+    blanks = lambda field: f"(' ' || array_to_string({_TERMS.format(field)}, ' ') || ' ')"
+    return f"WITH {STORE}, worded AS (SELECT id, ts, command, {blanks('command')} AS c, {blanks('raw')} AS r FROM store) SELECT id, ts, command FROM worded WHERE {condition} ORDER BY ts DESC, id LIMIT 10"
+
+
+def _q_words(spark, sf, query):
+    rows = store(spark, sf)
+    return search.search_terms(rows, search.postings(rows), query).select("id", "ts", "command")
+
+
+_HAS = "(contains(c, ' {0} ') OR contains(r, ' {0} '))"
+
+
+@check("search_phrase", _words_sql(_HAS.format("finished in 6ms step") + " AND " + _HAS.format("src main rs 0 let")))
+def q_search_phrase(spark, sf):
+    """Words next to one another, over the marks between them and the lines."""
+    return _q_words(spark, sf, '"finished in 6ms step" "src/main.rs:0: LET"')
+
+
+@check("search_or", _words_sql(f"(({_HAS.format('fetching')} OR {_HAS.format('heartbeat id')}) AND NOT {_HAS.format('the')}) OR contains(c, ' uptime ')"))
+def q_search_or(spark, sf):
+    return _q_words(spark, sf, '(fetching OR "heartbeat id") NOT the OR command:uptime')
+
+
+@check("search_prefix", _words_sql("(contains(c, ' deprec') OR contains(r, ' deprec')) AND (contains(c, ' depr') OR contains(r, ' warn depr'))"))
+def q_search_prefix(spark, sf):
+    return _q_words(spark, sf, 'deprec* "warn depr"*')
+
+
 @check("search_like", f"WITH {STORE} SELECT id, ts, command FROM store WHERE lower(command) LIKE '%l_gs api%' OR contains(lower(raw), 'no such text') ORDER BY ts DESC, id LIMIT 10")
 def q_search_like(spark, sf):
     return search.search_like(store(spark, sf), "L_GS api").select("id", "ts", "command")

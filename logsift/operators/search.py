@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,69 +42,194 @@ def terms(text: str) -> str:
     return f"filter(split({folded(text)}, {lit(r'[^\p{L}\p{N}]+')}), {fn(lambda t: f"{t} != ''")})"
 
 
-def query_terms(query: str) -> list[str]:
-    """The same words of a query; all of them have to occur. None for anything but plain words."""
-    parts = query.split()
-    if not all(re.fullmatch(r"\w+", part) for part in parts) or {"AND", "OR", "NOT"} & set(parts):
-        return []
-    plain = query.lower().translate(str.maketrans(_MARKED, _PLAIN))
-    return sorted(set(re.findall(r"[^\W_]+", plain)))
+FIELDS = ("command", "raw")
+_QUERY = re.compile(r'"(?:[^"]|"")*"|[()*:]|\w+|\S')
 
 
-def _counted(text: str) -> str:
-    """``array<struct<term, tf>>`` of a text: its sorted words cut into runs, inside the row."""
+class NotAQuery(ValueError):
+    """The text is no word query; it is looked for as it stands."""
+
+
+@dataclass(frozen=True)
+class Phrase:
+    """Words that follow one another in one field; of the last one only the beginning may be given."""
+
+    words: tuple[str, ...]
+    begins: bool = False
+    field: str | None = None
+
+
+def words_of(text: str) -> tuple[str, ...]:
+    """The words of a piece of a query, as the index has them."""
+    return tuple(re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(_MARKED, _PLAIN))))
+
+
+def parsed_query(query: str) -> Any:
+    """A ``Phrase``, or ``(operator, left, right)``; None if nothing is asked for. Raises ``NotAQuery``.
+
+    Words and ``"phrases"``, ``begin*``, ``field:word``; side by side they all have to occur. ``NOT``, ``AND`` and ``OR`` in capitals
+    combine what stands around them, ``NOT`` first and ``OR`` last, and parentheses group.
+    """
+    left = _QUERY.findall(query)
+
+    def take(*wanted: str) -> bool:
+        if left and left[0] in wanted:
+            left.pop(0)
+            return True
+        return False
+
+    def phrase() -> Phrase:
+        if not left or not (left[0].startswith('"') and len(left[0]) > 1 or re.fullmatch(r"\w+", left[0])) or left[0] in ("AND", "OR", "NOT"):
+            raise NotAQuery(query)
+        text = left.pop(0)
+        if take(":"):
+            if text.lower() not in FIELDS:
+                raise NotAQuery(query)
+            found = phrase()
+            return replace(found, field=found.field or text.lower())
+        words = words_of(text[1:-1].replace('""', '"') if text.startswith('"') else text)
+        return Phrase(words, take("*"))
+
+    def beside() -> Any:
+        if take("("):
+            found = operators(("OR", "AND", "NOT"))
+            if not take(")"):
+                raise NotAQuery(query)
+            return found
+        found = combined("AND", None, phrase())
+        while left and left[0] not in ("AND", "OR", "NOT", ")"):
+            found = combined("AND", found, phrase())
+        return found
+
+    def combined(operator: str, one: Any, other: Any) -> Any:
+        if isinstance(other, Phrase) and not other.words:
+            other = None  # a phrase of no word asks for nothing
+        if one is None or other is None:
+            return other if one is None and operator != "NOT" else one
+        return operator, one, other
+
+    def operators(names: tuple[str, ...]) -> Any:
+        if not names:
+            return beside()
+        found = operators(names[1:])
+        while take(names[0]):
+            found = combined(names[0], found, operators(names[1:]))
+        return found
+
+    found = operators(("OR", "AND", "NOT"))
+    if left:
+        raise NotAQuery(query)
+    return found
+
+
+def phrases_of(tree: Any) -> list[Phrase]:
+    if tree is None or isinstance(tree, Phrase):
+        return [tree] if tree else []
+    return list(dict.fromkeys(p for part in tree[1:] for p in phrases_of(part)))
+
+
+def _placed(text: str) -> str:
+    """``array<struct<term, positions>>`` of a text: its words sorted with their places and cut into runs, inside the row."""
 
     def runs(ws: str) -> str:
-        starts = _run_starts(ws, lambda i: f"{ws}[{i}] = get({ws}, {i} - 1)")
-        one = _runs(ws, starts, lambda s, n: f"array(named_struct('term', {ws}[{s}], 'tf', {n}))")
-        empty = "CAST(array() AS ARRAY<STRUCT<term STRING, tf INT>>)"
+        starts = _run_starts(ws, lambda i: f"{ws}[{i}].w = get({ws}, {i} - 1).w")
+        places = fn(lambda x: f"{x}.i")
+        one = _runs(ws, starts, lambda s, n: f"array(named_struct('term', {ws}[{s}].w, 'positions', transform(slice({ws}, {s} + 1, {n}), {places})))")
+        empty = "CAST(array() AS ARRAY<STRUCT<term STRING, positions ARRAY<INT>>>)"
         return f"CASE WHEN size({ws}) = 0 THEN {empty} ELSE {one} END"
 
-    return let(f"sort_array({terms(text)})", runs)
+    pairs = fn(lambda w, i: f"named_struct('w', {w}, 'i', {i})", 2)
+    return let(f"sort_array(transform({terms(text)}, {pairs}))", runs)
 
 
 def postings(store: DataFrame) -> DataFrame:
-    """``term, id, field, tf, ts``: how often each word occurs in each field of each row. No shuffle."""
+    """``term, id, field, tf, positions, ts``: where each word occurs in each field of each row. No shuffle."""
 
     def of(field: str) -> str:
-        one = fn(lambda p: f"named_struct('term', {p}.term, 'field', '{field}', 'tf', {p}.tf)")
-        return f"transform({_counted(f"coalesce({field}, '')")}, {one})"
+        one = fn(lambda p: f"named_struct('term', {p}.term, 'field', '{field}', 'positions', {p}.positions)")
+        return f"transform({_placed(f"coalesce({field}, '')")}, {one})"
 
-    words = store.select("id", "ts", F.explode(F.expr(f"concat({of('command')}, {of('raw')})")).alias("p"))
-    return words.select("p.term", "id", "p.field", "p.tf", "ts")
+    words = store.select("id", "ts", F.explode(F.expr(f"concat({', '.join(map(of, FIELDS))})")).alias("p"))
+    return words.select("p.term", "id", "p.field", F.size("p.positions").alias("tf"), "p.positions", "ts")
 
 
 def write_postings(index: DataFrame, path: str) -> None:
-    """Partition by term bucket. Rebalancing splits a bucket that is large, so a common word is no hot task."""
+    """Partition by term bucket, each in the order of its terms. Rebalancing splits a bucket that is large, so a common word is no hot task.
+
+    Positions ascend within a row, and the second version of the format stores whole numbers as differences.
+    """
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")
-    laid_out = index.select("*", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-    laid_out.write.partitionBy("bucket").mode("overwrite").parquet(path)
+    laid_out = index.select("*", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
+    laid_out.write.partitionBy("bucket").mode("overwrite").option("parquet.writer.version", "PARQUET_2_0").parquet(path)
+
+
+def _lookup(index: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """Postings of the phrases' words. Buckets of whole words are pruned; beginnings are met in the statistics of sorted files."""
+    whole = sorted({w for p in phrases for w in (p.words[:-1] if p.begins else p.words)})
+    begun = sorted({p.words[-1] for p in phrases if p.begins})
+    hit = F.col("term").isin(whole)
+    for start in begun:
+        hit = hit | F.startswith("term", F.lit(start))
+    found = index.filter(hit)
+    if "bucket" in index.columns and not begun:
+        # Same hash as the layout, worked out by Spark on the literals: prunes directories.
+        buckets = index.sparkSession.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)) for t in whole]).alias("b"))
+        found = found.filter(F.col("bucket").isin(buckets.first().b))
+    return found
+
+
+def moved_back(by: int) -> Callable[[Column], Column]:
+    return lambda x: x - by
 
 
 def matching(index: DataFrame, query: str) -> DataFrame:
-    """``id, ts`` of rows in which all words of the query occur."""
-    wanted = query_terms(query)
-    hits = index.filter(F.col("term").isin(wanted))
-    if "bucket" in index.columns:
-        # Same hash as the layout, worked out by Spark on the literals: prunes directories.
-        buckets = index.sparkSession.range(1).select(
-            F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)) for t in wanted]).alias("b")
-        )
-        hits = hits.filter(F.col("bucket").isin(buckets.first().b))
-    found = [F.max(F.col("term") == t).alias(f"_t{i}") for i, t in enumerate(wanted)]
-    every = F.lit(bool(wanted))
-    for i in range(len(wanted)):
-        every = every & F.col(f"_t{i}")
-    return hits.groupBy("id").agg(F.max("ts").alias("ts"), *found).filter(every).select("id", "ts")
+    """``id, ts`` of rows that a query matches. Only the postings of its words are read and shuffled, by row.
+
+    A phrase occurs where the places of its words, each moved back by its distance from the first, have one in common.
+    """
+    tree = parsed_query(query)
+    phrases = phrases_of(tree)
+    if not phrases:
+        return index.select("id", "ts").limit(0)
+    columns: dict[tuple, str] = {}
+
+    def places(field: str, word: str, begins: bool) -> str:
+        return columns.setdefault((field, word, begins), f"_p{len(columns)}")
+
+    def occurs(p: Phrase) -> Column:
+        either = F.lit(False)
+        for field in (p.field,) if p.field else FIELDS:
+            common = None
+            for k, word in enumerate(p.words):
+                at = F.col(places(field, word, p.begins and k == len(p.words) - 1))
+                moved = F.transform(at, moved_back(k)) if k else at
+                common = moved if common is None else F.array_intersect(common, moved)
+            either = either | (F.size(common) > 0)
+        return either
+
+    def judged(node: Any) -> Column:
+        if isinstance(node, Phrase):
+            return occurs(node)
+        operator, one, other = node
+        one, other = judged(one), judged(other)
+        return {"AND": one & other, "OR": one | other, "NOT": one & ~other}[operator]
+
+    wanted = judged(tree)
+    found = []
+    for (field, word, begins), name in columns.items():
+        term = F.startswith("term", F.lit(word)) if begins else F.col("term") == word
+        found.append(F.flatten(F.collect_list(F.when((F.col("field") == field) & term, F.col("positions")))).alias(name))
+    rows = _lookup(index, phrases).groupBy("id").agg(F.max("ts").alias("ts"), *found)
+    return rows.filter(wanted).select("id", "ts")
 
 
 def newest_hits(index: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Ids of the newest rows with all words of the query, at most ``limit``."""
+    """Ids of the newest rows that a query matches, at most ``limit``."""
     return matching(index, query).orderBy(F.desc("ts"), "id").limit(limit).select("id")
 
 
 def search_terms(store: DataFrame, index: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Newest rows with all words of the query. Only ``limit`` ids are broadcast."""
+    """Newest rows that a word query matches. Only ``limit`` ids are broadcast."""
     return store.join(F.broadcast(newest_hits(index, query, limit)), "id").orderBy(F.desc("ts"), "id")
 
 
@@ -124,9 +252,11 @@ def query_pattern(query: str) -> str:
 
 
 def search(store: DataFrame, index: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Word search; substring search when no row has all the words."""
-    if query_terms(query):
+    """Word search; substring search when the query is none or no row matches it."""
+    try:
         hits = saved(newest_hits(index, query, limit), "hits")
-        if not hits.isEmpty():
-            return store.join(F.broadcast(hits), "id").orderBy(F.desc("ts"), "id")
-    return search_like(store, query, limit)
+    except NotAQuery:
+        return search_like(store, query, limit)
+    if hits.isEmpty():
+        return search_like(store, query, limit)
+    return store.join(F.broadcast(hits), "id").orderBy(F.desc("ts"), "id")

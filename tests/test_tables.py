@@ -200,6 +200,31 @@ def test_search(spark, tmp_path):
     assert {(r.term, r.tf) for r in index.filter("id = 3 AND field = 'raw'").collect()} == {("a", 1), ("b", 1), ("c", 1)}
 
 
+def test_word_queries(spark, tmp_path):
+    texts = [
+        ("make all", "disk full on node one\ndisk nearly full"), ("docker logs api", "node one is full; disk-full: no"), ("git log", "full disk, full"),
+        ("deploy now", "nodes one two three"), ("disk check", "all fine"), ("echo", "foo_bar and bar foo"), ("disk", None),
+    ]
+    table = spark.createDataFrame([(i, datetime(2024, 1, 20 - i), c, r) for i, (c, r) in enumerate(texts)], "id long, ts timestamp, command string, raw string")
+    search.write_postings(search.postings(table), str(tmp_path / "i"))
+    laid = spark.read.parquet(str(tmp_path / "i"))
+
+    def ids(query):
+        return [r.id for r in search.newest_hits(laid, query).collect()]
+
+    want = {
+        '"disk full"': [0, 1, 2], '"full disk"': [1, 2], '"full disk full"': [1, 2], '"full full"': [], "disk full": [0, 1, 2], "disk OR three": [0, 1, 2, 3, 4, 6],
+        "disk NOT full": [4, 6], "full NOT node NOT one": [2], "node* one": [0, 1, 3], '"nearly fu"*': [0], "nod* OR fo*": [0, 1, 3, 5], "command:disk": [4, 6],
+        "raw:disk": [0, 1, 2], 'raw:"node one"': [0, 1], "foo_bar": [5], '"foo bar"': [5], "bar_foo": [5], '"one disk"': [0],
+        "two OR disk AND all": [0, 3, 4], "(two OR disk) AND all": [0, 4], '"" disk all': [0, 4], '""': [], "DISK Full NOT (api OR git)": [0], '"say ""disk"""': [],
+        "disk NOT nothing": [0, 1, 2, 4, 6], "nothing NOT disk": [],
+    }
+    assert {q: ids(q) for q in want} == want
+    for broken in ("disk AND", "OR disk", "(disk", "disk)", "a-b", "other:disk", "*", '"disk', "NOT disk", "a:b:c", "disk (full)"):
+        with pytest.raises(search.NotAQuery):
+            search.parsed_query(broken)
+
+
 def test_names(spark):
     assert values(spark, labels.client_label, [" Claude-Code", "LMSTUDIO", "other", ""]) == ["claude", "local", "unknown", "unknown"]
     assert values(spark, labels.namespace, ["mcp__a__b", "mcp__a__b__c", "mcp__a", "Read", "mcp____x"]) == ["a", "a", None, None, ""]
