@@ -1,7 +1,8 @@
 """Counters kept up to date by Structured Streaming.
 
-The state is one row per runtime or label, so the whole report is rewritten after every batch. Each
-batch writes its own folder, so a batch that is run again replaces what it wrote.
+The state is one row per runtime or label, so the whole report is rewritten after every batch. Batches take
+turns in three folders and note their number: a batch that is run again replaces what it wrote, the newest
+report stays while the next is written, and the files do not grow in number however long the stream runs.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 from logsift.plans.reports import by_label, client_parts, efficiency, label_parts, lifetime, savings_parts
 
 
+TURNS = 3
+
+
 def _start(parts: DataFrame, path: str, checkpoint: str, trigger: dict | None):
     def save(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.withColumn("batch", F.lit(number)).coalesce(1).write.mode("overwrite").parquet(f"{path}/turn={number % TURNS}")
 
     writer = parts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(save)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -24,7 +28,7 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     """Counters after the newest batch."""
     parts = spark.read.parquet(path)
     newest = parts.agg(F.max("batch").alias("batch"))
-    return parts.join(F.broadcast(newest), "batch").drop("batch")
+    return parts.join(F.broadcast(newest), "batch").drop("batch", "turn")
 
 
 def start_clients(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):

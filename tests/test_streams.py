@@ -36,6 +36,21 @@ def test_denominators(spark):
     assert sum(r.tokens_saved for r in reports.savings_by_label(results(spark)).collect()) == got.tokens_saved
 
 
+def test_counters_keep_few_files(spark, tmp_path):
+    source, path = str(tmp_path / "in"), new_path(spark, "counter-files")
+    rows = results(spark)
+    for _ in range(7):
+        rows.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = counters.start_lifetime(stream, f"{path}/life", f"{path}/cp")
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] == 6
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path}/life")
+    assert files.count() == counters.TURNS
+    got = counters.lifetime_totals(spark, f"{path}/life").first()
+    assert (got.outputs_seen, got.tokens_saved) == (35, 7 * 220)
+
+
 def test_counters_survive_a_restart(spark, tmp_path):
     """Two runs over a growing folder, the second from the checkpoint of the first."""
     source, path = str(tmp_path / "in"), new_path(spark, "counter-test")
