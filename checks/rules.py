@@ -321,7 +321,7 @@ def q_top_labels(spark, sf):
     return reports.savings_by_label(results(spark, sf), 6)
 
 
-@check("recall_rows", RESULTS + f"SELECT CAST(id AS VARCHAR) AS id, ts, command, cwd, exit_code, md5(raw) AS raw, raw_tokens, comp_tokens, label AS filt, CAST(ts AS DATE) AS day, {HANDLE} AS handle FROM results WHERE NOT passthrough")
+@check("recall_rows", RESULTS + f"SELECT CAST(id AS VARCHAR) AS id, ts, command, cwd, exit_code, md5(raw) AS raw, raw_tokens, comp_tokens, label AS filt, CAST(ts AS DATE) AS day, strlen(raw) AS bytes, {HANDLE} AS handle FROM results WHERE NOT passthrough")
 def q_recall_rows(spark, sf):
     """Rows the recall table takes, with handles of the length that footers show."""
     rows = S.store_rows(results(spark, sf)).withColumn("raw", F.md5("raw"))
@@ -396,6 +396,32 @@ def q_store_by_day(spark, sf):
     return held.agg(F.count(F.lit(1)).alias("outputs"), F.sum("raw_tokens").alias("raw_tokens"), F.sum(F.octet_length("raw")).alias("bytes"))
 
 
+def _written(spark, sf):
+    path = new_path(spark, "store")
+    S.write_store(S.store_rows(results(spark, sf)), path)
+    return path
+
+
+@check("recall_written", RESULTS + f"SELECT CAST(id AS VARCHAR) AS id, CAST(ts AS DATE) AS day, md5(raw) AS raw FROM results WHERE NOT passthrough AND {HANDLE} LIKE (SELECT left({HANDLE}, 6) FROM results WHERE NOT passthrough ORDER BY id LIMIT 1) || '%'")
+def q_recall_written(spark, sf):
+    """A handle in the store on disk: its days come from the table of names."""
+    path = _written(spark, sf)
+    S.write_names(spark, path)
+    first = S.read_store(spark, path).orderBy(F.col("id").cast("long")).select("name").first()
+    return S.recall_in(spark, path, first.name[:6]).select("id", "day", F.md5("raw").alias("raw"))
+
+
+@check("cap_store", RESULTS + """, held AS (SELECT *, row_number() OVER (ORDER BY ts DESC) AS place FROM results WHERE NOT passthrough),
+newest AS (SELECT *, sum(strlen(raw)) OVER (ORDER BY ts DESC) AS upto, (SELECT sum(strlen(raw)) // 3 FROM held) AS room FROM held WHERE place <= (SELECT count(*) * 2 // 3 FROM held))
+SELECT CAST(id AS VARCHAR) AS id, CAST(ts AS DATE) AS day, md5(raw) AS raw FROM newest WHERE upto <= room""")
+def q_cap_store(spark, sf):
+    """The store on disk after both caps have deleted from it, read back."""
+    path = _written(spark, sf)
+    held = S.read_store(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
+    S.prune_store(spark, path, Options(max_store_rows=held.n * 2 // 3, max_store_bytes=held.bytes // 3))
+    return S.read_store(spark, path).select("id", "day", F.md5("raw").alias("raw"))
+
+
 @check("gain_report", RESULTS + """SELECT 'lifetime' AS section, NULL AS label, count(*) AS outputs, sum(raw_tokens - comp_tokens) AS tokens_saved FROM results
 UNION ALL SELECT * FROM (SELECT 'label', label, count(*), sum(raw_tokens - comp_tokens) AS s FROM results WHERE NOT passthrough GROUP BY label ORDER BY s DESC, label LIMIT 6)
 UNION ALL SELECT 'store', NULL, count(*), sum(raw_tokens - comp_tokens) FROM results WHERE NOT passthrough""")

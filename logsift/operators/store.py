@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.functions.payload import capped, digest, payload_bytes
 from logsift.functions.times import micros
 from logsift.options import DEFAULTS, Options
+from logsift.scratch import saved
 
 
 def store_rows(results: DataFrame, opts: Options = DEFAULTS, store_all: bool = False) -> DataFrame:
@@ -29,16 +30,70 @@ def store_rows(results: DataFrame, opts: Options = DEFAULTS, store_all: bool = F
         F.col("label").alias("filt"),
         digest(F.col("id"), F.col("raw")).alias("name"),
         F.to_date("ts").alias("day"),
-    )
+    ).withColumn("bytes", payload_bytes(F.col("raw")).cast("bigint"))
 
 
 def write_store(rows: DataFrame, path: str, mode: str = "append", by_time: bool = False) -> None:
     """Write by day. Rebalancing gives every day files of a good size and splits a day that is large.
 
-    ``by_time=True`` skips that shuffle for rows that already lie in order of time.
+    ``by_time=True`` skips that shuffle for rows that already lie in order of time. Files are in the order of names and hold a Bloom
+    filter of them, so a handle is looked for in few row groups and a whole name in next to none.
     """
     rows = rows if by_time else rows.hint("rebalance", "day")
-    rows.write.partitionBy("day").mode(mode).parquet(path)
+    _laid_out(rows).mode(mode).parquet(path)
+
+
+def _laid_out(rows: DataFrame) -> DataFrameWriter:
+    bloom = {"parquet.bloom.filter.enabled#name": "true", "parquet.bloom.filter.expected.ndv#name": "100000"}
+    return rows.sortWithinPartitions("day", "name").write.partitionBy("day").options(**bloom)
+
+
+def names_path(path: str) -> str:
+    return f"{path.rstrip('/')}-names"
+
+
+def write_names(spark: SparkSession, path: str) -> None:
+    """Write which day each name of the store at ``path`` is in, by the first two digits of the name. Reads no payload."""
+    names = read_store(spark, path).select(F.left("name", F.lit(2)).alias("start"), "name", F.col("day").cast("string").alias("day"))
+    names.hint("rebalance", "start").sortWithinPartitions("start", "name").write.partitionBy("start").mode("overwrite").parquet(names_path(path))
+
+
+def recall_in(spark: SparkSession, path: str, handle: str) -> DataFrame:
+    """``recall`` on a written store: the days come from the table of names, so that only those are read."""
+    names = spark.read.schema("name string, day string, start string").parquet(names_path(path))
+    days = names.filter((F.col("start") == handle[:2]) & F.col("name").startswith(handle)).select("day").distinct().collect()
+    known = [r["day"] for r in days if r["day"] is not None]
+    there = F.col("day").isin(known) if known else F.lit(False)
+    there = there | F.col("day").isNull() if len(known) < len(days) else there
+    return recall(read_store(spark, path).filter(there), handle)
+
+
+def prune_store(spark: SparkSession, path: str, opts: Options) -> int:
+    """Delete the oldest rows of the store at ``path`` beyond the caps on rows and on bytes; the number of rows that went.
+
+    What stays is settled on ids, times and sizes, without a payload. Days that lose all rows are deleted as folders; of the one in which
+    a cap is reached the rows that stay are written aside and then take its place. A run that was interrupted is finished by the next.
+    Rows that are equal in id and name stay together.
+    """
+    store = read_store(spark, path)
+    slim = saved(store.select("id", "ts", "name", "bytes", F.col("day").cast("string").alias("day")), "store-sizes")
+    kept = cap_bytes(cap_rows(slim, opts.max_store_rows), opts.max_store_bytes)
+    kept = saved(kept.select("id", "name", "day"), "store-kept")
+    counts = slim.groupBy("day").agg(F.count(F.lit(1)).alias("rows")).join(kept.groupBy(F.col("day").alias("kept_day")).agg(F.count(F.lit(1)).alias("kept")), F.col("day").eqNullSafe(F.col("kept_day")), "left")
+    days = counts.select("day", "rows", F.coalesce("kept", F.lit(0)).alias("kept")).collect()  # a row for each day
+    cut = [r["day"] for r in days if 0 < r["kept"] < r["rows"]]
+    if cut:
+        day = F.col("day").cast("string")
+        of_day = day.isin([d for d in cut if d is not None]) | (day.isNull() if None in cut else F.lit(False))
+        stays = kept.select("id", "name", F.col("day").alias("kept_day"))
+        rows = store.filter(of_day).join(stays, [store["id"] == stays["id"], store["name"] == stays["name"], day.eqNullSafe(stays["kept_day"])], "left_semi")
+        _laid_out(saved(rows, "store-day")).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for r in days:
+        if not r["kept"]:
+            folder = hadoop(f"{path.rstrip('/')}/day={'__HIVE_DEFAULT_PARTITION__' if r['day'] is None else r['day']}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return sum(r["rows"] - r["kept"] for r in days)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +127,13 @@ def recall(store: DataFrame, handle: str) -> DataFrame:
 
 
 def recent(store: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest rows. How old they are is found on the times alone, so older days and payloads are not read."""
+    newest = store.select("ts").orderBy(F.desc("ts")).limit(limit).agg(F.count("ts").alias("n"), F.min("ts").alias("since"))
+    found = newest.select("n", F.date_sub(F.to_date("since"), F.lit(1)).alias("day"), micros("since").alias("since")).first()
+    if limit > 0 and found["n"] == limit:
+        store = store.filter(F.col("ts").cast("timestamp") >= F.timestamp_micros(F.lit(found["since"])))
+        if "day" in store.columns:
+            store = store.filter(F.col("day") >= F.lit(found["day"]))
     return store.orderBy(F.desc("ts"), "id").limit(limit)
 
 
@@ -98,7 +160,8 @@ def cap_rows(store: DataFrame, cap: int | None) -> DataFrame:
 
 def cap_bytes(store: DataFrame, cap: int | None) -> DataFrame:
     """The newest rows whose payloads fit ``cap`` bytes together; oldest go first."""
-    return keep_newest(store, payload_bytes(F.col("raw")).cast("bigint"), cap)
+    size = F.col("bytes") if "bytes" in store.columns else payload_bytes(F.col("raw"))
+    return keep_newest(store, size.cast("bigint"), cap)
 
 
 def keep_newest(store: DataFrame, weight: Column, cap: int | None) -> DataFrame:

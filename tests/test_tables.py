@@ -187,6 +187,39 @@ def test_store_is_written_by_day_and_read_back(spark, tmp_path):
     assert S.store_rows(done, store_all=True).count() == 2
 
 
+def test_store_is_cut_on_disk(spark, tmp_path):
+    path = str(tmp_path / "s")
+    times = [0, 10, 90_000, 90_000, 90_005, 180_000, 180_001, 270_000]
+    done = rows(spark, [(k, t, 20 + k) for k, t in enumerate(times)]).selectExpr("*", "filt AS label", "'/' AS cwd", "0 AS exit_code", "false AS passthrough")
+    held = S.store_rows(done.union(done.withColumn("ts", F.lit(None).cast("timestamp")).filter("id = 0").withColumn("id", F.lit("99"))), store_all=True)
+    S.write_store(held, path)
+    S.write_names(spark, path)
+    name = {r.id: r.name for r in S.read_store(spark, path).collect()}
+    assert [r.id for r in S.recall_in(spark, path, name["4"][:9]).collect()] == ["4"] and [r.id for r in S.recall_in(spark, path, name["99"]).collect()] == ["99"]
+    assert S.recall_in(spark, path, "zz").count() == 0
+    assert S.prune_store(spark, path, Options()) == 0 and S.read_store(spark, path).count() == 9
+    want = {r.id for r in S.cap_rows(S.read_store(spark, path), 5).collect()}
+    assert S.prune_store(spark, path, Options(max_store_rows=5)) == 4
+    left = S.read_store(spark, path)
+    assert {r.id for r in left.collect()} == want and "99" not in want and sorted(p.name for p in (tmp_path / "s").glob("day=*")) == ["day=2024-01-02", "day=2024-01-03", "day=2024-01-04"]
+    room = sum(r.bytes for r in left.filter("id in ('5', '6', '7')").collect())
+    assert S.prune_store(spark, path, Options(max_store_bytes=room)) == 2
+    assert sorted(r.id for r in S.read_store(spark, path).collect()) == ["5", "6", "7"]
+    assert S.prune_store(spark, path, Options(max_store_bytes=room)) == 0
+    assert S.prune_store(spark, path, Options(max_store_rows=1)) == 2 and [r.id for r in S.read_store(spark, path).collect()] == ["7"]
+
+
+def test_recent_reads_newer_days_only(spark, tmp_path):
+    path = str(tmp_path / "s")
+    done = rows(spark, [(k, 90_000 * k, 20) for k in range(6)]).selectExpr("*", "filt AS label", "'/' AS cwd", "0 AS exit_code", "false AS passthrough")
+    S.write_store(S.store_rows(done, store_all=True), path)
+    store = S.read_store(spark, path)
+    assert [r.id for r in S.recent(store, 2).collect()] == ["5", "4"] and len(S.recent(store, 2).select("id").inputFiles()) >= 1
+    plan = S.recent(store, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and [r.id for r in S.recent(store, 99).collect()] == ["5", "4", "3", "2", "1", "0"]
+    assert S.recent(store, 0).count() == 0 and S.recent(store.limit(0), 3).count() == 0
+
+
 def test_search(spark, tmp_path):
     data = [(1, "git log", "Été fini\nERROR: disk full"), (2, "docker logs", "error 100% done"), (3, "ls", "a_b\\c")]
     table = spark.createDataFrame([(i, datetime(2024, 1, i), c, r) for i, c, r in data], "id long, ts timestamp, command string, raw string")
