@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks import rules, tables, text  # noqa: F401, I001
-from checks import audit, linetables, streams  # noqa: F401
+from checks import audit, linetables, sources, streams  # noqa: F401
 from checks.registry import ORACLES as _RAW
 from checks.registry import QUERIES
 from logsift.plans.audit import TOKEN_KEYS
