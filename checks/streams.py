@@ -70,6 +70,21 @@ def q_ledger(spark, sf):
     return spark.read.parquet(f"{path}/ledger-0").select("session", "key", "stamp", "served_at", "suppressed")
 
 
+@check("stream_ledger_batches", f"SELECT seq, key, decision, served_at FROM ({ORACLES['repeat_reads']}) AS q")
+def q_ledger_batches(spark, sf):
+    """The same decisions from six micro-batches, with a restart after the first three. Epochs count from the start of a batch."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    path, parts = new_path(spark, "ledger-batches"), 6
+    cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).approxQuantile("t", [k / parts for k in range(1, parts)], 0.01)
+    part = sum(((F.unix_micros(F.col("ts").cast("timestamp")) >= int(c)).cast("int") for c in cuts), F.lit(0))
+    for k in range(parts):
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        if k in (parts // 2 - 1, parts - 1):
+            stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+            start_ledger(request_columns(stream), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out/decisions").select("seq", "key", "decision", "served_at")
+
+
 @check("stream_compress", ORACLES["compress_mixed"])
 def q_compress(spark, sf):
     from checks.inputs import mixed
