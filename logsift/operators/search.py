@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.functions.text import fn, let, lit
@@ -246,6 +246,58 @@ def search_like(store: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return store.filter(found).orderBy(F.desc("ts"), "id").limit(limit)
 
 
+SIGNATURE_BITS = 1 << 16
+
+
+def signatures_path(path: str) -> str:
+    return f"{path.rstrip('/')}-signatures"
+
+
+def _bits(trigrams: Column) -> Column:
+    """``array<struct<word, mask>>``: where the hashes of trigrams stand in a signature of 64-bit words."""
+    at = F.transform(F.array_distinct(trigrams), lambda t: F.pmod(F.xxhash64(t), F.lit(SIGNATURE_BITS)))
+    return F.transform(at, lambda h: F.struct(F.floor(h / 64).alias("word"), F.expr("1L").alias("one"), (h % 64).cast("int").alias("bit")))
+
+
+def _masked(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.explode("bits").alias("b")).select(*[c for c in rows.columns if c != "bits"], "b.word", F.expr("shiftleft(b.one, b.bit)").alias("mask"))
+
+
+def write_signatures(store: DataFrame, path: str) -> None:
+    """Write which trigrams each file of a store read from ``path`` holds, as bits by a hash: at most 8 KiB a file.
+
+    Command and text are taken as ``search_like`` compares them. Bits are put together in the tasks before the shuffle.
+    """
+    grams = lambda c: F.regexp_extract_all(_ascii_lower(F.coalesce(F.col(c), F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1))
+    rows = store.select(F.col("_metadata.file_path").alias("file"), _bits(F.concat(*map(grams, FIELDS))).alias("bits"))
+    _masked(rows).groupBy("file", "word").agg(F.bit_or("mask").alias("mask")).write.mode("overwrite").parquet(signatures_path(path))
+
+
+def files_with(spark: SparkSession, path: str, query: str) -> list[str]:
+    """Files of the store at ``path`` that may hold a row for ``search_like``: those with all trigrams of the query, and those without a signature."""
+    every = spark.read.parquet(path).inputFiles()
+    lowered = query.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    grams = sorted({run[k : k + 3] for run in re.split("[%_]", lowered) for k in range(len(run) - 2)})
+    if not grams:
+        return every
+    wanted = _masked(spark.range(1).select(_bits(F.lit(grams)).alias("bits"))).groupBy("word").agg(F.bit_or("mask").alias("wanted"))
+    known = spark.read.parquet(signatures_path(path))
+    met = known.join(F.broadcast(wanted), "word").filter(F.col("mask").bitwiseAND(F.col("wanted")) == F.col("wanted")).groupBy("file").agg(F.count(F.lit(1)).alias("met"))
+    all_met = met.join(F.broadcast(wanted.agg(F.count(F.lit(1)).alias("all"))), F.col("met") == F.col("all")).select("file", F.lit(True).alias("may"))
+    # The driver has to name the files to be read, so their names come to it.
+    plain = lambda f: re.sub(r"^\w+:/*", "", f)  # a listing and a row may spell the scheme differently
+    judged = {plain(r["file"]): r["may"] for r in known.select("file").distinct().join(all_met, "file", "left").collect()}
+    return [f for f in every if judged.get(plain(f), True)]
+
+
+def search_like_in(spark: SparkSession, path: str, query: str, limit: int = 10) -> DataFrame:
+    """``search_like`` on a written store with signatures: files that cannot hold the text are not read."""
+    store = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(path)
+    files = files_with(spark, path, query)
+    found = spark.read.schema(store.schema).option("basePath", path).parquet(*files) if files else store.limit(0)
+    return search_like(found, query, limit)
+
+
 def query_pattern(query: str) -> str:
     lowered = query.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
     return "%" + lowered.replace("\\", "\\\\") + "%"

@@ -313,9 +313,8 @@ def subagent_share(parts: DataFrame) -> DataFrame:
 
 def calls_by_tool(calls: DataFrame) -> DataFrame:
     """Calls per tool over all runtimes (``runtime`` NULL) and per runtime."""
-    counted = calls.groupBy("runtime", "tool").agg(F.count(F.lit(1)).alias("calls"))
-    overall = counted.groupBy("tool").agg(F.sum("calls").alias("calls")).withColumn("runtime", F.lit(None).cast("string"))
-    return counted.unionByName(overall)
+    runtime, tool = F.col("runtime"), F.col("tool")
+    return calls.groupingSets([[runtime, tool], [tool]], runtime, tool).agg(F.count(F.lit(1)).alias("calls"))
 
 
 def result_sizes(results: DataFrame) -> DataFrame:

@@ -220,6 +220,21 @@ def test_recent_reads_newer_days_only(spark, tmp_path):
     assert S.recent(store, 0).count() == 0 and S.recent(store.limit(0), 3).count() == 0
 
 
+def test_signatures_leave_files_unread(spark, tmp_path):
+    path = str(tmp_path / "s")
+    texts = ["alpha Beta", "gamma ÉTÉ fin", "delta", "x%y_z", ""]
+    for k, text in enumerate(texts):  # a file each
+        spark.createDataFrame([(k, datetime(2024, 1, k + 1), f"cmd{k}", text)], "id long, ts timestamp, command string, raw string").coalesce(1).write.mode("append").parquet(path)
+    search.write_signatures(spark.read.parquet(path), path)
+    files = lambda q: len(search.files_with(spark, path, q))
+    ids = lambda q: [r.id for r in search.search_like_in(spark, path, q).collect()]
+    assert ids("LPHA b") == [0] and files("LPHA b") == 1
+    assert ids("ÉTÉ") == [1] and files("ÉTÉ") == 1 and ids("cmd3") == [3] and ids("nowhere") == [] and files("nowhere") == 0
+    assert ids("gam%fin") == [1] and files("gam%fin") == 1 and files("a%b") == 5 and ids("a_pha") == [0] and sorted(ids("")) == [0, 1, 2, 3, 4]
+    spark.createDataFrame([(9, datetime(2024, 2, 1), "new", "nowhere")], "id long, ts timestamp, command string, raw string").coalesce(1).write.mode("append").parquet(path)
+    assert ids("nowhere") == [9] and files("nowhere") == 1  # not signed yet
+
+
 def test_search(spark, tmp_path):
     data = [(1, "git log", "Été fini\nERROR: disk full"), (2, "docker logs", "error 100% done"), (3, "ls", "a_b\\c")]
     table = spark.createDataFrame([(i, datetime(2024, 1, i), c, r) for i, c, r in data], "id long, ts timestamp, command string, raw string")
