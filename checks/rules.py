@@ -423,12 +423,12 @@ def q_cap_store(spark, sf):
     return S.read_store(spark, path).select("id", "day", F.md5("raw").alias("raw"))
 
 
-@check("search_pruned", RESULTS + "SELECT CAST(id AS VARCHAR) AS id, ts, md5(raw) AS raw FROM results WHERE NOT passthrough AND (lower(raw) LIKE '%step 77%finished in 8ms%' OR lower(command) LIKE '%step 77%finished in 8ms%') ORDER BY ts DESC, results.id LIMIT 10")
+@check("search_pruned", RESULTS + "SELECT CAST(id AS VARCHAR) AS id, ts, md5(raw) AS raw FROM results WHERE NOT passthrough AND (lower(raw) LIKE '%step 7%finished in 6ms%' OR lower(command) LIKE '%step 7%finished in 6ms%') ORDER BY ts DESC, results.id LIMIT 10")
 def q_search_pruned(spark, sf):
     """Substring search in the store on disk; files without the trigrams of the text are left unread."""
     path = _written(spark, sf)
     search.write_signatures(S.read_store(spark, path), path)
-    return search.search_like_in(spark, path, "Step 77%finished in 8ms").select("id", "ts", F.md5("raw").alias("raw"))
+    return search.search_like_in(spark, path, "Step 7%finished in 6ms").select("id", "ts", F.md5("raw").alias("raw"))
 
 
 @check("gain_report", RESULTS + """SELECT 'lifetime' AS section, NULL AS label, count(*) AS outputs, sum(raw_tokens - comp_tokens) AS tokens_saved FROM results
