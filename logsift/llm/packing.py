@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import shuffle_partitions, slices, texts_of
+from logsift.llm.common import slices, texts_of
 from logsift.llm.tokens import encoder, wide
 from logsift.scratch import saved
 
@@ -69,8 +69,11 @@ def powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, room: int = 2048) -> DataFrame:
-    """Pieces of ``doc_id, text`` in sequences of at most ``room`` ids (a power of two): which ids, in which sequence, at which offset."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int, room: int = 2048, range_ids: int = 1 << 22) -> DataFrame:
+    """Pieces of ``doc_id, text`` in sequences of at most ``room`` ids (a power of two): which ids, in which sequence, at which offset.
+
+    A range of the curve holds about ``range_ids`` ids, so there are as many tasks as the size asks for and none grows with it.
+    """
 
     def encoded(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -128,5 +131,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, room: int = 2048) -> Data
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     placed = saved(rows.mapInArrow(encoded, ENCODED), "placed")
     order = ["curve", "doc_id", F.crc32("ids")]
-    ranged = placed.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    ranges = (placed.agg(F.sum("doc_tokens")).first()[0] or 0) // range_ids + 1
+    ranged = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     return ranged.mapInArrow(pieces, PIECES)

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from brute import ODD, TOKENIZER, crc, token_ids
+from pyspark.sql import functions as F
 
 from logsift.llm.packing import hilbert, pack, powers
 from logsift.llm.queries import op3_token_ids, op5_packing
@@ -88,9 +89,16 @@ def test_packing_query(spark, small):
     check_pieces(op5_packing(spark, SMALL).collect(), [(r.doc_id, r.text) for r in small("documents").collect()])
 
 
-def test_packing_odd_rows(odd, none):
-    from pyspark.sql import functions as F
+def test_packing_ranges_follow_the_size(spark, small):
+    docs = small("documents")
+    pieces = pack(docs, TOKENIZER, end_id=1, range_ids=20_000).withColumn("ids_crc32", F.crc32("ids")).collect()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    check_pieces(pieces, rows)
+    ranges = sum(p.length for p in pieces) // 20_000 + 1
+    assert ranges > 2 and len({p.sequence_id >> 40 for p in pieces}) == ranges
+
 
+def test_packing_odd_rows(odd, none):
     pieces = pack(odd.where("doc_id is null or doc_id <> 8"), TOKENIZER, end_id=1).withColumn("ids_crc32", F.crc32("ids")).collect()
     check_pieces(pieces, [r for r in ODD if r[0] != 8])
     repeated = pack(odd.where("doc_id = 8"), TOKENIZER, end_id=1).agg(F.sum("length").alias("n")).first().n
