@@ -22,6 +22,7 @@ _SUMS = {
     "json_hidden": "items_hidden chars_hidden",
     "forget_epochs": "epoch",
     "repeat_reads": "epoch",
+    "repeat_reads_skewed": "epoch",
     "selection_audit": "observed",
     "reference_packs": "referenced_tokens avoided_tokens",
     "audit_totals": f"{_TOKENS} {' '.join(f'subagent_{k}' for k in TOKEN_KEYS)}",

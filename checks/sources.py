@@ -8,16 +8,19 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from checks.inputs import OUTPUTS, mixed_outputs, outputs
+from checks.audit import FILES
+from checks.inputs import CALLS, OUTPUTS, mixed_outputs, outputs, transcripts
 from checks.registry import check
 from checks.rules import LineSql, _on, pipeline_sql
 from logsift.functions.text import fn
+from logsift.plans import audit as A
 from logsift.plans.compression import compress
 from logsift.plans.filters import Filter
 from logsift.plans.rules import BUILTIN_RULES, rule
 from logsift.scratch import new_path
 from logsift.sources.outputs import read_outputs
 from logsift.sources.rulepacks import load_rules
+from logsift.sources.transcripts import drop_twins, list_transcripts, read_transcripts
 
 RESULT = "SELECT id, label, raw_tokens, comp_tokens, raw_tokens - comp_tokens AS saved, passthrough, md5(body) AS body FROM results"
 
@@ -36,6 +39,43 @@ def q_output_source(spark, sf):
     return found.select(F.regexp_extract("id", r"part=(\d+)/", 1).cast("bigint").alias("part"), "command", F.md5("raw").alias("raw"))
 
 
+def _write_transcripts(lines, path):
+    """Lines as files of their names, written by tasks; those of one runtime with carriage returns. One file gets wrong checksums."""
+
+    def write(rows):
+        name, out = None, None
+        for row in rows:
+            if row.path != name:
+                if out:
+                    out.close()
+                name = row.path
+                file = Path(path, name)
+                file.parent.mkdir(parents=True, exist_ok=True)
+                out = file.open("wb")
+            out.write(row.line.encode() + (b"\r\n" if name.startswith("gemini/") else b"\n"))
+        if out:
+            out.close()
+
+    lines.repartition("path").sortWithinPartitions("path", "block", "pos").foreachPartition(write)
+    cut = Path(path, CUT)
+    cut.with_name(f".{cut.name}.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + b"\1\2\3\4" * (cut.stat().st_size // 512 + 1))
+
+
+CUT = "codex/u3.jsonl"
+
+
+@check("transcript_source", f"""WITH {CALLS}, {FILES} SELECT path, CASE WHEN path != '{CUT}' THEN runtime END AS runtime, CASE WHEN path = '{CUT}' THEN 'unreadable' ELSE 'read' END AS state FROM paths
+UNION ALL SELECT 'other/tool.jsonl', NULL, 'unrecognised'""")
+def q_transcript_source(spark, sf):
+    """Transcripts written as files and read back: twins left out, a damaged file found by its size."""
+    path = new_path(spark, "transcripts").removeprefix("file:")
+    _write_transcripts(transcripts(spark, sf), path)
+    listed = list_transcripts(spark, [path])
+    lines = drop_twins(read_transcripts(spark, [path]), listed)
+    states = A.file_states(A.read_files(lines), drop_twins(listed.withColumn("pos", F.lit(0)), listed))
+    return states.select(F.substring_index("path", f"{Path(path).name}/", -1).alias("path"), F.when(F.col("state") == "read", F.col("runtime")).alias("runtime"), "state")
+
+
 PACKS = {
     "10-own.json": [{"name": "own-steps", "match": "make|git", "actions": [{"drop_lines": "^step 1"}, {"collapse_repeats": 2}]}, "no rule", {"name": "own-stop", "match": "docker", "stop": True, "actions": [{"keep_head_tail": [4, 2]}]}],
     "20-late.json": [{"name": "own-late", "match": "docker|curl", "actions": [{"max_line_len": 60}]}],

@@ -13,6 +13,7 @@ from logsift.operators import jsonshape, packs, search
 from logsift.operators import requests as R
 from logsift.operators import selection
 from logsift.operators import store as S
+from logsift.options import Options
 
 # ---- JSON -------------------------------------------------------------------------------------
 
@@ -269,6 +270,26 @@ def q_repeat_reads(spark, sf):
     return R.repeat_reads(requests(spark, sf)).select("seq", "key", "epoch", "decision", "served_at")
 
 
+# A burst of one key with half of the rows, several to a microsecond; rows without a time or a session.
+SKEWED = REQUESTS.replace("reqs AS", "even AS", 1) + """, reqs AS MATERIALIZED (SELECT * REPLACE (
+  CASE WHEN seq % 5 = 0 THEN NULL WHEN seq % 2 = 0 THEN TIMESTAMP '2024-01-15 00:00:00' + to_seconds(seq // 64) ELSE ts END AS ts,
+  CASE WHEN seq % 7 = 0 THEN NULL WHEN seq % 2 = 0 THEN 'hot' ELSE session END AS session, CASE WHEN seq % 2 = 0 THEN '/src/hot.py' ELSE path END AS path,
+  CASE WHEN seq % 2 = 1 THEN "offset" END AS "offset", CASE WHEN seq % 2 = 1 THEN "limit" END AS "limit", CASE WHEN seq % 2 = 0 THEN (seq // 1024) || ':1' ELSE stamp END AS stamp) FROM even)"""
+SKEWED_DECIDED = DECIDED.replace(REQUESTS, SKEWED, 1).replace("ORDER BY ts, seq) AS epoch", "ORDER BY ts NULLS FIRST, seq) AS epoch").replace("AND stamp IS NOT NULL)", "AND stamp IS NOT NULL AND ts IS NOT NULL AND session IS NOT NULL)")
+
+
+@check("repeat_reads_skewed", f"WITH RECURSIVE {SKEWED_DECIDED} SELECT seq, key, epoch, decision, served_at FROM decided")
+def q_repeat_reads_skewed(spark, sf):
+    """Blocks small enough that the burst and the rows without a time lie in many of them."""
+    hot = lambda value, name: F.expr(f"CASE WHEN seq % 2 = 0 THEN {value} ELSE {name} END")
+    log = requests(spark, sf).withColumns({
+        "ts": F.expr("CASE WHEN seq % 5 != 0 THEN IF(seq % 2 = 0, TIMESTAMP_NTZ '2024-01-15 00:00:00' + make_dt_interval(0, 0, 0, seq div 64), ts) END"),
+        "session": F.expr("CASE WHEN seq % 7 = 0 THEN NULL WHEN seq % 2 = 0 THEN 'hot' ELSE session END"), "path": hot("'/src/hot.py'", "path"),
+        "offset": hot("NULL", "offset"), "limit": hot("NULL", "limit"), "stamp": hot("concat(string(seq div 1024), ':1')", "stamp"),
+    })
+    return R.repeat_reads(log, Options(block_rows=200)).select("seq", "key", "epoch", "decision", "served_at")
+
+
 LEDGER = REPLAY + """, ledger AS (SELECT r.session, r.key, arg_max(r.stamp, r.rn) AS stamp, arg_max(r.served_at, r.rn) AS served_at, arg_max(r.suppressed, r.rn) AS suppressed
   FROM replay AS r JOIN (SELECT session, max(epoch) AS epoch FROM eps GROUP BY session) AS now ON r.session = now.session AND r.epoch = now.epoch GROUP BY r.session, r.key),
 held AS (SELECT * FROM ledger WHERE epoch_us(served_at) >= epoch_us(TIMESTAMP '2024-01-30 12:00:00') - 28800000000)"""

@@ -1,7 +1,7 @@
 """Ordered work on groups of any size.
 
 A window over one key is one task, however many rows the key has. The helpers here cut every key into
-blocks that follow the order (a time span, a stretch of a file), do the ordered work inside the blocks,
+blocks that follow the order (so many rows of a log, a stretch of a file), do the ordered work inside the blocks,
 and carry the result across block edges with a second window over one row per block. A key with a third
 of all rows then spreads over as many tasks as it has blocks. The results are exact. Key and block
 columns must not be NULL.
@@ -9,6 +9,7 @@ columns must not be NULL.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +22,41 @@ from logsift.functions.times import micros
 _NO_TIME = -(1 << 61)
 
 
-def time_block(ts: Column, seconds: int) -> Column:
-    """Number of the time span; rows without a time share one."""
-    return F.coalesce(F.floor(micros(ts) / (seconds * 1_000_000)), F.lit(_NO_TIME).cast("bigint"))
+def row_blocks(df: DataFrame, rows: int, most: int = 1024, name: str = "_block", ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """Add the number of a block of about ``rows`` rows, following the order of ``ts, seq`` (both NULL first).
+
+    The cuts are quantiles of the time, ``most`` at the most, so a block stays a small share of the table however the times lie. A time
+    with more rows than a block (a burst, rows without a time) is cut once more, by quantiles of ``seq`` over all such rows. Quantiles are
+    merged from partial sums, and only the cuts come to the driver.
+    """
+    moment, turn = (F.coalesce(c.cast("bigint"), F.lit(_NO_TIME)) for c in (micros(ts), F.col(seq)))
+    steps, close = [k / most for k in range(1, most)], 4 * most
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(moment, steps, close).alias("cuts")).first()
+    wanted = min(most, found["n"] // rows + 1)
+    thinned = lambda cuts: [cuts[k * most // wanted - 1] for k in range(1, wanted)]
+    cuts = thinned(found["cuts"]) if wanted > 1 else []
+    crowded = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
+    # A crowded time opens its block, so what else is in the block comes later.
+    within = F.lit(most)
+    if crowded:
+        burst = moment.isin(crowded)
+        turns = thinned(df.where(burst).agg(F.percentile_approx(turn, steps, close).alias("cuts")).first()["cuts"])
+        within = F.when(burst, _place(turn, turns)).otherwise(within)
+    return df.withColumn(name, (_place(moment, cuts) * (most + 1) + within).cast("bigint"))
+
+
+def _place(value: Column, cuts: Sequence[int]) -> Column:
+    """How many different cuts are not above the value, looked up in two steps: a group of cuts, then the cuts of that group."""
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return F.lit(0).cast("bigint")
+    width = math.isqrt(len(cuts)) + 1
+    groups = [cuts[at : at + width] for at in range(0, len(cuts), width)]
+    listed = lambda numbers: f"array({', '.join(f'{n}L' for n in numbers)})"
+    reached = lambda numbers: F.size(F.filter(numbers, lambda c: c <= value)).cast("bigint")
+    group = reached(F.expr(listed(g[0] for g in groups)))
+    inside = reached(F.get(F.expr(f"array({', '.join(listed(g) for g in groups)})"), group - 1))
+    return F.when(group == 0, F.lit(0).cast("bigint")).otherwise((group - 1) * width + inside)
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], fields: Sequence[str], name: str = "prev") -> DataFrame:

@@ -32,8 +32,8 @@ class Options:
     json_max_array: int = 8
     json_max_str: int = 200
     json_max_depth: int = 8
-    # ordered work on one key is cut into time blocks of this many seconds, so no key is one task
-    block_seconds: int = 600
+    # ordered work on one key is cut into blocks of about this many rows of the table, so no key is one task
+    block_rows: int = 100_000
 
 
 DEFAULTS = Options()

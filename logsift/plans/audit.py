@@ -52,29 +52,44 @@ def _line_vendor(kind: Column, keys: Column) -> Column:
     )
 
 
-def vendors(lines: DataFrame) -> DataFrame:
-    """``path, runtime``: the first recognisable object of a file names its runtime, however late it comes.
+def read_files(lines: DataFrame) -> DataFrame:
+    """``path, runtime, bytes`` of the files that gave lines.
 
-    One value per file and task is kept before the shuffle. A file that is not recognised has a NULL runtime.
+    The first recognisable object of a file names its runtime, however late it comes; a file that is not recognised has none. ``bytes``
+    counts the end of every line, so of a file read to its end it is the file's size, or one more if the last line has no end. One value
+    per file and task is kept before the shuffle.
     """
-    keyed = lines.select("path", "block", "pos", F.json_object_keys("line").alias("_keys"), F.get_json_object("line", "$.type").alias("_type"))
-    seen = keyed.select("path", "block", "pos", F.when(F.col("_keys").isNotNull(), _line_vendor(F.col("_type"), F.col("_keys"))).alias("vendor"))
+    keyed = lines.select("path", "block", "pos", "line", F.json_object_keys("line").alias("_keys"), F.get_json_object("line", "$.type").alias("_type"))
+    named = F.when(F.col("_keys").isNotNull(), _line_vendor(F.col("_type"), F.col("_keys")))
+    seen = keyed.select("path", "block", "pos", named.alias("vendor"), (F.octet_length("line") + 1).alias("bytes"))
     place = F.when(F.col("vendor").isNotNull(), F.struct("block", "pos"))
-    return seen.groupBy("path").agg(F.min_by("vendor", place).alias("runtime"))
+    return seen.groupBy("path").agg(F.min_by("vendor", place).alias("runtime"), F.sum("bytes").alias("bytes"))
+
+
+def vendors(lines: DataFrame) -> DataFrame:
+    """``path, runtime`` of the files that gave lines (:func:`read_files`)."""
+    return read_files(lines).select("path", "runtime")
+
+
+def file_states(files: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """``path, runtime, state``: every file is ``read``, ``unrecognised`` or ``unreadable``.
+
+    ``listed`` (path, size) adds files that gave no line. A file that gave fewer bytes than it has is unreadable: a damaged file is left
+    off without an error where it breaks. Its lines up to there stay in the reports.
+    """
+    known = files if "bytes" in files.columns else files.withColumn("bytes", F.lit(None).cast("bigint"))
+    known = known.withColumn("_read", F.lit(True))
+    known = known.withColumn("size", F.lit(None).cast("bigint")) if listed is None else listed.select("path", "size").join(known, "path", "left")
+    short = F.when(F.col("_read").isNull(), F.col("size") > 0).otherwise(F.col("bytes") < F.col("size"))
+    state = F.when(F.coalesce(short, F.lit(False)), "unreadable").when(F.col("runtime").isNull(), "unrecognised").otherwise("read")
+    return known.select("path", "runtime", state.alias("state"))
 
 
 def file_quality(files: DataFrame, listed: DataFrame | None = None) -> DataFrame:
-    """Files read, unrecognised and unreadable. ``listed`` (path, size) adds files that gave no line."""
-    known = files.withColumn("size", F.lit(None).cast("bigint"))
-    if listed is not None:
-        known = listed.join(files.withColumn("_read", F.lit(True)), "path", "left")
-    else:
-        known = known.withColumn("_read", F.lit(True))
-    silent = F.col("_read").isNull() & (F.col("size") > 0)
-    return known.agg(
-        F.count_if(F.col("runtime").isNotNull()).alias("files"),
-        F.count_if(F.col("runtime").isNull() & ~F.coalesce(silent, F.lit(False))).alias("unrecognised_files"),
-        F.count_if(F.coalesce(silent, F.lit(False))).alias("unreadable_files"),
+    """How many files were read, unrecognised and unreadable (:func:`file_states`)."""
+    count = lambda state: F.count_if(F.col("state") == state)
+    return file_states(files, listed).agg(
+        count("read").alias("files"), count("unrecognised").alias("unrecognised_files"), count("unreadable").alias("unreadable_files")
     )
 
 

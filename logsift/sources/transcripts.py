@@ -14,8 +14,12 @@ from logsift.scratch import saved
 
 
 def read_transcripts(spark: SparkSession, roots: list[str], days: int | None = None) -> DataFrame:
-    """All lines of all ``*.jsonl`` files under the roots; ``days`` prunes files by modification time."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("ignoreCorruptFiles", True).text(roots)
+    """All lines of all ``*.jsonl`` files under the roots; ``days`` prunes files by modification time.
+
+    Lines end with a line feed only, so that their bytes add up to the file's; a carriage return before it stays, which JSON allows. A
+    damaged file gives the lines before the damage; :func:`logsift.plans.audit.file_states` finds it by its size.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("ignoreCorruptFiles", True).option("lineSep", "\n").text(roots)
     if days:
         cut = F.current_timestamp() - F.make_dt_interval(F.lit(days))
         files = files.filter(F.col("_metadata.file_modification_time") >= cut)

@@ -141,6 +141,24 @@ def test_files(spark, write):
     assert tuple(A.file_quality(lost, kept).first()) == (5, 1, 1)
 
 
+def test_damaged_files_are_told_by_their_size(spark, write):
+    whole = [assistant(session=f"s{i}") for i in range(400)]
+    write("whole.jsonl", whole)
+    write("returns.jsonl", [json.dumps(x) + "\r" for x in whole])
+    write("no_end.jsonl", whole)
+    with open(write.root + "/no_end.jsonl", "a") as last:
+        last.write(json.dumps(step(1)))
+    broken = write("broken.jsonl", whole)
+    sums = broken.stat().st_size // 512 + 1
+    # Checksums beside the file: right for no block.
+    (broken.parent / ".broken.jsonl.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + b"\1\2\3\4" * sums)
+    files, listed = A.read_files(read_transcripts(spark, [write.root])), list_transcripts(spark, [write.root])
+    states = {r.path.rsplit("/", 1)[1]: (r.runtime if r.state == "read" else None, r.state) for r in A.file_states(files, listed).collect()}
+    assert states == {"whole.jsonl": ("claude", "read"), "returns.jsonl": ("claude", "read"), "no_end.jsonl": ("claude", "read"), "broken.jsonl": (None, "unreadable")}
+    assert tuple(A.file_quality(files, listed).first()) == (3, 0, 1)
+    assert A.entries(read_transcripts(spark, [write.root])).filter("path LIKE '%returns.jsonl'").count() == 400
+
+
 def test_servers(spark, write):
     write("a.jsonl", [
         assistant(server="Claude Browser", tools=[("1", "mcp__Claude_Browser__open")]), assistant(server="Claude Browser"), assistant(tools=[("2", "mcp__mail__send")]),

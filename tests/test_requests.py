@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators import requests as R
 from logsift.operators import selection
+from logsift.operators.ordered import row_blocks
 from logsift.options import Options
 from logsift.scratch import new_path
 from logsift.streaming.ledger import start_ledger
@@ -92,18 +93,32 @@ def random_log(seed, n):
 def test_like_the_plain_ledger(spark, seed, window):
     rows = random_log(seed, 400)
     for block in (1, 60, 100_000):
-        assert decide(log(spark, rows), dedupe_window_seconds=window, block_seconds=block) == plain(rows, window)
+        assert decide(log(spark, rows), dedupe_window_seconds=window, block_rows=block) == plain(rows, window)
 
 
 def test_one_key_with_all_rows_spreads_over_blocks(spark):
     rows = [("s", i * 2, "/f", "v") for i in range(2000)]
     df = log(spark, rows)
     assert decide(df) == plain(rows)
-    plan = R.repeat_reads(df)._jdf.queryExecution().executedPlan().toString()
+    assert decide(df, block_rows=100) == plain(rows)
+    plan = R.repeat_reads(df, Options(block_rows=100))._jdf.queryExecution().executedPlan().toString()
     big = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "size_bytes" not in line]
     assert any("_block" in line for line in big)
 
 
+def test_blocks_hold_as_many_rows_whatever_the_times(spark):
+    burst = [("s", 50, "/f", "v")] * 1500
+    rows = [("s", i, "/f", "v") for i in range(50)] + burst + [("s", 51 + i * 100_000, "/f", "v") for i in range(50)]
+    timeless = log(spark, [(None, 0, "/f", "v")] * 900).withColumn("ts", F.lit(None).cast("timestamp")).withColumn("seq", F.col("seq") + 5000)
+    df = log(spark, rows).union(timeless)
+    blocks = row_blocks(df, 100).groupBy("_block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "seq")).alias("low"), F.max(F.struct("ts", "seq")).alias("high")).orderBy("_block").collect()
+    assert sum(b.n for b in blocks) == 2500 and max(b.n for b in blocks) <= 200 and len(blocks) > 20
+    order = lambda x: (x.ts is not None, x.ts or START, x.seq)
+    assert all(order(a.high) < order(b.low) for a, b in zip(blocks, blocks[1:], strict=False))
+    assert decide(df, block_rows=100) == {**plain(rows), **dict.fromkeys(range(5000, 5900), "serve")}
+    assert row_blocks(df.limit(0), 100).count() == 0
+
+
 def test_ledger_and_listing(spark):
     rows = [("a", 0, "/f", "1"), ("a", 5, "/f", "1"), ("b", 0, "/g", "1"), ("b", 1, "", "", True), ("c", 50_000, "/d/h.py", "1")]
     df = log(spark, rows)
