@@ -1,7 +1,8 @@
 """Packing along a space-filling curve: documents of similar words become neighbours and share sequences.
 
 Each document's ids are hashed into a count vector, projected to ``DIMENSIONS`` coordinates by fixed signs and placed on a Hilbert
-curve. Rows are range-partitioned by their place; every task lays its documents end to end and cuts a sequence at each 2,048 ids. What
+curve. A long document goes on in rows of one sequence's length, so that ranges of as many rows are alike in size. Rows are
+range-partitioned by their place; every task lays its documents end to end and cuts a sequence at each 2,048 ids. What
 is left at the end of a task is cut into powers of two, which need no padding. Ties on the curve (copies) are ordered and split between
 tasks by ``doc_id``.
 
@@ -11,6 +12,7 @@ in exactly one piece; other columns are ignored. A sequence id is the task's num
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from logsift.llm.tokens import encoder, wide
 from logsift.scratch import saved
 
 DIMENSIONS, BITS, BUCKETS = 4, 8, 256
-ENCODED = "doc_id bigint, curve bigint, doc_tokens bigint, ids binary, id_bytes int"
+ENCODED = "doc_id bigint, curve bigint, tie bigint, start bigint, doc_tokens bigint, ids binary, id_bytes int"
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -84,8 +86,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, room: int = 2048, range_i
             packed = [encode.encode(x) + end for x in texts_of(batch, "text")]
             ids = [np.frombuffer(x, encode.kind) for x in packed]
             places = curve_places([x[:-1] for x in ids])
-            arrays = [batch.column("doc_id"), pa.array(places), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary()), pa.array([len(end)] * len(ids), pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "curve", "doc_tokens", "ids", "id_bytes"])
+            rows = []
+            for doc_id, place, x, whole in zip(batch.column("doc_id").to_pylist(), places.tolist(), packed, ids, strict=True):
+                tie, step = zlib.crc32(x), room * len(end)
+                rows += [(doc_id, place, tie, at // len(end), len(whole), x[at : at + step], len(end)) for at in range(0, len(x), step)]
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()
+            names = ["doc_id", "curve", "tie", "start", "doc_tokens", "ids", "id_bytes"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -101,14 +108,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, room: int = 2048, range_i
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
 
         for batch in slices(batches, 256):
-            columns = (batch.column(k).to_pylist() for k in ("doc_id", "doc_tokens", "ids", "id_bytes"))
-            for doc_id, total, packed, size in zip(*columns, strict=True):
-                start, kind = 0, f"<u{size}"
-                while start < total:
-                    length = min(room - used, total - start)
-                    part = wide(packed[start * size : (start + length) * size], kind)
-                    open_pieces.append((doc_id, start, length, part, total, base + number, used))
-                    start, used = start + length, used + length
+            columns = (batch.column(k).to_pylist() for k in ("doc_id", "start", "doc_tokens", "ids", "id_bytes"))
+            for doc_id, first, total, packed, size in zip(*columns, strict=True):
+                at, held, kind = 0, len(packed) // size, f"<u{size}"
+                while at < held:
+                    length = min(room - used, held - at)
+                    part = wide(packed[at * size : (at + length) * size], kind)
+                    last = open_pieces[-1] if open_pieces else None
+                    if last and (last[0], last[1] + last[2], last[4]) == (doc_id, first + at, total):
+                        open_pieces[-1] = (doc_id, last[1], last[2] + length, last[3] + part, total, *last[5:])
+                    else:
+                        open_pieces.append((doc_id, first + at, length, part, total, base + number, used))
+                    at, used = at + length, used + length
                     if used == room:
                         done += open_pieces
                         number, used, open_pieces = number + 1, 0, []
@@ -130,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, room: int = 2048, range_i
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     placed = saved(rows.mapInArrow(encoded, ENCODED), "placed")
-    order = ["curve", "doc_id", F.crc32("ids")]
-    ranges = (placed.agg(F.sum("doc_tokens")).first()[0] or 0) // range_ids + 1
+    order = ["curve", "doc_id", "tie", "start"]
+    ranges = (placed.where("start = 0").agg(F.sum("doc_tokens")).first()[0] or 0) // range_ids + 1
     ranged = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     return ranged.mapInArrow(pieces, PIECES)

@@ -98,6 +98,13 @@ def test_packing_ranges_follow_the_size(spark, small):
     assert ranges > 2 and len({p.sequence_id >> 40 for p in pieces}) == ranges
 
 
+def test_packing_joins_the_rows_of_a_long_document(spark):
+    text = " ".join(f"word{i % 97}" for i in range(9000))
+    pieces = pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), TOKENIZER, end_id=1).orderBy("start").collect()
+    total = len(token_ids(text)) + 1
+    assert total > 4 * 2048 and [p.length for p in pieces] == [2048] * (total // 2048) + powers(total % 2048)
+
+
 def test_packing_odd_rows(odd, none):
     pieces = pack(odd.where("doc_id is null or doc_id <> 8"), TOKENIZER, end_id=1).withColumn("ids_crc32", F.crc32("ids")).collect()
     check_pieces(pieces, [r for r in ODD if r[0] != 8])
