@@ -16,7 +16,8 @@ from logsift.streaming.ledger import start_ledger
 def _stream(spark, sf, name):
     """The table as a stream of its files, on all cores if they are few (as ``spread`` does for tables)."""
     table = spark.read.parquet(f"{sf}/{name}.parquet")
-    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # A pattern that only this table's name fits: a table may be one file, which a stream reads by a pattern only, or a folder of files.
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf}/{name}[.]parquet")
     cores = spark.sparkContext.defaultParallelism
     return stream if table.rdd.getNumPartitions() >= cores else stream.repartition(cores, table.columns[0])
 

@@ -63,3 +63,21 @@ def test_counters_survive_a_restart(spark, tmp_path):
     assert counters.lifetime_totals(spark, f"{path}/life").first() == reports.savings_lifetime(rows).first()
     want = sorted(map(tuple, reports.savings_by_label(rows).collect()))
     assert sorted(map(tuple, counters.labels(spark, f"{path}/labels").collect())) == want
+
+
+def test_streams_of_a_table_in_a_folder_of_files(spark, tmp_path):
+    """A table may be one file or a folder of files whose names say nothing; other tables lie beside it."""
+    import checks.all  # noqa: F401, I001  (registers the queries in their order)
+    from checks.streams import _stream
+
+    rows = results(spark)
+    rows.repartition(3).write.parquet(str(tmp_path / "results.parquet"))
+    rows.repartition(2).write.parquet(str(tmp_path / "other_results.parquet"))
+    path = new_path(spark, "folder")
+    counters.start_lifetime(_stream(spark, str(tmp_path), "results"), f"{path}/life", f"{path}/cp").awaitTermination()
+    assert counters.lifetime_totals(spark, f"{path}/life").first() == reports.savings_lifetime(rows).first()
+    part = next((tmp_path / "results.parquet").glob("part-*.parquet"))
+    part.rename(tmp_path / "single.parquet")
+    held = spark.read.parquet(str(tmp_path / "single.parquet"))
+    counters.start_lifetime(_stream(spark, str(tmp_path), "single"), f"{path}/one", f"{path}/cp-one").awaitTermination()
+    assert counters.lifetime_totals(spark, f"{path}/one").first() == reports.savings_lifetime(held).first()
