@@ -53,10 +53,15 @@ def _place(value: Column, cuts: Sequence[int]) -> Column:
     width = math.isqrt(len(cuts)) + 1
     groups = [cuts[at : at + width] for at in range(0, len(cuts), width)]
     listed = lambda numbers: f"array({', '.join(f'{n}L' for n in numbers)})"
-    reached = lambda numbers: F.size(F.filter(numbers, lambda c: c <= value)).cast("bigint")
-    group = reached(F.expr(listed(g[0] for g in groups)))
-    inside = reached(F.get(F.expr(f"array({', '.join(listed(g) for g in groups)})"), group - 1))
-    return F.when(group == 0, F.lit(0).cast("bigint")).otherwise((group - 1) * width + inside)
+
+    def found(value: Column) -> Column:
+        reached = lambda numbers: F.size(F.filter(numbers, lambda c: c <= value)).cast("bigint")
+        group = reached(F.expr(listed(g[0] for g in groups)))
+        inside = reached(F.get(F.expr(f"array({', '.join(listed(g) for g in groups)})"), group - 1))
+        return F.when(group == 0, F.lit(0).cast("bigint")).otherwise((group - 1) * width + inside)
+
+    # Bound first: the optimizer carries columns that stand inside a lambda over to the other side of a self-join, which lacks them.
+    return F.element_at(F.transform(F.array(value), found), 1)
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], fields: Sequence[str], name: str = "prev") -> DataFrame:
