@@ -107,11 +107,12 @@ def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str], salt: Colu
     """Join a large side, possibly with hot keys, to a side with at most one row per key.
 
     ``salt`` is any well-spread column of the large side. The small rows are copied once per salt value,
-    so the rows of a hot key meet their partner in ``salts`` tasks instead of one.
+    so the rows of a hot key meet their partner in ``salts`` tasks instead of one. The copies are never
+    broadcast: Spark judges the small table by its size before they are made, and they go through the driver.
     """
     left = many.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
     right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def checked_join(many: DataFrame, one: DataFrame, keys: Sequence[str], salt: Column, how: str = "left", most: int = 200_000) -> DataFrame:

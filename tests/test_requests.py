@@ -218,3 +218,15 @@ def test_selection_audit(spark):
     rows = [("a", "Bash", "git log"), ("a", "PowerShell", "git log; ls"), ("a", "Bash", "rm x"), ("b", "Bash", "lg run -- x")]
     got = {(r.client, r.reason): (r.commands, r.share_pct, r.selected) for r in selection.selection_audit(spark.createDataFrame(rows, "client string, tool string, command string")).collect()}
     assert got == {("a", "selected"): (1, 33.3, True), ("a", "chained"): (1, 33.3, False), ("a", "mutating"): (1, 33.3, False), ("b", "already wrapped"): (1, 100.0, True)}
+
+
+def test_salted_copies_are_not_broadcast(spark, tmp_path):
+    """The small side looks small to Spark, but its copies are 32 times as many rows."""
+    from logsift.operators.ordered import salted_join
+
+    spark.range(5_000).selectExpr("id", "id % 3 = 0 AS hit").write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    many = spark.range(20_000).selectExpr("id % 6000 AS id", "id AS n")
+    joined = salted_join(many, one, ["id"], F.col("n"))
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.where("hit").count() == many.where("id < 5000 AND id % 3 = 0").count() and joined.count() == 20_000
