@@ -83,9 +83,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 token ids (operator 5), the ids themselves included.
 
-    Every row is packed, repeated ones and those without an id or a text, too. An empty table gives no piece.
+    Every row is packed, repeated ones and those without an id or a text, too. An empty table gives no piece. The workers are those of
+    the stages before and keep their memory, so they hold fewer words than operator 5 alone lets them.
     """
-    return pack(docs, tokenizer(), end_id=1, room=2048)
+    return pack(docs, tokenizer(), end_id=1, room=2048, kept_words=100_000)
 
 
 STAGES = [

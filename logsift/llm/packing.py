@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.llm.common import slices, texts_of
-from logsift.llm.tokens import encoder, wide
+from logsift.llm.tokens import KEPT_WORDS, encoder, wide
 from logsift.scratch import saved
 
 DIMENSIONS, BITS, BUCKETS = 4, 8, 256
@@ -71,16 +71,17 @@ def powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, room: int = 2048, range_ids: int = 1 << 22) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, room: int = 2048, range_ids: int = 1 << 22, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Pieces of ``doc_id, text`` in sequences of at most ``room`` ids (a power of two): which ids, in which sequence, at which offset.
 
     A range of the curve holds about ``range_ids`` ids, so there are as many tasks as the size asks for and none grows with it.
+    A worker keeps the ids of at most ``kept_words`` words: fewer take less memory and more time.
     """
 
     def encoded(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, kept_words)
         end = np.array([end_id], dtype=encode.kind).tobytes()
         for batch in slices(batches, 256):
             packed = [encode.encode(x) + end for x in texts_of(batch, "text")]

@@ -28,16 +28,16 @@ def byte_characters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Packed ids by the UTF-8 bytes of a word without white space. Holds at most ``KEPT_WORDS`` words, then starts anew."""
+    """Packed ids by the UTF-8 bytes of a word without white space. Holds at most ``most`` words, then starts anew."""
 
-    def __init__(self, tokenizer, kind: str) -> None:
-        self.tokenizer, self.model, self.kind = tokenizer, tokenizer.model, kind
+    def __init__(self, tokenizer, kind: str, most: int = KEPT_WORDS) -> None:
+        self.tokenizer, self.model, self.kind, self.most = tokenizer, tokenizer.model, kind, most
         self.characters = byte_characters()
         self.pieces: dict[str, bytes] = {}
 
     def piece(self, text: str) -> bytes:
         if text not in self.pieces:
-            if len(self.pieces) >= KEPT_WORDS:
+            if len(self.pieces) >= self.most:
                 self.pieces.clear()
             spelled = text if text.isascii() else text.encode().decode("latin-1").translate(self.characters)
             self.pieces[text] = np.array([x.id for x in self.model.tokenize(spelled)], dtype=self.kind).tobytes()
@@ -51,7 +51,7 @@ class WordIds(dict):
         else:
             packed = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         if len(word) <= LONGEST_KEPT:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = packed
         return packed
@@ -60,7 +60,7 @@ class WordIds(dict):
 class Encoder:
     """``encode(text as UTF-8) -> packed ids`` of a tokenizer file, without special tokens."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = KEPT_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -70,7 +70,7 @@ class Encoder:
         steps = [x.get("type") for x in (layout.get("normalizer") or {}).get("normalizers", [])]
         cuts = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         apart = steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("invert") and str(cuts[0]["pattern"].get("Regex")).endswith(SEPARATE)
-        self.words = WordIds(self.tokenizer, self.kind) if apart else None
+        self.words = WordIds(self.tokenizer, self.kind, most) if apart else None
 
     def encode(self, text: bytes) -> bytes:
         if self.words is not None:
@@ -79,9 +79,9 @@ class Encoder:
         return np.array(ids, dtype=self.kind).tobytes()
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process. The tokenizer file has to lie at the same path on every worker."""
-    return kept_by_worker(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, most: int = KEPT_WORDS) -> Encoder:
+    """The encoder of this worker process, which keeps the ids of at most ``most`` words. The tokenizer file has to lie at the same path on every worker."""
+    return kept_by_worker(("encoder", path, most), lambda: Encoder(path, most))
 
 
 def wide(packed: bytes, kind: str) -> bytes:

@@ -23,6 +23,15 @@ def test_word_cache_gives_the_ids_of_whole_texts(small):
         assert np.array_equal(np.frombuffer(encode.encode((text or "").encode()), encode.kind), token_ids(text)), (text or "")[:80]
 
 
+def test_word_cache_keeps_to_its_bound():
+    bound, free = Encoder(TOKENIZER, 50), Encoder(TOKENIZER)
+    for k in range(400):
+        text = f"word{k} Wörd{k}, plain{k % 7}".encode()
+        assert bound.encode(text) == free.encode(text)
+        assert len(bound.words) <= 50 and len(bound.words.pieces) <= 50
+    assert len(free.words) > 400
+
+
 @pytest.mark.parametrize("universe,n", [(0, 1), (5, 5), (1000, 3), (1 << 20, 1000), (3, 700)])
 def test_elias_fano_round_trip(universe, n):
     values = np.sort(np.random.default_rng(n).integers(0, universe + 1, n))
