@@ -30,7 +30,7 @@ from logsift.scratch import saved
 
 WORDS, THRESHOLD = 5, 0.8
 WORD = re.compile(r"\w+")
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 TABLE_BITS = 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 FOUND = "doc_id bigint, item_id bigint, containment double"
@@ -139,7 +139,8 @@ def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = 16 << 20)
     texts = saved(named.groupBy("item_text").agg(F.min("same").alias("item_id")), "item-texts")
     size = texts.agg(F.sum(F.octet_length("item_text") + 64).alias("n")).first()["n"] or 0
     blocks = -(-size // block_bytes)
-    found = spark.createDataFrame([], FOUND)
+    # Made by the JVM: an empty list from Python starts workers of another kind, which stay beside those of the search.
+    found = spark.range(0).selectExpr(*(f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in FOUND.split(", "))))
     for block in range(blocks):
         part = texts.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == block).collect()
         found = found.union(_search(rows, [(r["item_id"], r["item_text"]) for r in part]))

@@ -32,7 +32,7 @@ from logsift.scratch import saved
 TERMS, LATENT, NEIGHBOURS, SHARPNESS = 1024, 48, 25, 4
 WORD_BUCKETS = 640  # of the terms; the rest are shapes, the last few repetitions
 REPEATS = 8
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 MARKS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
 
 
@@ -51,7 +51,7 @@ class Counter:
     """Term counts of texts, with the terms of words kept between texts."""
 
     def __init__(self) -> None:
-        self.kept: dict[bytes, tuple[int, int]] = {}
+        self.kept: dict[bytes, int] = {}  # both buckets in one number, as tuples take twice the memory
 
     def counts(self, text: bytes) -> np.ndarray:
         words = text.split()
@@ -61,8 +61,9 @@ class Counter:
             self.kept.clear()
         kept = self.kept
         for word in [w for w in set(words) if w not in kept]:
-            kept[word] = terms_of(word)
-        found = np.bincount(np.array([kept[w] for w in words]).ravel(), minlength=TERMS).astype(np.float32)
+            of_word, of_shape = terms_of(word)
+            kept[word] = of_word * TERMS + of_shape
+        found = np.bincount(np.concatenate(np.divmod(np.array([kept[w] for w in words]), TERMS)), minlength=TERMS).astype(np.float32)
         # Repetitions: a word after itself, words used again, lines used again; each as a share of its own bucket.
         n = len(words)
         found /= n

@@ -65,10 +65,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        with open(path, encoding="utf-8") as file:
-            layout = json.load(file)
-        steps = [x.get("type") for x in (layout.get("normalizer") or {}).get("normalizers", [])]
-        cuts = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        # The two parts alone: the whole file as Python objects, vocabulary and merges included, would stay in the worker's memory.
+        layout = lambda part: json.loads(part.__getstate__()) if part else {}
+        steps = [x.get("type") for x in layout(self.tokenizer.normalizer).get("normalizers", [])]
+        cuts = layout(self.tokenizer.pre_tokenizer).get("pretokenizers") or [{}]
         apart = steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("invert") and str(cuts[0]["pattern"].get("Regex")).endswith(SEPARATE)
         self.words = WordIds(self.tokenizer, self.kind, most) if apart else None
 

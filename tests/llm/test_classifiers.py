@@ -249,3 +249,13 @@ def test_models_reach_workers_without_the_package(spark):
     code = "import pickle, sys; x = pickle.loads(sys.stdin.buffer.read()); print(x.words, 'logsift' in sys.modules)"
     found = subprocess.run([sys.executable, "-c", code], input=data, capture_output=True, cwd="/", env={"PATH": "/usr/bin"})
     assert found.stdout.decode().split() == ["['idiot']", "False"], found.stderr.decode()
+
+
+def test_kept_words_take_one_number_each():
+    counter = quality.Counter()
+    texts = ["Some words, some WORDS 12 and ünd more.".encode(), b"", b"some words"]
+    for text in texts:
+        want = np.bincount(np.array([quality.terms_of(w) for w in text.split()], dtype=np.int64).ravel(), minlength=quality.TERMS) / max(1, len(text.split()))
+        shapes = quality.TERMS - quality.REPEATS
+        assert np.allclose(counter.counts(text)[:shapes], want[:shapes])
+    assert len(counter.kept) == 9 and all(type(x) is int for x in counter.kept.values())

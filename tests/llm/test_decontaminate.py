@@ -80,3 +80,10 @@ def test_a_sketch_cannot_be_missed_whole():
             assert candidates(kept, size_classes([" ".join(words)])) == {0}
     assert [missable(n) for n in (1, 4, 5, 10, 33)] == [0, 0, 1, 2, 6]
     assert decontaminate.THRESHOLD == 0.8
+
+
+def test_no_worker_beside_those_of_the_search(spark, monkeypatch):
+    docs, items = (spark.createDataFrame([(1, "a b c d e f")], f"{k} long, text string") for k in ("doc_id", "item_id"))
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    assert [tuple(r) for r in contaminated(docs, items).collect()] == [(1, 1, 1.0)]
+    assert contaminated(docs, items.limit(0)).collect() == []

@@ -129,3 +129,10 @@ def test_hilbert_curve_visits_neighbours():
     walk = points[np.argsort(places)]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
     assert powers(0) == [] and powers(2047) == [1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
+
+
+def test_the_tokenizer_file_is_not_parsed_in_python(monkeypatch):
+    import json
+
+    monkeypatch.setattr(json, "load", None)
+    assert Encoder(TOKENIZER).words is not None
