@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.functions.text import fingerprint, hit_file
+from logsift.scratch import saved
 
 COLUMNS = ["id", "block", "n", "line"]
 
@@ -96,15 +97,19 @@ def count_dropped(lines: DataFrame, noise: Column, what: str) -> DataFrame:
 
 
 def _cap(lines: DataFrame, key: Column, keep: int, marker, made: bool) -> DataFrame:
-    """First ``keep`` lines per output and key, then a marker. Lines without a key are their own group."""
-    keyed = lines.select(*COLUMNS, F.coalesce(key, F.lit("")).alias("key"), F.when(key.isNull(), F.struct("block", "n")).alias("own"))
-    order = W.partitionBy("id", "key", "own").orderBy("block", "n")
-    first = keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep + 1)
-    counts = keyed.filter(F.col("own").isNull()).groupBy("id", "key").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > keep)
-    # Only the row after the kept ones asks for the count: one row per key.
-    over = first.filter(F.col("rank") == keep + 1).join(counts, ["id", "key"])
-    marked = over.select("id", "block", "n", marker(F.col("key"), F.col("count") - keep).alias("line"), *[F.lit(True).alias("made")] * made)
-    return first.filter(F.col("rank") <= keep).select(*COLUMNS, *[F.lit(False).alias("made")] * made).unionByName(marked)
+    """First ``keep`` lines per output and key, then a marker. Lines without a key stay."""
+    # Written once: the lines and their keys are made for the counts, the first lines and the lines without a key alike.
+    written = saved(lines.select(*COLUMNS, key.alias("key")), "keyed-lines")
+    keyed = written.filter(F.col("key").isNotNull())
+    first = keyed.withColumn("rank", F.row_number().over(W.partitionBy("id", "key").orderBy("block", "n"))).filter(F.col("rank") <= keep + 1)
+    counts = keyed.groupBy("id", "key").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > keep)
+    # Both sides lie by id and key already. Only the row after the kept ones asks for the count.
+    over = F.col("rank") > keep
+    counted = first.join(counts, ["id", "key"], "left").filter(~over | F.col("count").isNotNull())
+    line = F.when(over, marker(F.col("key"), F.col("count") - keep)).otherwise(F.col("line"))
+    capped = counted.select("id", "block", "n", line.alias("line"), *[over.alias("made")] * made)
+    free = written.filter(F.col("key").isNull() & F.lit(keep > 0))
+    return free.select(*COLUMNS, *[F.lit(False).alias("made")] * made).unionByName(capped)
 
 
 def cascade_guard(lines: DataFrame, most: int = 5, made: bool = False) -> DataFrame:

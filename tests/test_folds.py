@@ -168,3 +168,14 @@ def test_bom_ansi_snippet(spark):
 @pytest.mark.parametrize("value", ["", "it's", "a\\b\\", "${spark.app.name}", "$1", "\n\r\t", "⟨é🙂⟩", "\\u0041", "%_", '"q"'])
 def test_literals(spark, value):
     assert one(spark, T.lit(value)) == value
+
+
+def test_capped_lines_are_keyed_once(spark):
+    rows = [("a", k // 8, k, "" if k % 5 == 0 else f"step {k} of {k % 3}") for k in range(40)] + [("b", 0, 0, "one"), ("b", 0, 1, "")]
+    lines = spark.createDataFrame(rows, "id string, block long, n long, line string")
+    capped = linefolds.cascade_guard(lines, 3, made=True)
+    assert "regexp_replace" not in capped._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.n, r.line, r.made) for r in capped.collect() if r.id == "a")
+    want = plain_cap([x[3] for x in rows if x[0] == "a"], lambda line: plain_fingerprint(line) or None, 3, lambda _, more: f"    … ⟨and {more} more like this⟩")
+    assert [line for _, line, _ in got] == want and sum(made for *_, made in got) == 1
+    assert linefolds.cascade_guard(lines, 0).count() == linefolds.cascade_guard(lines, 0, made=True).where("made").count()
