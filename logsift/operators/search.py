@@ -5,15 +5,15 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logsift.functions.text import fn, let, lit
-from logsift.operators.folds import _run_starts, _runs
+from logsift.functions.text import fn, lit
 from logsift.scratch import saved
 
 
@@ -128,29 +128,44 @@ def phrases_of(tree: Any) -> list[Phrase]:
     return list(dict.fromkeys(p for part in tree[1:] for p in phrases_of(part)))
 
 
-def _placed(text: str) -> str:
-    """``array<struct<term, positions>>`` of a text: its words sorted with their places and cut into runs, inside the row."""
-
-    def runs(ws: str) -> str:
-        starts = _run_starts(ws, lambda i: f"{ws}[{i}].w = get({ws}, {i} - 1).w")
-        places = fn(lambda x: f"{x}.i")
-        one = _runs(ws, starts, lambda s, n: f"array(named_struct('term', {ws}[{s}].w, 'positions', transform(slice({ws}, {s} + 1, {n}), {places})))")
-        empty = "CAST(array() AS ARRAY<STRUCT<term STRING, positions ARRAY<INT>>>)"
-        return f"CASE WHEN size({ws}) = 0 THEN {empty} ELSE {one} END"
-
-    pairs = fn(lambda w, i: f"named_struct('w', {w}, 'i', {i})", 2)
-    return let(f"sort_array(transform({terms(text)}, {pairs}))", runs)
-
-
 def postings(store: DataFrame) -> DataFrame:
-    """``term, id, field, tf, positions, ts``: where each word occurs in each field of each row. No shuffle."""
-
-    def of(field: str) -> str:
-        one = fn(lambda p: f"named_struct('term', {p}.term, 'field', '{field}', 'positions', {p}.positions)")
-        return f"transform({_placed(f"coalesce({field}, '')")}, {one})"
+    """``term, id, field, tf, positions, ts``: where each word occurs in each field of each row. No shuffle.
 
-    words = store.select("id", "ts", F.explode(F.expr(f"concat({', '.join(map(of, FIELDS))})")).alias("p"))
-    return words.select("p.term", "id", "p.field", F.size("p.positions").alias("tf"), "p.positions", "ts")
+    Spark cuts the words. Those of some rows at a time are numbered, sorted by row and number, and cut into runs as whole arrays, in Arrow:
+    sorting words and places inside a row is interpreted word by word. Nothing is kept between batches.
+    """
+    words = store.select("id", "ts", *[F.expr(terms(f"coalesce({field}, '')")).alias(f"words_{field}") for field in FIELDS])
+    id_kind, ts_kind = words.schema["id"], words.schema["ts"]
+    whole = T.IntegerType()
+    plain = [("term", T.StringType()), ("id", id_kind.dataType), ("field", T.StringType()), ("tf", whole), ("positions", T.ArrayType(whole)), ("ts", ts_kind.dataType)]
+    fields, names, at_once = FIELDS, [n for n, _ in plain], 1024
+
+    def runs(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                rows = batch.slice(at, at_once)
+                for k, field in enumerate(fields):
+                    lists = rows.column(2 + k)
+                    flat = lists.flatten().dictionary_encode()
+                    if not len(flat):
+                        continue
+                    sizes = lists.value_lengths().to_numpy()
+                    row = np.repeat(np.arange(len(lists)), sizes)
+                    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    key = row * len(flat.dictionary) + flat.indices.to_numpy()
+                    order = np.argsort(key, kind="stable")
+                    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+                    edges = np.append(starts, len(flat)).astype(np.int32)
+                    positions = pa.ListArray.from_arrays(pa.array(edges), pa.array(place[order].astype(np.int32)))
+                    of_run = order[starts]
+                    told = [flat.dictionary.take(flat.indices.take(pa.array(of_run))), pa.repeat(field, len(starts)), pa.array(np.diff(edges)), positions]
+                    own = [rows.column(c).take(pa.array(row[of_run])) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([told[0], own[0], *told[1:], own[1]], names)
+
+    return words.mapInArrow(runs, T.StructType([T.StructField(*x) for x in plain]))
 
 
 def write_postings(index: DataFrame, path: str) -> None:
