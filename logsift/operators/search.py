@@ -265,40 +265,76 @@ SIGNATURE_BITS = 1 << 16
 
 
 def signatures_path(path: str) -> str:
-    return f"{path.rstrip('/')}-signatures"
+    return f"{path.rstrip('/')}-trigrams"
 
 
-def _bits(trigrams: Column) -> Column:
-    """``array<struct<word, mask>>``: where the hashes of trigrams stand in a signature of 64-bit words."""
-    at = F.transform(F.array_distinct(trigrams), lambda t: F.pmod(F.xxhash64(t), F.lit(SIGNATURE_BITS)))
-    return F.transform(at, lambda h: F.struct(F.floor(h / 64).alias("word"), F.expr("1L").alias("one"), (h % 64).cast("int").alias("bit")))
+def _trigram_places() -> Callable[[str], Any]:
+    """A function that gives the place of every trigram of a text, A-Z lower-cased, in a signature. It travels without this package."""
+    import numpy as np
 
+    odd, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - (SIGNATURE_BITS.bit_length() - 1))
 
-def _masked(rows: DataFrame) -> DataFrame:
-    return rows.select("*", F.explode("bits").alias("b")).select(*[c for c in rows.columns if c != "bits"], "b.word", F.expr("shiftleft(b.one, b.bit)").alias("mask"))
+    def places(text: str) -> Any:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        points[(points >= 65) & (points <= 90)] += np.uint64(32)
+        # Three code points of 21 bits are one number, and the highest bits of its product the place.
+        return (((points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:]) * odd) >> shift
+
+    return places
 
 
 def write_signatures(store: DataFrame, path: str) -> None:
     """Write which trigrams each file of a store read from ``path`` holds, as bits by a hash: at most 8 KiB a file.
 
-    Command and text are taken as ``search_like`` compares them. Bits are put together in the tasks before the shuffle.
+    Command and text are taken as ``search_like`` compares them. The bits are set in Arrow and leave a task once per file.
     """
-    grams = lambda c: F.regexp_extract_all(_ascii_lower(F.coalesce(F.col(c), F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1))
-    rows = store.select(F.col("_metadata.file_path").alias("file"), _bits(F.concat(*map(grams, FIELDS))).alias("bits"))
-    _masked(rows).groupBy("file", "word").agg(F.bit_or("mask").alias("mask")).write.mode("overwrite").parquet(signatures_path(path))
+    places, bits, at_once = _trigram_places(), SIGNATURE_BITS, 256
+
+    def signed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def masks(file: str, seen: Any) -> Any:
+            words = np.packbits(seen, bitorder="little").view("<i8")
+            held = np.flatnonzero(words)
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file, pa.string()), len(held)), pa.array(held), pa.array(words[held])], ["file", "word", "mask"])
+
+        known, seen = None, np.zeros(bits, dtype=bool)
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                rows = batch.slice(at, at_once)
+                # As bytes first: a text that is no valid UTF-8 is read like any other.
+                texts = [[(x or b"").decode(errors="replace") for x in rows.column(k).cast(pa.binary()).to_pylist()] for k in range(1, rows.num_columns)]
+                for file, *own in zip(rows.column(0).to_pylist(), *texts, strict=True):
+                    if file != known:
+                        if known is not None:
+                            yield masks(known, seen)
+                        known, seen = file, np.zeros(bits, dtype=bool)
+                    for text in own:
+                        seen[places(text)] = True
+        if known is not None:
+            yield masks(known, seen)
+
+    rows = store.select(F.col("_metadata.file_path").alias("file"), *[F.col(c).cast("string").alias(c) for c in FIELDS])
+    found = rows.mapInArrow(signed, "file string, word bigint, mask bigint")
+    found.groupBy("file", "word").agg(F.bit_or("mask").alias("mask")).write.mode("overwrite").parquet(signatures_path(path))
 
 
 def files_with(spark: SparkSession, path: str, query: str) -> list[str]:
     """Files of the store at ``path`` that may hold a row for ``search_like``: those with all trigrams of the query, and those without a signature."""
     every = spark.read.parquet(path).inputFiles()
-    lowered = query.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
-    grams = sorted({run[k : k + 3] for run in re.split("[%_]", lowered) for k in range(len(run) - 2)})
-    if not grams:
+    places = _trigram_places()
+    masks: dict[int, int] = {}
+    for at in sorted({int(x) for run in re.split("[%_]", query) for x in places(run)}):
+        masks[at // 64] = masks.get(at // 64, 0) | 1 << at % 64
+    if not masks:
         return every
-    wanted = _masked(spark.range(1).select(_bits(F.lit(grams)).alias("bits"))).groupBy("word").agg(F.bit_or("mask").alias("wanted"))
+    signed = {w: m - (1 << 64) if m >> 63 else m for w, m in masks.items()}
+    asked = F.array(*(F.struct(F.lit(w).cast("long").alias("word"), F.lit(m).cast("long").alias("wanted")) for w, m in signed.items()))
+    wanted = spark.range(1).select(F.explode(asked).alias("w")).select("w.*")
     known = spark.read.parquet(signatures_path(path))
     met = known.join(F.broadcast(wanted), "word").filter(F.col("mask").bitwiseAND(F.col("wanted")) == F.col("wanted")).groupBy("file").agg(F.count(F.lit(1)).alias("met"))
-    all_met = met.join(F.broadcast(wanted.agg(F.count(F.lit(1)).alias("all"))), F.col("met") == F.col("all")).select("file", F.lit(True).alias("may"))
+    all_met = met.filter(F.col("met") == len(signed)).select("file", F.lit(True).alias("may"))
     # The driver has to name the files to be read, so their names come to it.
     plain = lambda f: re.sub(r"^\w+:/*", "", f)  # a listing and a row may spell the scheme differently
     judged = {plain(r["file"]): r["may"] for r in known.select("file").distinct().join(all_met, "file", "left").collect()}

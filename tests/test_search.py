@@ -31,3 +31,15 @@ def test_postings_sort_no_words_in_a_row(spark):
             want += [(word, i, field, len(places), places) for word, places in at.items()]
     got = [(r.term, r.id, r.field, r.tf, r.positions) for r in index.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and index.where("ts <> '2024-01-01' OR ts IS NULL").count() == 0
+
+
+def test_signatures_are_set_without_lists_of_trigrams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(F, "regexp_extract_all", None)
+    path = str(tmp_path / "s")
+    for k, (command, raw) in enumerate([("ab", "x😀yZ"), (None, None), ("Make all", "done " * 2000), ("a", "\x00\x01\x02")]):
+        spark.createDataFrame([(k, datetime(2024, 1, 1), command, raw)], "id long, ts timestamp, command string, raw string").coalesce(1).write.mode("append").parquet(path)
+    search.write_signatures(spark.read.parquet(path), path)
+    found = lambda q: sorted(r.id for r in search.search_like_in(spark, path, q).collect())
+    files = lambda q: len(search.files_with(spark, path, q))
+    # The file without a trigram has no signature and is always read.
+    assert found("X😀Y") == [0] and files("X😀Y") == 2 and found("MAKE") == [2] and files("e done") == 2 and files("nothing") == 1 and found("\x00\x01\x02") == [3]
