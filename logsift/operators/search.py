@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsift.functions.text import fn, lit
+from logsift.functions.text import fn, let, lit
 from logsift.scratch import saved
 
 
@@ -134,7 +134,9 @@ def postings(store: DataFrame) -> DataFrame:
     Spark cuts the words. Those of some rows at a time are numbered, sorted by row and number, and cut into runs as whole arrays, in Arrow:
     sorting words and places inside a row is interpreted word by word. Nothing is kept between batches.
     """
-    words = store.select("id", "ts", *[F.expr(terms(f"coalesce({field}, '')")).alias(f"words_{field}") for field in FIELDS])
+    # NULL from inside a lambda, as a column that Spark takes to have none may hold one; out of a generator, so that the fields are made below it.
+    cut = ", ".join(f"'words_{field}', {let(field, lambda t: terms(f"nullif({t}, '')"))}" for field in FIELDS)
+    words = store.select("id", "ts", F.explode(F.array(F.expr(f"named_struct({cut})"))).alias("w")).select("id", "ts", "w.*")
     id_kind, ts_kind = words.schema["id"], words.schema["ts"]
     whole = T.IntegerType()
     plain = [("term", T.StringType()), ("id", id_kind.dataType), ("field", T.StringType()), ("tf", whole), ("positions", T.ArrayType(whole)), ("ts", ts_kind.dataType)]
@@ -152,7 +154,7 @@ def postings(store: DataFrame) -> DataFrame:
                     flat = lists.flatten().dictionary_encode()
                     if not len(flat):
                         continue
-                    sizes = lists.value_lengths().to_numpy()
+                    sizes = lists.value_lengths().fill_null(0).to_numpy()
                     row = np.repeat(np.arange(len(lists)), sizes)
                     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     key = row * len(flat.dictionary) + flat.indices.to_numpy()

@@ -33,6 +33,14 @@ def test_postings_sort_no_words_in_a_row(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr) and index.where("ts <> '2024-01-01' OR ts IS NULL").count() == 0
 
 
+def test_postings_of_nulls_in_a_column_without_nulls(spark):
+    """An element at a NULL place is NULL, and Spark holds the column for one without."""
+    rows = spark.createDataFrame([(1, 0, "one two"), (2, None, "two three"), (3, 1, None)], "id long, k int, raw string")
+    store = rows.select("id", F.current_timestamp().alias("ts"), F.expr("element_at(array('ls', 'make all'), k + 1)").alias("command"), "raw")
+    got = sorted((r.id, r.field, r.term) for r in search.postings(store).collect() if (r.id, r.field) != (2, "command"))
+    assert got == [(1, "command", "ls"), (1, "raw", "one"), (1, "raw", "two"), (2, "raw", "three"), (2, "raw", "two"), (3, "command", "all"), (3, "command", "make")]
+
+
 def test_signatures_are_set_without_lists_of_trigrams(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(F, "regexp_extract_all", None)
     path = str(tmp_path / "s")
