@@ -12,6 +12,8 @@ from logsift.streaming import counters
 from logsift.streaming.compress import start_compress
 from logsift.streaming.ledger import start_ledger
 
+FILE_ROWS = 100_000
+
 
 def _stream(spark, sf, name):
     """The table as a stream of its files, on all cores if they are few (as ``spread`` does for tables)."""
@@ -78,10 +80,14 @@ def q_ledger_batches(spark, sf):
     path, parts = new_path(spark, "ledger-batches"), 6
     cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).approxQuantile("t", [k / parts for k in range(1, parts)], 0.01)
     part = sum(((F.unix_micros(F.col("ts").cast("timestamp")) >= int(c)).cast("int") for c in cuts), F.lit(0))
+    # A part is as many files as its size asks for, so no task reads a whole one, and a batch is the files of one part.
+    files = events.count() // (parts * FILE_ROWS) + 1
     for k in range(parts):
-        events.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        events.filter(part == k).repartition(files).write.mode("append").parquet(f"{path}/in")
+        while len(spark.read.schema(events.schema).parquet(f"{path}/in").inputFiles()) < (k + 1) * files:  # a small part fills fewer
+            events.limit(0).coalesce(1).write.mode("append").parquet(f"{path}/in")
         if k in (parts // 2 - 1, parts - 1):
-            stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+            stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
             start_ledger(request_columns(stream), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out/decisions").select("seq", "key", "decision", "served_at")
 

@@ -81,3 +81,18 @@ def test_streams_of_a_table_in_a_folder_of_files(spark, tmp_path):
     held = spark.read.parquet(str(tmp_path / "single.parquet"))
     counters.start_lifetime(_stream(spark, str(tmp_path), "single"), f"{path}/one", f"{path}/cp-one").awaitTermination()
     assert counters.lifetime_totals(spark, f"{path}/one").first() == reports.savings_lifetime(held).first()
+
+
+def test_a_batch_of_the_ledger_is_many_files(spark, monkeypatch):
+    from pathlib import Path
+
+    from checks import streams
+
+    sf, paths = "/root/testdata/sf0.001", []
+    whole = streams.q_ledger_batches(spark, sf)
+    monkeypatch.setattr(streams, "new_path", lambda s, name: paths.append(new_path(s, name)) or paths[-1])
+    monkeypatch.setattr(streams, "FILE_ROWS", 40)
+    split = streams.q_ledger_batches(spark, sf)
+    files = spark.read.parquet(f"{sf}/events.parquet").count() // (6 * 40) + 1
+    assert files > 1 and len(list(Path(paths[0].removeprefix("file:")).glob("in/*.parquet"))) == 6 * files
+    assert sorted(map(repr, split.collect())) == sorted(map(repr, whole.collect()))
