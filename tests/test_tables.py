@@ -314,3 +314,13 @@ def test_caps_with_rows_without_a_time(spark):
         assert S.cap_bytes(table, cap).count() == n
     assert S.cap_bytes(table, 120).where("ts is null").count() == 0
     assert S.cap_rows(table, 6).where("ts is not null").count() == 5 and S.cap_rows(table, 6).count() == 6
+
+
+def test_json_report_runs_its_python_step_once(spark):
+    docs = spark.createDataFrame([(k, json.dumps({"n": k, "v": 7, "text": "x" * 300}) if k % 3 else "[broken") for k in range(600)], "id long, raw string").coalesce(1)
+    report = jsonshape.json_report(docs.withColumn("view", F.lit("old")))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and report.columns == ["id", "view", "tokens_before", "tokens_after", "saved_pct"]
+    got = {r.id: r for r in report.collect()}
+    assert sorted(got) == [k for k in range(600) if k % 3] and json.loads(got[599].view)["n"] == 599
+    assert docs.select(json_view(F.col("raw")).alias("v")).where("v IS NULL").count() == 200
