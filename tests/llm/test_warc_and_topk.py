@@ -100,6 +100,21 @@ def test_top_k_of_odd_vectors(spark):
     assert top_k(frame.where("vec_id = 20"), F.col("vec_id") % 2 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("shard", "groups", "held"), [(16, 4, 3), (16, 64, 16), (7, 1, 2), (1000, 64, 16)])
+def test_top_k_over_groups_of_shards(spark, monkeypatch, shard, groups, held):
+    """Vectors reach their group by a shuffle, however small Spark takes them to be, and groups of shards give what brute force gives."""
+    from logsift.llm import topk
+
+    for name, value in {"SHARD": shard, "BLOCK": 4, "GROUPS": groups, "HELD": held, "NUMBERS": 64 * shard}.items():
+        monkeypatch.setattr(topk, name, value, raising=False)
+    random = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in random.integers(-3, 4, 5)]) for i in range(230)] + [(1000 + i, [float(i), 1.0]) for i in range(40)]
+    found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 7 == 0, k=4)
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert all("query_id" in line for line in joins)
+    assert sorted(tuple(r) for r in found.collect()) == nearest(rows, lambda i: i % 7 == 0, 4)
+
+
 @pytest.mark.parametrize("kind", ["plain", "equal", "clustered", "huge"])
 def test_tree_search_is_exact(kind):
     random = np.random.default_rng(3)
