@@ -25,12 +25,13 @@ def _marker(*parts: Column | str) -> Column:
 def _runs(lines: DataFrame) -> DataFrame:
     """Add ``at`` and ``length``: where in its run of equal fingerprints a line stands, and how long the run is.
 
+    Fingerprints are only compared here, so they are shuffled as 16 bytes each, NULL for an empty one.
     Runs are found inside blocks. One row per block says how its first and last run look; a window over
     those tells each block how many lines of its first run lie before it and of its last run after it.
     """
     inside = W.partitionBy("id", "block").orderBy("n")
-    printed = lines.select(*COLUMNS, F.expr(fingerprint("line")).alias("fp"))
-    starts = ~F.coalesce((F.col("fp") != "") & (F.col("fp") == F.lag("fp").over(inside)), F.lit(False))
+    printed = lines.select(*COLUMNS, F.unhex(F.md5(F.nullif(F.expr(fingerprint("line")), F.lit("")))).alias("fp"))
+    starts = ~F.coalesce(F.col("fp") == F.lag("fp").over(inside), F.lit(False))
     local = printed.withColumn("_start", starts.cast("int"))
     local = local.withColumn("_run", F.sum("_start").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
     run = W.partitionBy("id", "block", "_run")
@@ -46,7 +47,7 @@ def _runs(lines: DataFrame) -> DataFrame:
     order = W.partitionBy("id").orderBy("block")
     before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
     ahead = F.coalesce(F.sum("_rows").over(before), F.lit(0))
-    joined_on = (F.col("_head.fp") != "") & (F.col("_head.fp") == F.lag("_tail.fp").over(order))
+    joined_on = F.col("_head.fp") == F.lag("_tail.fp").over(order)
     edges = edges.select("*", ahead.alias("_ahead"), F.coalesce(joined_on, F.lit(False)).alias("_on"), F.sum("_rows").over(W.partitionBy("id")).alias("_all"))
     # Ranks of the last and the first line in the block that begin a run; none in the middle of a long run.
     last_start = F.when(~(F.col("_single") & F.col("_on")), F.col("_ahead") + F.col("_rows") - F.col("_tail._len") + 1)
@@ -99,7 +100,7 @@ def count_dropped(lines: DataFrame, noise: Column, what: str) -> DataFrame:
 def _cap(lines: DataFrame, key: Column, keep: int, marker, made: bool) -> DataFrame:
     """First ``keep`` lines per output and key, then a marker. Lines without a key stay."""
     # Written once: the lines and their keys are made for the counts, the first lines and the lines without a key alike.
-    written = saved(lines.select(*COLUMNS, key.alias("key")), "keyed-lines")
+    written = saved(lines.select(*COLUMNS, key.alias("key")), "keyed-lines", "zstd")
     keyed = written.filter(F.col("key").isNotNull())
     first = keyed.withColumn("rank", F.row_number().over(W.partitionBy("id", "key").orderBy("block", "n"))).filter(F.col("rank") <= keep + 1)
     counts = keyed.groupBy("id", "key").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > keep)

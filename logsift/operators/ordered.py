@@ -115,6 +115,26 @@ def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str], salt: Colu
     return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
+def sized_join(many: DataFrame, one: DataFrame, keys: Sequence[str], rows: str, salt: Column, how: str = "left", most: int = 200_000, each: int = 100_000) -> DataFrame:
+    """``checked_join`` to a side that knows in ``rows`` how many rows of the large side a key has.
+
+    Above ``most`` keys, only those with more than ``each`` rows are salted, one value for every ``each`` rows; the others are copied once.
+    ``one`` is used several times, so hand in a table that is already written.
+    """
+    if one.limit(most + 1).count() <= most:
+        return many.join(F.broadcast(one), list(keys), how)
+    salts = F.greatest(F.ceil(F.col(rows) / each), F.lit(1))
+    hot = one.where(F.col(rows) > each).select(*keys, salts.alias("_salts"))
+    found = hot.limit(most + 1).count()
+    if not found:
+        return many.join(one.hint("merge"), list(keys), how)
+    if found > most:
+        return salted_join(many, one, keys, salt, how)
+    left = many.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(salt), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
 def checked_join(many: DataFrame, one: DataFrame, keys: Sequence[str], salt: Column, how: str = "left", most: int = 200_000) -> DataFrame:
     """Broadcast the small side only after counting it; above ``most`` rows, use a salted join.
 

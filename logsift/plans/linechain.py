@@ -4,7 +4,9 @@ Every output has a program: the steps of its filter and its rules, found once pe
 single lines up to, and with, its next fold over several lines. So there are as many passes as the longest program has folds, however
 many rules there are, and in a pass all outputs with one kind of fold are folded together. Folds work in blocks and carry one state per
 block over its edges (``linefolds``); what a layer changed is noted per output; sizes for the valve are summed per block, then per
-output. No step brings the lines of one output together. Passes are written, so that a lost executor costs one of them.
+output. No step brings the lines of one output together. Passes are written, so that a lost executor costs one of them: the folds of one
+and the single lines of the next as one table, of which the lines that go on are deleted when the next is there. Outputs meet their program
+once; after that, lines carry its number.
 
 What is not done to outputs of this size: the JSON view, which needs the document as a whole; ``summary`` actions; and ``replace`` with a
 pattern that may span lines or ask where the text begins or ends. Rules and filters with those raise ``ValueError``.
@@ -27,15 +29,16 @@ from logsift.functions import text as T
 from logsift.functions.patterns import java_pattern, readable
 from logsift.functions.text import ANY_CASE, UNICODE, let, lit, search
 from logsift.operators import linefolds
-from logsift.operators.ordered import checked_join
+from logsift.operators.ordered import checked_join, sized_join
 from logsift.options import DEFAULTS, Options
 from logsift.plans import filters as families
 from logsift.plans.filters import BUILTIN_FILTERS, Filter
 from logsift.plans.routing import layer_names, route
 from logsift.plans.rules import BUILTIN_RULES, Rule, group_size, java_replacement, repeats, replaceable
-from logsift.scratch import saved
+from logsift.scratch import delete, new_path, saved
 
 LINE = ["id", "block", "n", "line"]
+PACKED = "zstd"  # for tables as large as the lines
 
 
 @dataclass(frozen=True)
@@ -142,8 +145,8 @@ def _programs(commands: DataFrame, steps: Sequence[Step], rules: Sequence[Rule],
 
 
 def _single_lines(rows: DataFrame, steps: Sequence[Step], numbers: Sequence[int]) -> DataFrame:
-    """Steps on single lines, each where it is in the row's ``now``. ``line`` is NULL once it went; ``marks`` are layers that changed it."""
-    rows = rows.withColumn("state", F.expr("named_struct('line', line, 'marks', CAST(array() AS ARRAY<INT>))"))
+    """Steps on single lines, each where it is in the row's ``now``. ``line`` is NULL once it went; ``marks`` gets the layers that changed it."""
+    rows = rows.withColumn("state", F.expr("named_struct('line', line, 'marks', marks)"))
     for number in numbers:
         step = steps[number]
 
@@ -158,7 +161,19 @@ def _single_lines(rows: DataFrame, steps: Sequence[Step], numbers: Sequence[int]
             return let(f"CASE WHEN array_contains(now, {number}) THEN {new} END", lambda x: f"CASE WHEN {x} != {s}.line THEN {changed(s, x)} ELSE {s} END")
 
         rows = rows.withColumn("state", F.expr(let("state", one)))
-    return rows.select("id", "block", "n", F.col("state.line").alias("line"), F.col("state.marks").alias("marks"), "fold")
+    return rows.select("id", "program", "block", "n", F.col("state.line").alias("line"), F.col("state.marks").alias("marks"), "fold")
+
+
+def _parted(pieces: list[DataFrame], name: str) -> tuple[DataFrame, str]:
+    """The rows written with their ``part``: lines that are ``gone``, those that are ``done`` and those that go ``on`` to a fold. And the folder.
+
+    One piece after the other, so that the disk holds what one kind of fold shuffles at a time.
+    """
+    path = new_path(pieces[0].sparkSession, name)
+    for rows in pieces:
+        rows = rows.withColumn("part", F.when(F.col("line").isNull(), "gone").when(F.col("fold").isNull(), "done").otherwise("on"))
+        rows.write.partitionBy("part").parquet(path, mode="append", compression=PACKED)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
 
 
 def _folded(rows: DataFrame, fold: tuple[Any, ...]) -> DataFrame:
@@ -184,52 +199,60 @@ def compress_line_table(
     """Compress outputs given as ``lines`` (``id, block, n, line``) and ``commands`` (``id, command``)."""
     filters = list(filters)
     steps = steps_of(rules, filters, opts)
-    given = saved(lines.where("id is not null").select("id", "block", "n", F.coalesce("line", F.lit("")).alias("line")), "lines")
+    given = saved(lines.where("id is not null").select("id", "block", "n", F.coalesce("line", F.lit("")).alias("line")), "lines", PACKED)
     # Sizes and the place of the first line, per block and then per output.
     sums = given.groupBy("id", "block").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("line")).alias("chars"), F.min_by(F.struct("block", "n", F.startswith("line", F.lit("﻿")).alias("bom")), "n").alias("first"))
     raw = saved(sums.groupBy("id").agg(F.sum("rows").alias("rows"), F.sum("chars").alias("chars"), F.min_by("first", "block").alias("first")), "raw-sizes")
-    programs = _programs(raw.select("id").join(commands.select("id", "command"), "id", "left"), steps, rules, filters)
-    programs = saved(programs.join(raw.select("id", "first"), "id"), "programs")
-    passes = programs.select(F.explode("steps").alias("s")).groupBy("s.pass").agg(F.collect_set("s.step").alias("steps")).orderBy("pass").collect()  # a row for each pass
+    programs = saved(_programs(raw.select("id").join(commands.select("id", "command"), "id", "left"), steps, rules, filters), "programs")
+    # A row for each different program; its number is fixed when it is written.
+    kinds = saved(programs.select("steps").distinct().select("steps", F.monotonically_increasing_id().alias("program")), "kinds")
+    own = saved(checked_join(programs, kinds, ["steps"], F.col("id")).join(raw, "id").select("id", "rows", "first", "program"), "own")
+    passes = kinds.select(F.explode("steps").alias("s")).groupBy("s.pass").agg(F.collect_set("s.step").alias("steps")).orderBy("pass").collect()  # a row for each pass
     layer_of = F.element_at(F.lit([s.layer for s in steps] or [0]), F.col("fold") + 1)
+    unmarked = F.expr("CAST(array() AS ARRAY<INT>)")
+
+    spark, done, marks, before = given.sparkSession, [], [], ""
+    first = F.col("first.bom") & (F.col("block") == F.col("first.block")) & (F.col("n") == F.col("first.n"))
+    work = [sized_join(given, own, ["id"], "rows", F.struct("block", "n")).select(
+        "id", "program", "block", "n", F.when(first, F.expr(T.strip_bom("line"))).otherwise(F.col("line")).alias("line"), unmarked.alias("marks")
+    )]
+
+    def written(pieces: list[DataFrame]) -> DataFrame:
+        """Writes a pass; what the pass before handed on to it is deleted."""
+        nonlocal before
+        rows, path = _parted(pieces, "lines-after")
+        done.append(rows.where("part = 'done'").select(*LINE))
+        marks.append(saved(rows.where("size(marks) > 0").select("id", F.explode("marks").alias("layer")).distinct(), "marks"))
+        if before:
+            delete(spark, f"{before}/part=on")
+        before = path
+        return rows.where("part = 'on'")
 
-    work, done, marks = given, [], []
     for number, row in enumerate(passes):
         chosen = sorted(row["steps"])
         now = F.expr(f"transform(filter(steps, s -> s.pass = {number}), s -> s.step)")
-        own = programs.select("id", "first", now.alias("now"))
         folds = [s for s in chosen if steps[s].fold]
         fold = F.filter("now", lambda s: s.isin(folds) if folds else F.lit(False))
-        own = saved(own.select("id", "first", "now", F.get(fold, F.lit(0)).alias("fold")), "pass")
-        rows = checked_join(work, own, ["id"], F.struct("block", "n"))
-        if number == 0:
-            first = F.col("first.bom") & (F.col("block") == F.col("first.block")) & (F.col("n") == F.col("first.n"))
-            rows = rows.withColumn("line", F.when(first, F.expr(T.strip_bom("line"))).otherwise(F.col("line")))
-        rows = saved(_single_lines(rows.drop("first"), steps, [s for s in chosen if not steps[s].fold]), "single")
-        marks.append(rows.where("size(marks) > 0").select("id", F.explode("marks").alias("layer")))
-        left = rows.where("line is not null")
-        done.append(left.where("fold is null").select(*LINE))
+        todo = saved(kinds.select("program", now.alias("now")).select("program", "now", F.get(fold, F.lit(0)).alias("fold")), "pass")
+        alone = [s for s in chosen if not steps[s].fold]
+        left = written([_single_lines(checked_join(rows, todo, ["program"], F.struct("block", "n")), steps, alone) for rows in work])
         by_kind: dict[tuple, list[int]] = {}
         for s in folds:
             by_kind.setdefault(steps[s].fold, []).append(s)
-        # The fold's number travels with the id, to name the layer of what it made.
-        pieces = [_folded(left.where(F.col("fold").isin(held)).select(F.struct("id", "fold").alias("id"), "block", "n", "line"), kind) for kind, held in by_kind.items()]
-        if not pieces:
-            work = None
+        # The fold's number travels with the id, to name the layer of what it made; so does the program's.
+        marked = F.when(F.col("made"), F.array(layer_of)).otherwise(unmarked).alias("marks")
+        work = []
+        for kind, held in by_kind.items():
+            rows = _folded(left.where(F.col("fold").isin(held)).select(F.struct("id", "fold", "program").alias("id"), "block", "n", "line"), kind)
+            work.append(rows.select("id.id", "id.program", "id.fold", "block", "n", "line", "made").select("id", "program", "block", "n", "line", marked))
+        if not work:
             break
-        folded = pieces[0]
-        for piece in pieces[1:]:
-            folded = folded.unionByName(piece)
-        folded = saved(folded.select("id.id", "id.fold", "block", "n", "line", "made"), "folded")
-        marks.append(folded.where("made").select("id", layer_of.alias("layer")))
-        work = folded.where("line is not null").select(*LINE)
-    if work is not None:
-        done.append(work)
-
-    body = done[0]
+    if passes and work:
+        written([rows.withColumn("fold", F.lit(None).cast("int")) for rows in work])
+
+    body = done[0] if done else given
     for piece in done[1:]:
         body = body.union(piece)
-    body = saved(body, "bodies")
     return _judged(given, raw, body, marks, opts, layer_names(rules, filters))
 
 
@@ -244,15 +267,15 @@ def _judged(given: DataFrame, raw: DataFrame, body: DataFrame, marks: list[DataF
     token = lambda n: f"CASE WHEN {n} = 0 THEN 0L ELSE greatest(1L, bigint(rint({n} / 4.0D))) END"
     label = F.array_join(F.transform("layers", lambda k: F.element_at(F.lit(names or [""]), k + 1)), "+")
     found = raw.join(after, "id", "left").join(noted, "id", "left")
-    found = found.select("id", F.expr(token(size("rows", "chars"))).alias("before"), F.expr(token(size("after_rows", "after_chars"))).alias("after"), F.coalesce(label, F.lit("none")).alias("named"), (F.col("layers").isNotNull() | F.col("first.bom")).alias("changed"))
+    found = found.select("id", "rows", F.expr(token(size("rows", "chars"))).alias("before"), F.expr(token(size("after_rows", "after_chars"))).alias("after"), F.coalesce(label, F.lit("none")).alias("named"), (F.col("layers").isNotNull() | F.col("first.bom")).alias("changed"))
     through = f"before < {opts.min_tokens} OR NOT changed OR (before - after) / nullif(before, 0) < {opts.min_saving}D"
-    judged = found.withColumn("passthrough", F.expr(f"coalesce({through}, false)"))
-    results = saved(judged.selectExpr(
+    judged = saved(found.withColumn("passthrough", F.expr(f"coalesce({through}, false)")), "judged")
+    results = judged.selectExpr(
         "id", "before AS raw_tokens", "CASE WHEN passthrough THEN before ELSE after END AS comp_tokens", "CASE WHEN passthrough THEN 0L ELSE before - after END AS saved",
         "CASE WHEN passthrough OR before = 0 THEN 0.0D ELSE (before - after) / before * 100 END AS pct", "CASE WHEN passthrough THEN 'passthrough' ELSE named END AS label", "passthrough",
-    ), "line-results")
-    which = saved(results.select("id", "passthrough"), "which")
+    )
+    which = judged.select("id", "passthrough", "rows")
     salt = F.struct("block", "n")
-    shown = checked_join(given, which, ["id"], salt, "inner").where("passthrough").select(*LINE)
-    cut = checked_join(body, which, ["id"], salt, "inner").where("not passthrough").select(*LINE)
+    shown = sized_join(given, which, ["id"], "rows", salt, "inner").where("passthrough").select(*LINE)
+    cut = sized_join(body, which, ["id"], "rows", salt, "inner").where("not passthrough").select(*LINE)
     return LineResults(results, shown.union(cut))

@@ -23,8 +23,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once and read it back: cuts the lineage and survives lost executors."""
+def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write a table once and read it back: cuts the lineage and survives lost executors. ``codec`` is for tables that are large."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table written here that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

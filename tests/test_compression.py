@@ -253,6 +253,17 @@ def test_line_tables_give_what_rows_give(spark):
     assert chained(spark, LINE_CASES, rules=[], filters=[]) == in_rows(spark, LINE_CASES, rules=[], filters=[])
 
 
+def test_line_tables_are_not_kept_pass_by_pass(spark, tmp_path, monkeypatch):
+    """What is left on disk are the lines as given and as they come out of the passes, however many passes there are."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr("logsift.scratch.folder", lambda spark: str(tmp_path))
+    chained(spark, LINE_CASES, opts=Options(min_tokens=0, min_saving=-100))
+    lines = sum(raw.count("\n") + 1 for _, _, raw in LINE_CASES)
+    tables = [p for p in tmp_path.rglob("*.parquet") if p.is_file() and not p.parts[len(tmp_path.parts)].startswith("keyed-lines")]
+    assert 0 < sum(f.metadata.num_rows for f in map(pq.ParquetFile, tables) if "line" in f.schema_arrow.names) <= 2.5 * lines
+
+
 def test_what_line_tables_cannot_do(spark):
     for bad in (("summary", "x"), ("replace", [r"a\s+b", ""]), ("replace", ["^a", ""]), ("replace", ["[^x]y", ""])):
         with pytest.raises(ValueError):

@@ -230,3 +230,16 @@ def test_salted_copies_are_not_broadcast(spark, tmp_path):
     joined = salted_join(many, one, ["id"], F.col("n"))
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.where("hit").count() == many.where("id < 5000 AND id % 3 = 0").count() and joined.count() == 20_000
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize(("most", "each"), [(100, 10), (3, 10), (3, 1000), (0, 1)])
+def test_a_sized_join_copies_the_rows_of_hot_keys_only(spark, how, most, each):
+    from logsift.operators.ordered import sized_join
+
+    counts = {"a": 95, "b": 11, "c": 1, "d": 10, "lost": 4}
+    many = spark.createDataFrame([(i, n) for i, c in counts.items() for n in range(c)], "id string, n long")
+    one = spark.createDataFrame([(i, counts[i], i.upper()) for i in "abcd"] + [("none", 0, "N")], "id string, rows long, name string")
+    joined = sized_join(many, one, ["id"], "rows", F.col("n"), how, most, each).select("id", "n", "name")
+    want = [(i, n, None if i == "lost" else i.upper()) for i, c in counts.items() for n in range(c) if how == "left" or i != "lost"]
+    assert sorted(map(tuple, joined.collect())) == sorted(want)
